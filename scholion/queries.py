@@ -1,0 +1,4 @@
+"""The engine's own queries and their SQL for DuckDB."""
+
+QUERIES = {}
+ORACLE = {}
