@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, quality, toxicity
+from . import bpe, chunkdedup, dartminhash, langid, media, packing, quality, toxicity
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -28,12 +28,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_chunkdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.spans(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op3_toxicity, op4_bpe, op5_langid, op8_quality)}
+    return {f.__name__: f for f in (op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
