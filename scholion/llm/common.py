@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Rows in an Arrow batch; texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,6 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Long texts: keep Arrow batches small whatever the session's default is."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def remainder(key: Column, modulus: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, dartminhash, langid, media, packing, quality, toxicity
+from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality, toxicity
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -44,9 +44,13 @@ def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash)}
+    return {f.__name__: f for f in (op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash, op10_mih)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mih": mih.SQL}
