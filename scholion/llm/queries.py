@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality, toxicity
+from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality, toxicity, warc
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash, op10_mih)}
+    return {f.__name__: f for f in (op1_warc, op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash, op10_mih)}
 
 
 def oracle_sql() -> dict[str, str]:
