@@ -3,11 +3,11 @@
 A word is the bag of its character n-grams (with marks for its start and end) and itself, hashed to
 ``BUCKETS`` embeddings; its vector is their mean, so a misspelling that was never seen still shares
 most n-grams with the word it hides. A text is the mean of its different words' vectors, one that
-occurs c times with the weight 1 + ln c, and of ``PADDING`` zero vectors, lest chance sway a text of
+occurs c times with the weight 1 + 0.3 ln c, and of ``PADDING`` zero vectors, lest chance sway a text of
 a few words or of one line many times; a softmax over two classes reads it. Embeddings and softmax are trained together by limited-memory BFGS with a
 quadratic penalty on a sample of labelled rows: at most ``SAMPLE`` of each class, those with the least
-hash of their id, of at most ``SAMPLE_CHARS`` characters in all. The softmax's bias is then set for
-the classes' shares among all labelled rows.
+hash of their id, of at most ``SAMPLE_CHARS`` characters in all. Both classes weigh the same, so a
+score is the probability for classes of equal size.
 
 Everything is linear before the softmax, so a worker scores a word once, keeps the score (for up to
 ``CACHE_WORDS`` words), and a text of any length costs one sum over all its words.
@@ -56,7 +56,7 @@ def words_of(text: str | None) -> list[str]:
 
 def shares_of(text: str | None) -> tuple[dict[str, float], float]:
     """Weight of each different word, and what to divide by."""
-    share = {w: 1.0 if c == 1 else 1.0 + math.log(c) for w, c in Counter(words_of(text)).items()}
+    share = {w: 1.0 if c == 1 else 1.0 + 0.3 * math.log(c) for w, c in Counter(words_of(text)).items()}
     return share, sum(share.values()) + PADDING
 
 
@@ -189,7 +189,7 @@ def cached_scorer(model: Model):
 
 
 def train(texts: list[str], labels: list[int], share: float | None = None) -> Model:
-    """Fit embeddings and softmax; ``share``: of label 1 among all labelled rows."""
+    """Fit embeddings and softmax; ``share``: of label 1 among all labelled rows, the score where one class is missing."""
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         s = (float(y.mean()) if len(y) else 0.0) if share is None else share
@@ -220,9 +220,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
     rng = np.random.default_rng(SEED)
     first = np.concatenate([rng.normal(scale=0.01, size=cut_e), rng.normal(scale=1.0, size=DIMS * 2), np.zeros(2)]).astype(np.float32)
     e, w, b = split(minimise(loss, first, STEPS))
-    s = share if share is not None else 0.5
-    prior = float(np.log(max(s, 1e-6) / max(1 - s, 1e-6)))
-    return Model(((e @ w)[:, 1] - (e @ w)[:, 0]) * SCALE, float(b[1] - b[0]) + prior)
+    return Model(((e @ w)[:, 1] - (e @ w)[:, 0]) * SCALE, float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
