@@ -1,8 +1,65 @@
-"""A corpus in stages."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+quality: documents that the quality classifier rejects go.
+toxicity: documents that the toxicity classifier rejects go.
+near_duplicates: of each group of near-duplicates the document with the least id stays.
+substrings: passages that occur in an earlier document are cut out of the text; every document stays.
+packing: the texts are laid into bins of the permitted lengths, one row per piece.
+
+All but the last return the columns of their input, ``n_chars`` following the text. Each stage is
+written as Parquet to the shared folder and read again, so none repeats another's work after a loss.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholion.llm import chunkdedup, dartminhash, packing, quality, toxicity
+from scholion.llm.common import shared_path, small_batches, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model, _ = quality.train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(model.column(F.col("text")) >= quality.THRESHOLD)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    model = toxicity.fit(toxicity.narrow(docs), table(spark, sf_dir, "labels"))
+    return docs.filter(model.column(F.col("text")) < toxicity.THRESHOLD)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = dartminhash.near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy"))
+    return docs.join(others, docs["doc_id"].cast("long") == F.col("__copy"), "left_anti")
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = chunkdedup.deduplicate(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("packing", packing_stage),
+]
+
+#: Classifiers, sketches, rolling hashes and packing have no form in SQL; see the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
