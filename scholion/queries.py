@@ -1,4 +1,520 @@
-"""The engine's own queries and their SQL for DuckDB."""
+"""The engine's own queries and their SQL for DuckDB.
 
-QUERIES = {}
-ORACLE = {}
+Every query reads its whole table. Texts are compared by md5 where they are long; doubles are rounded,
+as the order of summation differs between engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import chunking, markup, text
+from .operators import annotate as ann
+from .operators import elements as el
+from .operators import errors, metrics
+from .plans import inputs as i
+from .sources import documents as src
+from .streaming import progress
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and, if SQL can say the same, its SQL."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return keep
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return i.table(s, d, "documents")
+
+
+# Text normalization.
+
+
+@query("dehyphenate", f"SELECT doc_id, md5(regexp_replace({i.NOISY}, '([\\pL\\pN_]+)-\\s*\\n\\s*([\\pL\\pN_]+)', '\\1\\2', 'g')) AS h FROM documents")
+def dehyphenate(s, d):
+    return docs(s, d).select("doc_id", F.md5(text.dehyphenate(i.noisy(F.col("text")))).alias("h"))
+
+
+_PROT = r"\[[0-9,\s-]+\]|\([^)]*(?:et al\.|[0-9]{4})[^)]*\)"
+
+
+def _collapse(x: str) -> str:
+    return f"replace(replace(regexp_replace(regexp_replace({x}, ' {{2,}}', ' ', 'g'), '\\n{{2,}}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10))"
+
+
+def _whitespace(t: str) -> str:
+    pieces = f"[{_collapse('p')} FOR p IN string_split_regex({t}, '{_PROT}')]"
+    return f"array_to_string([a || coalesce(regexp_extract_all({t}, '{_PROT}')[i], '') FOR a, i IN {pieces}], '')"
+
+
+@query("whitespace_norm", f"SELECT doc_id, md5({_whitespace('t')}) AS h FROM (SELECT doc_id, {i.CITED} AS t FROM documents)")
+def whitespace_norm(s, d):
+    return docs(s, d).select("doc_id", F.md5(text.normalize_whitespace(i.cited(F.col("text")))).alias("h"))
+
+
+_CONTENT = (
+    "NOT (length(l) < 5 OR regexp_full_match(l, '[0-9]+|[ivxlcdmIVXLCDM]+') OR lower(l) LIKE 'http://%' OR lower(l) LIKE 'https://%' OR lower(l) LIKE 'www.%' "
+    "OR regexp_matches(lower(l), 'copyright|©\\s*\\d{4}|all rights reserved|acm\\s+digital\\s+library|doi:'))"
+)
+_LINES = f"SELECT doc_id, trim(unnest(string_split({i.HEADED}, chr(10))), chr(32) || chr(9) || chr(13)) AS l FROM documents"
+
+
+@query("content_line", f"SELECT doc_id, CAST(count_if({_CONTENT}) AS BIGINT) AS content, count(*) AS n FROM ({_LINES}) GROUP BY doc_id")
+def content_line(s, d):
+    lines = docs(s, d).select("doc_id", F.explode(F.split(i.headed(F.col("text")), "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(text.is_content_line(F.col("line"))).alias("content"), F.count("*").alias("n"))
+
+
+@query("repeated_lines", f"SELECT doc_id, l AS line, count(*) AS n FROM ({_LINES}) WHERE length(l) > 0 AND length(l) < 100 GROUP BY doc_id, l HAVING count(*) >= 3")
+def repeated_lines(s, d):
+    lines = docs(s, d).select("doc_id", F.explode(F.split(i.headed(F.col("text")), "\n", -1)).alias("line")).withColumn("line", text.strip(F.col("line")))
+    short = lines.filter((F.length("line") > 0) & (F.length("line") < text.REPEATED_LINE_CHARS))
+    return short.groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= text.REPEATED_LINE_COUNT)
+
+
+@query("remove_repeated_lines")
+def remove_repeated_lines(s, d):
+    return docs(s, d).select("doc_id", F.md5(text.remove_repeated_lines(i.headed(F.col("text")))).alias("h"))
+
+
+@query("normalize")
+def normalize(s, d):
+    n = docs(s, d).select("doc_id", text.normalize(i.cited(F.col("text"))).alias("n"))
+    return n.select("doc_id", "n.status", F.md5("n.cleaned").alias("h"), F.array_join("n.transformations", ",").alias("steps"))
+
+
+@query("char_mapping")
+def char_mapping(s, d):
+    from .functions.charmap import char_mapping as mapping
+
+    m = docs(s, d).select("doc_id", mapping(i.cited(F.col("text"))).alias("m"))
+    return m.select("doc_id", F.size("m").alias("n"), text.reverse_lookup(F.col("m"), F.lit(50)).alias("at_50"), text.reverse_lookup(F.col("m"), F.lit(-5)).alias("outside"))
+
+
+# Splitting and chunking.
+
+
+@query(
+    "paragraph_split",
+    f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(1))) AS h FROM (SELECT doc_id, [trim(x, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN string_split_regex({i.NOISY}, '\\n\\s*\\n') "
+    "IF trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''] AS p FROM documents)",
+)
+def paragraph_split(s, d):
+    p = docs(s, d).select("doc_id", text.paragraphs(i.noisy(F.col("text"))).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x01")).alias("h"))
+
+
+_MASK = "text"
+for _w in text.ABBREVIATIONS:
+    _MASK = f"replace({_MASK}, '{_w}', '{_w.replace('.', '·')}')"
+
+
+@query(
+    "sentence_split",
+    f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(2))) AS h FROM (SELECT doc_id, [trim(replace(x, '·', '.'), ' ' || chr(9) || chr(10) || chr(13)) FOR x IN "
+    f"string_split(regexp_replace({_MASK}, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) IF trim(replace(x, '·', '.'), ' ' || chr(9) || chr(10) || chr(13)) <> ''] AS p FROM documents)",
+)
+def sentence_split(s, d):
+    p = docs(s, d).select("doc_id", text.sentences(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x02")).alias("h"))
+
+
+@query("word_chunks")
+def word_chunks(s, d):
+    c = docs(s, d).select("doc_id", chunking.chunks(F.col("text"), 1000, "word").alias("c"))
+    return c.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\x01")).alias("h"))
+
+
+@query("sentence_chunks")
+def sentence_chunks(s, d):
+    c = docs(s, d).select("doc_id", chunking.chunks(i.noisy(F.col("text")), 1000).alias("c"))
+    return c.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\x01")).alias("h"))
+
+
+_TAIL = "regexp_replace(right(before, 40), '(?s)^.*?[.!?]\\s+', '')"
+
+
+@query(
+    "chunk_overlap",
+    "WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), "
+    "b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM c) "
+    f"SELECT doc_id, CAST(pos AS INTEGER) AS chunk_index, md5(CASE WHEN length(before) > 40 THEN {_TAIL} || ' ' || x ELSE x END) AS h FROM b",
+)
+def chunk_overlap(s, d):
+    c = docs(s, d).select("doc_id", chunking.with_overlap(F.split("text", "\n", -1), 40).alias("chunks"))
+    return chunking.explode_chunks(c).select("doc_id", "chunk_index", F.md5("chunk").alias("h"))
+
+
+@query("prepared_chunks")
+def prepared_chunks(s, d):
+    c = docs(s, d).select("doc_id", chunking.prepared_chunks(F.col("text"), 2000, 200).alias("chunks"))
+    return chunking.explode_chunks(c).select("doc_id", "chunk_index", "total_chunks", F.length("chunk").alias("chars"))
+
+
+@query("merge_turns", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
+def merge_turns(s, d):
+    m = chunking.merge_chunks(i.table(s, d, "conversations"), ["conv_id"], "turn", "text")
+    return m.select("conv_id", F.md5("merged").alias("h"))
+
+
+# Pages.
+
+
+@query("full_text", f"SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY page_number)) AS h, CAST(sum(char_count) AS BIGINT) AS total_chars FROM {i.PAGES} GROUP BY conv_id")
+def full_text(s, d):
+    return src.full_text(i.paper_pages(s, d), "conv_id").select("conv_id", F.md5("full_text").alias("h"), "total_chars")
+
+
+@query(
+    "char_at_index",
+    f"WITH p AS (SELECT *, coalesce(sum(char_count) OVER (PARTITION BY conv_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {i.PAGES}), "
+    "w AS (SELECT DISTINCT conv_id, unnest([0, 150, 100000]) AS char_index FROM conversations) "
+    "SELECT w.conv_id, CAST(w.char_index AS INTEGER) AS char_index, page_number, substr(text, CAST(w.char_index - start + 1 AS BIGINT), 1) AS char "
+    "FROM w LEFT JOIN p ON w.conv_id = p.conv_id AND w.char_index >= start AND w.char_index < start + char_count",
+)
+def char_at_index(s, d):
+    pages = i.paper_pages(s, d)
+    wanted = pages.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0), F.lit(150), F.lit(100000))).alias("char_index"))
+    return src.char_at(pages, wanted, "conv_id")
+
+
+@query(
+    "quality_gate",
+    "SELECT conv_id, count(*) AS n_pages, CAST(sum(char_count) AS BIGINT) AS total_chars, sum(char_count) >= 100 AND avg(char_count) >= 50 AND min(page_number) = 1 AND max(page_number) = count(*) "
+    f"AND count(DISTINCT page_number) = count(*) AS valid FROM {i.PAGES} GROUP BY conv_id",
+)
+def quality_gate(s, d):
+    return src.quality(i.paper_pages(s, d), "conv_id")
+
+
+@query(
+    "upload_gate",
+    "SELECT page_id, CASE WHEN NOT ends_with(lower(url), '.pdf') THEN 'invalid_type' WHEN octet_length(encode(html)) > 2097 THEN 'too_large' ELSE 'ok' END AS status "
+    "FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '.PDF' END AS url FROM pages)",
+)
+def upload_gate(s, d):
+    p = i.table(s, d, "pages").withColumn("url", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit(".PDF"))))
+    return p.select("page_id", src.upload_status(F.col("url"), F.octet_length("html"), 2097 / 1024 / 1024).alias("status"))
+
+
+@query(
+    "span_positions",
+    "WITH t AS (SELECT item_id, length(text) AS n FROM benchmark), x AS (SELECT item_id, n, unnest(range(n)) AS i FROM t) "
+    "SELECT item_id, CAST(i AS INTEGER) AS char_index, round(10 + i / n * 90, 6) AS x FROM x",
+)
+def span_positions(s, d):
+    from .functions.charmap import span_positions as positions
+
+    b = i.table(s, d, "benchmark")
+    p = b.select("item_id", F.explode(positions(F.col("text"), F.lit(1), F.lit(10.0), F.lit(5.0), F.lit(100.0), F.lit(9.0))).alias("p"))
+    return p.select("item_id", "p.char_index", F.round("p.x", 6).alias("x"))
+
+
+# Markup.
+
+
+@query(
+    "summary_split",
+    r"SELECT doc_id, trim(regexp_extract(marked_text, '(?s)<summary>(.*?)</summary>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS summary, "
+    rf"md5(regexp_replace(marked_text, '(?s)<summary>.*?</summary>', '', 'g')) AS h FROM {i.MARKED}",
+)
+def summary_split(s, d):
+    m = i.marked(s, d)
+    return m.select("doc_id", markup.summary(F.col("marked_text")).alias("summary"), F.md5(markup.without_summaries(F.col("marked_text"))).alias("h"))
+
+
+@query(
+    "tag_elements",
+    f"SELECT doc_id, 'goal' AS element_type, '0.95' AS confidence, first_line AS text FROM {i.MARKED} UNION ALL SELECT doc_id, 'method', '0.80', source FROM {i.MARKED} "
+    f"UNION ALL SELECT doc_id, 'result', '0.605', lang FROM {i.MARKED}",
+)
+def tag_elements(s, d):
+    return i.marked(s, d).select("doc_id", F.inline(markup.elements(F.col("marked_text"))))
+
+
+@query("hide_category", rf"SELECT doc_id, md5(regexp_replace(marked_text, '</?goal\b[^>]*>', '', 'gi')) AS h FROM {i.MARKED}")
+def hide_category(s, d):
+    return i.marked(s, d).select("doc_id", F.md5(markup.hide(F.col("marked_text"), "goal")).alias("h"))
+
+
+@query("confidence_contract", f"SELECT doc_id, true AS valid FROM {i.MARKED}")
+def confidence_contract(s, d):
+    return i.marked(s, d).select("doc_id", markup.confidences_valid(F.col("marked_text")).alias("valid"))
+
+
+@query("toc")
+def toc(s, d):
+    return i.table(s, d, "pages").select("page_id", F.inline(markup.toc(F.col("html"))))
+
+
+@query("sanitize")
+def sanitize(s, d):
+    clean = markup.sanitize(F.col("html"))
+    return i.table(s, d, "pages").select("page_id", F.md5(clean).alias("h"), clean.rlike(r"(?i)<script|<style|<!--").alias("unsafe"))
+
+
+@query(
+    "markdown_export",
+    "SELECT doc_id, md5('# Paper ' || doc_id || chr(10) || chr(10) || '**Authors:** A, B' || chr(10) || chr(10) || '**Processing Time:** 1.5s' || chr(10) || chr(10) || "
+    "'## Plain Language Summary' || chr(10) || chr(10) || 'S' || chr(10) || chr(10) || '## Extracted Content' || chr(10) || chr(10) || "
+    "'*The following content has been automatically extracted and categorized:*' || chr(10) || chr(10) || '### Goals' || chr(10) || chr(10) || '**🎯 Goal (95%):** ' || first_line || chr(10) || chr(10) || "
+    "'### Results' || chr(10) || chr(10) || '**📊 Result (61%):** ' || lang || chr(10) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*Export Information:*' || chr(10) || "
+    f"'- **Goals:** Included' || chr(10) || '- **Methods:** Filtered out' || chr(10) || '- **Results:** Included' || chr(10) || '- **Export Date:** 2024-01-01' || chr(10)) AS h FROM {i.MARKED}",
+)
+def markdown_export(s, d):
+    title, authors = F.concat(F.lit("Paper "), F.col("doc_id").cast("string")), F.array(F.lit("A"), F.lit("B"))
+    made = markup.markdown(title, authors, F.lit(1.5), F.lit("S"), F.col("marked_text"), F.lit("2024-01-01"), ("goal", "result"))
+    return i.marked(s, d).select("doc_id", F.md5(made).alias("h"))
+
+
+@query("slug", "SELECT doc_id, 'academic-paper-' || substr(lower(regexp_replace(regexp_replace(substr(text, 1, 90), '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g')), 1, 50) AS slug FROM documents")
+def slug(s, d):
+    return docs(s, d).select("doc_id", markup.slug(F.substring("text", 1, 90)).alias("slug"))
+
+
+# Elements.
+
+
+@query("filter_confidence", f"SELECT element_id, confidence FROM {i.ELEMENTS} WHERE confidence >= 0.7")
+def filter_confidence(s, d):
+    return el.by_confidence(i.elements(s, d), 0.7).select("element_id", "confidence")
+
+
+@query("filter_type", f"SELECT element_id, element_type FROM {i.ELEMENTS} WHERE element_type IN ('goal', 'result')")
+def filter_type(s, d):
+    return el.by_type(i.elements(s, d), "goal", "result").select("element_id", "element_type")
+
+
+_ERROR = (
+    "CASE WHEN element_type NOT IN ('goal', 'method', 'result') THEN 'invalid_element_type' WHEN evidence_type NOT IN ('quantitative', 'qualitative', 'theoretical', 'mixed', 'unknown') "
+    "THEN 'invalid_evidence_type' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'invalid_confidence' END"
+)
+
+
+@query("validate_elements", f"SELECT element_id, {_ERROR} AS error FROM {i.ELEMENTS}")
+def validate_elements(s, d):
+    return i.elements(s, d).select("element_id", el.element_error(F.col("element_type"), F.col("text"), F.col("evidence_type"), F.col("confidence")).alias("error"))
+
+
+@query("validate_response", f"SELECT element_id, {_ERROR} AS error FROM {i.ELEMENTS}")
+def validate_response(s, d):
+    e = i.elements(s, d)
+    body = F.to_json(F.struct(F.array(F.struct("element_type", "text", "evidence_type", "confidence")).alias("elements")))
+    return e.select("element_id", el.response_error(body).alias("error"))
+
+
+@query("validate_summary", f"SELECT element_id, CASE WHEN confidence > 1 THEN 'invalid_confidence' END AS error FROM {i.ELEMENTS}")
+def validate_summary(s, d):
+    body = F.to_json(F.struct(F.col("text").alias("summary"), "confidence", F.array("section_id").alias("source_sections")))
+    return i.elements(s, d).select("element_id", el.summary_error(body).alias("error"))
+
+
+@query("include_elements", f"SELECT element_id FROM {i.ELEMENTS} WHERE length(text) >= 10")
+def include_elements(s, d):
+    return i.elements(s, d).filter(el.includable(F.col("text"))).select("element_id")
+
+
+@query("quarantine_elements", f"SELECT element_id, (CASE WHEN element_type = 'claim' THEN 1 ELSE 0 END + CASE WHEN evidence_type = 'guess' THEN 1 ELSE 0 END + CASE WHEN confidence > 1 THEN 1 ELSE 0 END) AS n FROM {i.ELEMENTS} WHERE element_type = 'claim' OR evidence_type = 'guess' OR confidence > 1")
+def quarantine_elements(s, d):
+    return el.quarantine(i.elements(s, d), "element")[1].select("element_id", F.size("violations").alias("n"))
+
+
+@query("orphan_elements", f"SELECT element_id FROM {i.ELEMENTS} WHERE paper_id NOT IN ('src1', 'src2')")
+def orphan_elements(s, d):
+    papers = docs(s, d).filter(F.col("source").isin("src1", "src2")).select(F.col("source").alias("paper_id"))
+    return el.orphans(i.elements(s, d), papers).select("element_id")
+
+
+@query(
+    "elements_by_type",
+    f"SELECT paper_id, count(*) AS total_elements, CAST(count_if(element_type = 'goal') AS BIGINT) AS goals, CAST(count_if(element_type = 'method') AS BIGINT) AS methods, CAST(count_if(element_type = 'result') AS BIGINT) AS results FROM {i.ELEMENTS} GROUP BY paper_id",
+)
+def elements_by_type(s, d):
+    return el.type_counts(i.elements(s, d), "paper_id")
+
+
+@query("elements_by_section", f"SELECT paper_id, section_id, count(*) AS n FROM {i.ELEMENTS} GROUP BY paper_id, section_id")
+def elements_by_section(s, d):
+    return el.section_counts(i.elements(s, d), "paper_id")
+
+
+@query("avg_confidence", f"SELECT paper_id, round(avg(confidence), 6) AS avg_confidence FROM {i.ELEMENTS} GROUP BY paper_id")
+def avg_confidence(s, d):
+    return el.average_confidence(i.elements(s, d), "paper_id").withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+# Metrics.
+
+_RATE = "CASE model WHEN 'gemini-1.5-flash' THEN 0.000075 WHEN 'gpt-4' THEN 0.03 WHEN 'claude-3' THEN 0.025 ELSE 0.01 END"
+_USAGE = f"count(*) AS total_requests, CAST(count_if(success) AS BIGINT) AS successful, CAST(count(*) - count_if(success) AS BIGINT) AS failed, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(sum(tokens / 1000.0 * {_RATE}), 4) AS cost, round(avg(seconds), 6) AS avg_seconds"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"cost": F.round("cost", 4), "avg_seconds": F.round("avg_seconds", 6)})
+
+
+@query("usage_summary", f"SELECT {_USAGE} FROM {i.USAGE}")
+def usage_summary(s, d):
+    return _rounded(metrics.usage_summary(i.usage(s, d)))
+
+
+@query("cost_by_model", f"SELECT model, {_USAGE} FROM {i.USAGE} GROUP BY model")
+def cost_by_model(s, d):
+    return _rounded(metrics.usage_summary(i.usage(s, d), "model"))
+
+
+@query("by_provider", f"SELECT provider, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM {i.USAGE} GROUP BY provider")
+def by_provider(s, d):
+    return metrics.by_provider(i.usage(s, d))
+
+
+@query("errors_by_type", f"SELECT error_type, count(*) AS n FROM {i.USAGE} WHERE error_type <> '' GROUP BY error_type")
+def errors_by_type(s, d):
+    return metrics.errors_by_type(i.usage(s, d))
+
+
+@query(
+    "extraction_summary",
+    "SELECT provider, count(*) AS total_extractions, CAST(count_if(success) AS BIGINT) AS successful, CAST(count(*) - count_if(success) AS BIGINT) AS failed, CAST(sum(tokens % 7) AS BIGINT) AS total_pages, "
+    f"CAST(sum(tokens % 5) AS BIGINT) AS total_elements, CAST(sum(tokens) AS BIGINT) AS total_characters, round(avg(seconds), 6) AS avg_seconds FROM {i.USAGE} GROUP BY provider",
+)
+def extraction_summary(s, d):
+    u = i.usage(s, d).select("provider", "success", (F.col("tokens") % 7).alias("pages"), (F.col("tokens") % 5).alias("elements"), F.col("tokens").alias("characters"), "seconds")
+    return metrics.extraction_summary(u, "provider").withColumn("avg_seconds", F.round("avg_seconds", 6))
+
+
+@query("event_counts", f"SELECT event_type, count(*) AS n FROM {i.DOMAIN_EVENTS} GROUP BY event_type")
+def event_counts(s, d):
+    return metrics.event_counts(i.domain_events(s, d))
+
+
+@query("event_metrics", f"SELECT count(*) AS total_events, round(avg(CASE WHEN event_type IN ('SectionProcessingCompleted', 'PaperProcessingCompleted') THEN duration END), 6) AS avg_duration FROM {i.DOMAIN_EVENTS}")
+def event_metrics(s, d):
+    return metrics.event_metrics(i.domain_events(s, d)).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@query("token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def token_estimate(s, d):
+    return docs(s, d).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+# Events.
+
+_SECTIONS = "count_if(event_type = 'SectionProcessingCompleted') OVER w"
+_VALUE = "CASE event_type WHEN 'PaperProcessingStarted' THEN 0.0 WHEN 'SectionDetected' THEN 0.1 WHEN 'PaperProcessingCompleted' THEN 1.0 WHEN 'SectionProcessingCompleted' THEN least(0.9, 0.1 + 0.15 * sections_processed) END"
+
+
+@query(
+    "session_progress",
+    f"WITH c AS (SELECT *, {_SECTIONS} AS sections_processed FROM {i.DOMAIN_EVENTS} WINDOW w AS (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
+    f"v AS (SELECT *, {_VALUE} AS value FROM c) "
+    "SELECT session, event_id, CASE event_type WHEN 'PaperProcessingStarted' THEN 'started' WHEN 'PaperProcessingCompleted' THEN 'completed' WHEN 'ExtractionFailed' THEN 'failed' ELSE 'processing' END AS status, "
+    "CAST(sections_processed AS BIGINT) AS sections_processed, round(CAST(coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE), 6) AS progress FROM v",
+)
+def session_progress(s, d):
+    return progress.session_progress(i.domain_events(s, d)).select("session", "event_id", "status", "sections_processed", F.round("progress", 6).alias("progress"))
+
+
+@query("session_filter", "SELECT event_id FROM events WHERE user_id % 3 = 0 OR user_id = 5")
+def session_filter(s, d):
+    op = F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string"))
+    return progress.for_session(i.table(s, d, "events").withColumn("operation_id", op), "5").select("event_id")
+
+
+# Errors.
+
+
+@query("classify_error")
+def classify_error(s, d):
+    return i.failures(s, d).select("event_id", errors.classify(F.col("kind"), F.col("message")).alias("c")).select("event_id", "c.category", "c.severity", "c.is_retriable", "c.retry_strategy", "c.user_message", F.array_join("c.remediation_steps", "|").alias("steps"), "c.confidence")
+
+
+@query(
+    "user_message",
+    "SELECT event_id, CASE WHEN contains(m, 'timeout') THEN 'Request Timeout' WHEN contains(m, 'connection') THEN 'Network Issue' WHEN contains(m, 'access') THEN 'Permission Error' WHEN contains(m, 'memory') THEN 'Memory Issue' "
+    f"WHEN contains(m, 'no such file') THEN 'File Not Found' ELSE 'Processing Error' END AS title FROM (SELECT event_id, lower(message) AS m FROM {i.FAILURES})",
+)
+def user_message(s, d):
+    return i.failures(s, d).select("event_id", errors.user_message(F.col("message"))["title"].alias("title"))
+
+
+@query("message_context", f"SELECT event_id, message || chr(10) || chr(10) || 'Context: During: Extract Text | Paper: ' || kind AS message FROM {i.FAILURES}")
+def message_context(s, d):
+    none = F.lit(None).cast("string")
+    return i.failures(s, d).select("event_id", errors.with_context(F.col("message"), F.lit("extract_text"), none, none, F.col("kind")).alias("message"))
+
+
+@query("retry_delay", f"SELECT event_id, CAST(least(30, 1.0 * pow(2, attempt)) AS DOUBLE) AS exponential, CAST(least(30, 1.0 * (attempt + 1)) AS DOUBLE) AS linear FROM {i.FAILURES}")
+def retry_delay(s, d):
+    e, n = F.lit("exponential_backoff"), F.lit("linear_backoff")
+    return i.failures(s, d).select("event_id", errors.retry_delay(e, F.col("attempt"), 1.0).alias("exponential"), errors.retry_delay(n, F.col("attempt"), 1.0).alias("linear"))
+
+
+@query("http_status", f"SELECT event_id, CASE kind WHEN 'PasswordProtectedError' THEN 400 WHEN 'DataError' THEN 422 ELSE 500 END AS status FROM {i.FAILURES}")
+def http_status(s, d):
+    return i.failures(s, d).select("event_id", errors.http_status(F.col("kind")).alias("status"))
+
+
+@query("retryable_error", f"SELECT event_id, kind IN ('RateLimitError', 'LLMValidationError') AS retryable FROM {i.FAILURES}")
+def retryable_error(s, d):
+    return i.failures(s, d).select("event_id", errors.retryable(F.col("kind")).alias("retryable"))
+
+
+@query("call_error", f"SELECT event_id, CASE WHEN contains(lower(message), 'quota') THEN 'RateLimitError' ELSE 'GeminiApiError' END AS kind FROM {i.FAILURES}")
+def call_error(s, d):
+    return i.failures(s, d).select("event_id", ann.call_error(F.col("message")).alias("kind"))
+
+
+@query("error_taxonomy")
+def error_taxonomy(s, d):
+    return errors.taxonomy(s)
+
+
+# Annotation.
+
+_BEFORE, _AFTER = (x.replace("'", "''") for x in ann.Prompts().frame())
+_CONTEXT = ann.Prompts().chunk_context
+
+
+@query("prompt", f"SELECT doc_id, md5('{_BEFORE}' || text || '{_AFTER}' || CASE WHEN doc_id % 2 = 1 THEN chr(10) || chr(10) || '{_CONTEXT}' ELSE '' END) AS h FROM documents")
+def prompt(s, d):
+    return docs(s, d).select("doc_id", F.md5(ann.prompt(F.col("text"), F.col("doc_id") % 2 + 1)).alias("h"))
+
+
+#: Cues for the invented languages of the test tables.
+CUES = (("goal", 0.85, r"\b(?:thing|heit|eau|ción)\w*"), ("method", 0.80, r"\b(?:ing|ver|que|ado)\w*"), ("result", 0.90, r"\b(?:er|ge|le|os)\w*"))
+
+
+@query("annotate")
+def annotate(s, d):
+    """The flagship: normalize, split, annotate, merge, parse, count."""
+    source = docs(s, d).select("doc_id", "lang", text.normalize(F.col("text"))["cleaned"].alias("text"))
+    marked = ann.annotate(source, "doc_id", "text", lambda: ann.RuleAnnotator(cues=CUES))
+    body = markup.without_summaries(F.col("marked_text"))
+    found = marked.select("doc_id", "n_chunks", markup.elements(body).alias("e"))
+    count = lambda t: F.size(F.filter("e", lambda x: x["element_type"] == t))
+    mean = F.coalesce(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["confidence"].cast("double")) / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0))
+    return found.select("doc_id", "n_chunks", count("goal").alias("goals"), count("method").alias("methods"), count("result").alias("results"), F.round(mean, 6).alias("avg_confidence"))
+
+
+@query("respond")
+def respond(s, d):
+    marked = ann.annotate(docs(s, d), "doc_id", "text", lambda: ann.RuleAnnotator(cues=CUES))
+    return ann.respond(marked, "doc_id").select("doc_id", "paper_id", "title", F.md5("text_with_markup").alias("h"), F.length("summary").alias("summary_chars"))
+
+
+@query("health", "SELECT 'healthy' AS status, '1' AS version")
+def health(s, d):
+    return src.health(s)
