@@ -140,8 +140,9 @@ def chunk_rows(df: DataFrame, text_col: str, limit: int = CHUNK_LIMIT, overlap:
     def run(batches):
         for batch in batches:
             parts = [[] if t is None else [t] if len(t) <= limit else overlapped(chunk_text(t, limit - overlap, strategy), overlap) for t in batch[text_col]]
-            out = batch.drop(columns=[text_col]).loc[batch.index.repeat([len(p) for p in parts])]
-            yield out.assign(chunk_index=[k + 1 for p in parts for k in range(len(p))], total_chunks=[len(p) for p in parts for _ in p], chunk=[c for p in parts for c in p])
+            if any(parts):
+                out = batch.drop(columns=[text_col]).loc[batch.index.repeat([len(p) for p in parts])].reset_index(drop=True)
+                yield out.assign(chunk_index=[k + 1 for p in parts for k in range(len(p))], total_chunks=[len(p) for p in parts for _ in p], chunk=pd.Series([c for p in parts for c in p], dtype=object))
 
     return df.mapInPandas(run, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # What counts as a citation, as furniture of a page, as an abbreviation.
 PROTECTED = r"\[[0-9,\s-]+\]|\([^)]*(?:et al\.|[0-9]{4})[^)]*\)"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FURNITURE = r"copyright|©\s*\d{4}|all rights reserved|acm\s+digital\s+library|doi:"
 WEB_PREFIXES = ("http://", "https://", "www.")
 ABBREVIATIONS = ("et al.", "e.g.", "i.e.", "Dr.", "Prof.", "Fig.", "Eq.")
@@ -25,13 +26,13 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends; ``trim`` would remove spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without white space at both ends; ``trim`` alone would remove spaces only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def dehyphenate(c: Column) -> Column:
     """Join words broken by a hyphen at a line's end; in a chain only every other break is joined."""
-    return F.regexp_replace(c, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    return F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w+)", "$1$2")
 
 
 def collapse(c: Column) -> Column:
@@ -48,17 +49,19 @@ def normalize_whitespace(c: Column) -> Column:
     return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+#: One pass over a stripped line: digits, roman numerals, links, page furniture.
+NOT_CONTENT = r"(?iU)^(?:\d+|[ivxlcdm]+)\z|^(?:" + "|".join(w.replace(".", r"\.") for w in WEB_PREFIXES) + ")|" + FURNITURE
+
+
 def is_content_line(line: Column) -> Column:
     """False for blank, short, numeric and roman-numeral lines, links, and page furniture."""
     s = strip(line)
-    low = F.lower(s)
-    web = low.startswith(WEB_PREFIXES[0]) | low.startswith(WEB_PREFIXES[1]) | low.startswith(WEB_PREFIXES[2])
-    return ~((F.length(s) < MIN_CONTENT_CHARS) | s.rlike(r"(?U)^\d+$") | low.rlike("^[ivxlcdm]+$") | web | low.rlike("(?U)" + FURNITURE))
+    return ~((F.length(s) < MIN_CONTENT_CHARS) | s.rlike(NOT_CONTENT))
 
 
 def repeatable(stripped: Column) -> Column:
-    """May a line be a header or footer at all: not blank, short enough, not content."""
-    return (F.length(stripped) > 0) & (F.length(stripped) < REPEATED_LINE_CHARS) & ~is_content_line(stripped)
+    """May a stripped line be a header or footer at all: not blank, short enough, not content."""
+    return (F.length(stripped) > 0) & (F.length(stripped) < REPEATED_LINE_CHARS) & ((F.length(stripped) < MIN_CONTENT_CHARS) | stripped.rlike(NOT_CONTENT))
 
 
 def remove_repeated_lines(c: Column) -> Column:
