@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes from fewer files than that; a table of many files is read as it lies.
+
+    A small file may hold a single row group, which one task reads whatever the size of the splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def noisy(c: Column) -> Column:
     for a, b in ((".\n", ".\n\n"), (", ", ",  "), ("tion ", "ti-\non ")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return i.table(s, d, "documents")
+    return i.spread(i.table(s, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 # Text normalization.
