@@ -43,6 +43,7 @@ SCALE = 400.0
 PADDING = 80
 SEED = 5
 CACHE_WORDS = 500_000
+FIT_WORDS = 50_000
 THRESHOLD = 0.7
 FOLDS, HELD = 3, 1
 
@@ -72,18 +73,19 @@ class Bags:
 
     def __init__(self, columns: list[np.ndarray], weights: list[np.ndarray], width: int):
         sizes = np.array([len(c) for c in columns], np.int64)
-        self.col, self.weight = np.concatenate(columns), np.concatenate(weights).astype(np.float32)[:, None]
+        self.col, self.weight = np.concatenate(columns), np.concatenate(weights)
         self.start, self.width = np.cumsum(sizes) - sizes, width
-        by = np.argsort(self.col, kind="stable")
+        by = np.argsort(self.col, kind="stable").astype(np.int32)
         self.t_row, self.t_weight = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by], self.weight[by]
         self.used, self.t_start = np.unique(self.col[by], return_index=True)
 
     def dot(self, m: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(m[self.col] * self.weight, self.start, axis=0)
+        return np.column_stack([np.add.reduceat(np.ascontiguousarray(m[:, k])[self.col] * self.weight, self.start) for k in range(m.shape[1])])
 
     def t_dot(self, m: np.ndarray) -> np.ndarray:
         out = np.zeros((self.width, m.shape[1]), np.float32)
-        out[self.used] = np.add.reduceat(m[self.t_row] * self.t_weight, self.t_start, axis=0)
+        for k in range(m.shape[1]):
+            out[self.used, k] = np.add.reduceat(np.ascontiguousarray(m[:, k])[self.t_row] * self.t_weight, self.t_start)
         return out
 
 
@@ -91,10 +93,12 @@ def bag_of(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray,
     """Buckets of a text and their weights: the mean over its words of the mean over their n-grams."""
     share, total = shares_of(text)
     share = share or {"": 0.0}
-    parts = [known[w] if w in known else known.setdefault(w, np.array(subwords(w))) for w in share]
+    if len(known) > FIT_WORDS:
+        known.clear()
+    parts = [known[w] if w in known else known.setdefault(w, np.array(subwords(w), np.int32)) for w in share]
     values = np.repeat([v / total / len(p) for v, p in zip(share.values(), parts, strict=True)], [len(p) for p in parts])
-    ids, back = np.unique(np.concatenate(parts).astype(np.int32), return_inverse=True)
-    return ids, np.bincount(back, weights=values)
+    ids, back = np.unique(np.concatenate(parts), return_inverse=True)
+    return ids, np.bincount(back, weights=values).astype(np.float32)
 
 
 def minimise(f, x: np.ndarray, steps: int) -> np.ndarray:
@@ -196,7 +200,9 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
         return Model(None, float(np.log(max(s, 1e-6) / max(1 - s, 1e-6))))
     known: dict[str, np.ndarray] = {}
     rows = [bag_of(t, known) for t in texts]
-    bags = Bags([r[0] for r in rows], [r[1] * SCALE for r in rows], BUCKETS)
+    known.clear()
+    bags = Bags([r[0] for r in rows], [r[1] * np.float32(SCALE) for r in rows], BUCKETS)
+    del rows
     target = np.eye(2, dtype=np.float32)[y]
     balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)[:, None]
     cut_e, cut_w = BUCKETS * DIMS, BUCKETS * DIMS + DIMS * 2
