@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 SEVERITIES = ("low", "medium", "high", "critical")
 RESULT = "category string, severity string, is_retriable boolean, retry_strategy string, user_message string, remediation_steps array<string>, confidence double, metadata map<string,string>"
 
@@ -159,7 +161,12 @@ def classify(kind: Column, message: Column) -> Column:
     The more confident message rule wins alone; else both are merged: the severer severity (by rank),
     retriable if both are, sorted union of steps, the message's metadata over the kind's.
     """
-    a, b = by_kind(kind), by_message(message)
+    both = F.struct(by_kind(kind).alias("a"), by_message(message).alias("b"))
+    return let(both, lambda p: combine(p["a"], p["b"]))
+
+
+def combine(a: Column, b: Column) -> Column:
+    """One classification of a kind's and a message's; the latter may be null."""
     merged = F.struct(
         F.when(b["confidence"] > 0.7, b["category"]).otherwise(a["category"]).alias("category"),
         F.when(severity_rank(b["severity"]) > severity_rank(a["severity"]), b["severity"]).otherwise(a["severity"]).alias("severity"),
