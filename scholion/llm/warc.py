@@ -181,8 +181,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write(pages, path)
-    captures = cut(assemble(read(spark, path)))
-    flat = captures.select("capture_id", F.element_at("metadata", 1)["fields"]["pageId"].cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("d"), F.col("response.target_uri").alias("target_uri"))
+    captures = assemble(read(spark, path))
+    flat = cut(captures.select("capture_id", F.element_at("metadata", 1)["fields"]["pageId"].cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("d"), F.col("response.target_uri").alias("target_uri")))
     origin = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("n").alias("n0"), F.col("d").alias("d0"))
     return flat.join(origin, "to", "left").select(
         "page_id", F.coalesce("n0", "n").alias("payload_bytes"), F.coalesce("d0", "d").alias("payload_digest"), "record_type", "refers_to", "target_uri",
