@@ -13,12 +13,18 @@ Ranks are explored to where about ``K (ln K + 3)`` darts are expected, and on, d
 texts with an empty coordinate. So the cost is that of the text plus ``K ln K``, not their product.
 
 Joining. Equal texts are one class from the start. ``BANDS`` bands of ``ROWS`` coordinates are hashed;
-in each bucket all members are paired with the least one, not with each other. Pairs are checked
-exactly, least partner first; verified pairs make components; pairs inside one component need no
-check. A bucket whose members are still in several components, though all were compared with its
-least one, is then searched with further members as pivots (16 of them, then 64, ...), until all that
-could join components has been compared. So no pair of a bucket is passed over, and no group that is
-alike costs more than its members. A pair of similarity 0.8 shares a bucket with probability 0.9999.
+in each bucket all members are paired with one pivot, not with each other. The pivot is the member
+whose buckets hold most documents in all, so that a large group has one pivot in most of its buckets.
+Pairs are checked exactly, and verified pairs make components.
+
+What is left are members u that are not in their pivot's component. Let O be the overlap of two bags
+and |x| the size of one. A similarity of t needs O(u, v) >= t / (1 + t) (|u| + |v|), but
+O(u, v) <= min(O(u, p), O(v, p)) + what u and v share beyond their counts in p. So u and v are
+compared if they share such an excess shingle, or if min(O(u, p), O(v, p)) alone is enough, which
+needs a v that is smaller than p. All other pairs of the bucket are proved to be below t, and a group
+of copies with edits of their own costs its size, not its square. Where excess is needed at all, u is
+indexed by only as many excess shingles as leave none of its partners out.
+A pair of similarity 0.8 shares a bucket with probability 0.9999.
 
 Defined cases: a text of fewer than five words is one shingle; texts without a word are alike only if
 equal; null texts are in no class but their own; rows of one id are one document (its least text
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, cut, encode, grouped, mix64, small_batches, unit
@@ -42,7 +48,6 @@ BANDS = 32
 K = ROWS * BANDS
 SPARE = 3.0
 RANK_EDGES = np.concatenate([[0.0, 1 / 16, 1 / 4], 2.0 ** np.arange(0, 40)])
-PIVOTS = 16
 WORK_CHARS = 3_000_000
 
 _POLY = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -221,38 +226,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = members.filter("doc_id = rep").select("doc_id")
     # a bucket needs two members
     buckets = sketched.join(reps, "doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
-    shared = buckets.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("key", "least")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = cut(buckets.join(shared, "key"))
-    tested = buckets.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-    tested = cut(tested)
-    involved = cut(rows.join(buckets.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    first = tested.groupBy("a").agg(F.min("b").alias("b"))
+    central = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = buckets.join(central, "doc_id").select("key", "doc_id", F.struct("weight", (-F.col("doc_id")).alias("minus")).alias("rank"))
+    pivots = weighed.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.weight").alias("weight"))
+    star = cut(buckets.join(pivots, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b", "weight").distinct())
+    involved = cut(rows.join(central.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    first = star.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
     edges = cut(verified(first, involved, threshold))
     labels = components(edges)
-    rest = across(tested.join(first, ["a", "b"], "left_anti"), labels)
-    edges, labels = grow(edges, labels, rest, involved, threshold)
-    pivots = PIVOTS
-    done = 1  # members of each bucket, in order of id, that were pivots
-    while True:
-        # buckets that hold several components, and members that were not pivots
-        placed = buckets.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter(f"lo <> hi AND n > {done + 1}").select("key")
-        mixed = placed.join(split, "key")
-        ranked = mixed.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).filter(F.col("at") <= done + pivots)
-        chosen = ranked.filter(F.col("at") > done).select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        pairs = mixed.join(chosen, "key").filter("doc_id > b AND component <> cb").select(F.col("doc_id").alias("a"), "b").distinct()
-        if not split.limit(1).count():
-            break
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = cut(tested.union(pairs))
-        edges, labels = grow(edges, labels, pairs, involved, threshold)
-        done += pivots
-        pivots *= 4
+    edges, labels = grow(edges, labels, across(star.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), involved, threshold)
+    edges, labels = grow(edges, labels, leftover(star.select("a", "b"), labels, involved, threshold), involved, threshold)
     found = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
 
 
+def excess(a: tuple[np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of ``a`` beyond their counts in ``p``, by how much, and the overlap of both."""
+    both = np.searchsorted(p[0], a[0])
+    both[both == len(p[0])] = 0
+    known = np.where(p[0][both] == a[0], p[1][both], 0)
+    more = np.maximum(a[1] - known, 0)
+    return a[0][more > 0], more[more > 0], int(np.minimum(a[1], known).sum())
+
+
+def leftover(star: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket that may be similar though one is not in its pivot's component; see the module.
+
+    A pivot's family is all documents paired with it: of two documents of a bucket, both are in it.
+    """
+    of = lambda name, label: labels.select(F.col("id").alias(name), F.col("component").alias(label))
+    placed = star.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
+    open_families = placed.groupBy("b").agg(F.count("*").alias("n"), F.max("apart").alias("some"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1 AND some AND lo <> hi").select("b")
+    members = placed.join(open_families, "b")
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    schema = "b long, a long, c long, apart boolean, shingle long, indexed boolean, size long, overlap long"
+
+    def emit(batches):
+        pivot, at = None, None
+        for batch in batches:
+            parts = []
+            for a, b, c, apart, ta, tb in batch[["a", "b", "c", "apart", "text_a", "text_b"]].itertuples(index=False, name=None):
+                if at != b:
+                    pivot, at = bag(tb.encode("utf-8")), b
+                own = bag(ta.encode("utf-8"))
+                what, more, overlap = excess(own, pivot)
+                size = int(own[1].sum())
+                spare = max(0, int(np.ceil(threshold * size - overlap - 1e-9)) - 1)  # excess that a partner may lack
+                indexed = np.cumsum(more) > spare
+                shingle = pd.array([None, *what.view(np.int64).tolist()], "Int64")  # the first row: the document itself
+                parts.append(pd.DataFrame({"b": b, "a": a, "c": c, "apart": apart, "shingle": shingle, "indexed": np.concatenate([[True], indexed]), "size": size, "overlap": overlap}))
+            if parts:
+                yield pd.concat(parts)
+
+    rows = cut(members.join(left, "a").join(right, "b").mapInPandas(emit, schema))
+    one = rows.select("b", F.col("a").alias("u"), F.col("c").alias("cu"), "apart", "shingle", "indexed", F.col("size").alias("su"), F.col("overlap").alias("ou")).filter("apart")
+    other = rows.select("b", F.col("a").alias("v"), F.col("c").alias("cv"), "shingle", F.col("size").alias("sv"), F.col("overlap").alias("ov"))
+    sharing = one.filter("shingle IS NOT NULL AND indexed").join(other, ["b", "shingle"]).filter("cu <> cv").select("u", "v")
+    needed = F.lit(threshold / (1 + threshold) - 1e-12) * (F.col("su") + F.col("sv"))
+    small = one.filter("shingle IS NULL").join(other.filter("shingle IS NULL"), "b").filter((F.col("cu") != F.col("cv")) & (F.least("ou", "ov") >= needed)).select("u", "v")
+    return sharing.union(small).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+
+
 def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of two components."""
     a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -263,7 +300,7 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def grow(edges: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float):
     """Check further pairs and merge components by those that hold."""
-    new = cut(verified(pairs, texts, threshold))
+    new = cut(verified(cut(pairs), texts, threshold))
     if not new.limit(1).count():
         return edges, labels
     edges = cut(edges.union(new))
