@@ -6,15 +6,18 @@ phrase. Few phrases mean that the text is made of long pieces of that language.
 phrases, normalised by ``log2`` of the sample's length over the text's length, is the cross-parsing
 entropy in bits a character; the language with the least wins (ties: the first in order).
 
-The automata become one dense table of transitions in which a failing transition has been resolved
-to the state after the mismatching character, marked by its complement; so many texts are parsed at
-once with array operations. Letters are folded to lower case, all else is a word break, and phrases
-end at every ``SEGMENT`` characters so that a very long text is parsed as many short ones. Nothing
-is skipped.
+Each automaton becomes a table of transitions over the letters of its own sample, all of them, in
+which a failing transition has been resolved to the state after the mismatching character, marked by
+its complement; so many texts are parsed at once with array operations. Letters are folded to lower
+case, all else is a word break, and phrases end at every ``SEGMENT`` characters so that a very long
+text is parsed as many short ones. Nothing is skipped.
 
 Learning reads at most ``DOCS_PER_LANG`` documents of each language (those with the least hash of
-their id) and uses whole ones up to ``CHARS_PER_LANG`` characters. The table is broadcast: its size
-is at most ``2 * CHARS_PER_LANG * len(alphabet) * 4`` bytes a language, for ``MAX_LANGS`` languages.
+their id) and uses whole ones up to ``CHARS_PER_LANG`` characters; a longer one is read where there
+are not enough others, and its beginning fills what room is left. Any number of languages is learnt.
+The tables are broadcast. A dense one takes ``states * letters * 4`` bytes; those of the fewest letters
+are dense as long as all together stay within ``DENSE_BYTES``, the others are sorted lists of the
+transitions there are (at most about ``3 * CHARS_PER_LANG`` of 12 bytes). Both give the same phrases.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows
 all are ``und``; repeated rows, null ids and null labels are allowed; other columns are not read.
@@ -23,7 +26,6 @@ all are ``und``; repeated rows, null ids and null labels are allowed; other colu
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,7 @@ from .common import grouped, remainder, small_batches
 
 DOCS_PER_LANG = 48
 CHARS_PER_LANG = 60_000
-MAX_LANGS = 64
-MAX_ALPHABET = 63
+DENSE_BYTES = 256 << 20
 SEGMENT = 2048
 WORK_CHARS = 6_000_000
 UND = "und"
@@ -82,38 +83,64 @@ class SuffixAutomaton:
         return len(self.next) - 1
 
 
+class Dense:
+    """Transitions of one automaton as a matrix of states and letters."""
+
+    def __init__(self, automaton: SuffixAutomaton, width: int):
+        t = np.full((len(automaton.next), width), -1, np.int64)
+        for s, out in enumerate(automaton.next):
+            for c, to in out.items():
+                t[s, c] = to
+        restart = np.where(t[0] >= 0, t[0], 0)
+        self.width, self.table = width, np.where(t >= 0, t, ~restart[None, :]).astype(np.int32).ravel()
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.table.take(state.astype(np.int64) * self.width + c)
+
+
+class Sparse:
+    """The same as a sorted list of the transitions that do not fail."""
+
+    def __init__(self, automaton: SuffixAutomaton, width: int):
+        found = sorted((s * width + c, to) for s, out in enumerate(automaton.next) for c, to in out.items())
+        self.keys, self.to = np.array([k for k, _ in found], np.int64), np.array([to for _, to in found], np.int32)
+        self.width, self.restart = width, np.zeros(width, np.int32)
+        for c, to in automaton.next[0].items():
+            self.restart[c] = to
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], ~self.restart[c])
+
+
 class Model:
-    """langs: in order. classes: code of each character of the first planes. table: stacked transitions."""
+    """langs: in order. lookup: class of each character over all samples. own: by language, its code of each class."""
 
     def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)[:MAX_LANGS]
+        self.langs = sorted(samples)
         folded = {k: fold(samples[k]) for k in self.langs}
-        common = [c for c, _ in sorted(Counter("".join(folded.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))[: MAX_ALPHABET - 2]]
-        self.alphabet = {" ": 0} | {c: k + 1 for k, c in enumerate(common)}
-        self.width = len(self.alphabet) + 1  # the last class: letters that no sample has
-        self.bits = []
-        tables, self.roots, base = [], [], 0
-        for k in self.langs:
-            automaton = SuffixAutomaton([self.alphabet.get(c, self.width - 1) for c in folded[k]])
-            t = np.full((len(automaton.next), self.width), -1, np.int64)
-            for s, out in enumerate(automaton.next):
-                for c, to in out.items():
-                    t[s, c] = to
-            t[:, self.width - 1] = -1
-            restart = np.where(t[0] >= 0, t[0], 0)
-            t = np.where(t >= 0, t + base, ~(restart + base)[None, :])
-            tables.append(t.astype(np.int32))
-            self.roots.append(base)
-            self.bits.append(math.log2(max(2, len(folded[k]))))
-            base += len(automaton.next)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.lookup = np.full(0x20000, self.width - 1, np.uint8)
-        for c, k in self.alphabet.items():
+        alphabet = {c: k for k, c in enumerate(sorted({" "}.union(*map(set, folded.values()))))}
+        self.lookup = np.full(0x110000, len(alphabet), np.min_scalar_type(len(alphabet)))  # the last class: letters that no sample has
+        for c, k in alphabet.items():
             self.lookup[ord(c)] = k
+        self.bits = [math.log2(max(2, len(folded[k]))) for k in self.langs]
+        self.own, self.tables = [], [None] * len(self.langs)
+        letters = [{c: n for n, c in enumerate(sorted(set(folded[k])))} for k in self.langs]
+        for codes in letters:
+            own = np.full(len(alphabet) + 1, len(codes), np.min_scalar_type(len(codes)))  # the last code: letters that this sample lacks
+            for c, n in codes.items():
+                own[alphabet[c]] = n
+            self.own.append(own)
+        room = DENSE_BYTES
+        for k in sorted(range(len(self.langs)), key=lambda k: len(letters[k])):
+            automaton, width = SuffixAutomaton([letters[k][c] for c in folded[self.langs[k]]]), len(letters[k]) + 1
+            room -= len(automaton.next) * width * 4
+            self.tables[k] = (Dense if room >= 0 else Sparse)(automaton, width)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.lookup[np.minimum(points, 0x1FFFF)]
+        return self.lookup[points]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text by each language."""
@@ -128,17 +155,17 @@ class Model:
         size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
         order = np.argsort(-size, kind="stable")
         owner, at, size = owner[order], at[order], size[order]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(at), axis=1)
-        count = np.ones(state.shape, np.int32)  # the phrase that the end cuts short
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right") if len(size) else []
-        for step, n in enumerate(active):
-            c = flat[at[:n] + step]
-            v = self.table.take(state[:, :n].astype(np.int64) * self.width + c)
-            failed = v >> 31  # -1 where the match ends
-            count[:, :n] -= failed
-            state[:, :n] = v ^ failed
-        for k in range(len(self.langs)):
-            out[k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
+        for k, table in enumerate(self.tables):
+            own = self.own[k][flat]
+            state = np.zeros(len(at), np.int32)
+            count = np.ones(len(at), np.int32)  # the phrase that the end cuts short
+            for step, n in enumerate(active):
+                v = table.step(state[:n], own[at[:n] + step])
+                failed = v >> 31  # -1 where the match ends
+                count[:n] -= failed
+                state[:n] = v ^ failed
+            out[k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out
 
 
@@ -165,16 +192,16 @@ class Folder:
 
 def fit(docs: DataFrame) -> Model:
     """Learn from rows with a label; see the module for the bounds."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= CHARS_PER_LANG))
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
-    chosen = F.broadcast(ids.orderBy("lang", "rank").limit(DOCS_PER_LANG * MAX_LANGS))
-    rows = known.join(chosen, ["doc_id", "lang"]).select("lang", "rank", "doc_id", "text").collect()
+    rank = Window.partitionBy("lang").orderBy("over", F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("over", F.length("text") > CHARS_PER_LANG)
+    ids = known.select("doc_id", "lang", "over").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang", "over"]).select("lang", "rank", "doc_id", "over", F.substring("text", 1, CHARS_PER_LANG).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         held = samples.setdefault(r["lang"], [])
-        if sum(map(len, held)) + len(r["text"]) <= CHARS_PER_LANG:
-            held.append(r["text"])
+        room = CHARS_PER_LANG - sum(map(len, held))
+        if r["over"] or len(r["text"]) <= room:
+            held.append(r["text"][:room])
     return Model({k: " ".join(v) for k, v in samples.items()})
 
 

@@ -105,6 +105,27 @@ def test_langid_cases_and_accuracy(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.limit(5).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("dense_bytes", [0, langid.DENSE_BYTES])
+def test_langid_learns_every_script_and_every_language(monkeypatch, dense_bytes):
+    monkeypatch.setattr(langid, "DENSE_BYTES", dense_bytes)
+    rng = np.random.default_rng(7)
+    scripts = {"zh": range(0x4E00, 0x5200), "ja": range(0x3041, 0x3091), "el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450), "xx": range(0x20000, 0x20100)}
+    words = {k: ["".join(rng.choice([*map(chr, v)], 3)) for _ in range(300)] for k, v in scripts.items()}
+    say = lambda k: "".join(rng.choice(words[k], 1000))
+    samples = {k: say(k) for k in scripts}
+    many = {f"a{k:03}": "".join(rng.choice(list("abcdefgh"), 3000)) for k in range(70)}  # more than 64 before the scripts
+    model = langid.Model(samples | many)
+    assert [x[0] for x in langid.predict(model, [say(k) for k in scripts])] == [*scripts]
+
+
+def test_langid_learns_from_an_over_long_text(spark):
+    long = {k: " ".join(w * n for w in words for n in range(1, 4)) for k, words in (("aa", ("ab", "ba", "bb")), ("cc", ("cd", "dc", "dd")))}
+    rows = [(1, (long["aa"] + " ") * 2000, "aa"), (2, "abba baab", "aa"), (3, (long["cc"] + " ") * 2000, "cc")]
+    assert min(len(rows[0][1]), len(rows[2][1])) > langid.CHARS_PER_LANG
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "cc"] and [x[0] for x in langid.predict(model, list(long.values()))] == ["aa", "cc"]
+
+
 def test_quality_cases_and_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
