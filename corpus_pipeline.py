@@ -2,7 +2,8 @@
 
 quality: documents that the quality classifier rejects go.
 toxicity: documents that the toxicity classifier rejects go.
-near_duplicates: of each group of near-duplicates the document with the least id stays.
+near_duplicates: of each group of near-duplicates the document with the least id stays; different texts of
+one id are judged each by itself, the least text under the id and the others after all ids.
 substrings: passages that occur in an earlier document are cut out of the text; every document stays.
 packing: the texts are laid into bins of the permitted lengths, one row per piece.
 
@@ -31,8 +32,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = dartminhash.near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy"))
-    return docs.join(others, docs["doc_id"].cast("long") == F.col("__copy"), "left_anti")
+    texts = dartminhash.by_text(docs, "__text")
+    others = dartminhash.near_duplicates(texts, "__text").filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy"))
+    return texts.join(others, F.col("__text") == F.col("__copy"), "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

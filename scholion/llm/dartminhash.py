@@ -214,11 +214,43 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
 
 
+def mixed_ids(hashed: DataFrame) -> DataFrame | None:
+    """Ids of ``hashed`` (doc_id, digest) that have different texts; nothing if there are none."""
+    kinds = hashed.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("digest", F.lit("")).alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    mixed = cut(kinds.filter("lo <> hi").select("doc_id"))
+    return mixed if mixed.limit(1).count() else None
+
+
+def least_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """``sketched`` with the least text only of each id."""
+    mixed = mixed_ids(sketched)
+    if mixed is None:
+        return sketched
+    least = rows.join(mixed, "doc_id").groupBy("doc_id").agg(F.sha2(F.min("text"), 256).alias("least"))
+    return cut(sketched.join(least, "doc_id", "left").filter("least IS NULL OR digest = least").drop("least"))
+
+
+def by_text(docs: DataFrame, unit: str) -> DataFrame:
+    """``docs`` with a column ``unit`` that tells an id's texts apart: the id for its least text, ids beyond the greatest for others."""
+    key = F.col("doc_id").cast("long")
+    hashed = docs.select(key.alias("doc_id"), F.sha2(F.col("text"), 256).alias("digest"))
+    mixed = mixed_ids(hashed)
+    if mixed is None:
+        return docs.withColumn(unit, key)
+    least = docs.select(key.alias("doc_id"), "text").join(mixed, "doc_id").groupBy("doc_id").agg(F.sha2(F.min("text"), 256).alias("least"))
+    more = hashed.join(least, "doc_id").withColumn("digest", F.coalesce("digest", F.lit(""))).filter("digest <> least").select("doc_id", "digest").distinct()
+    top = hashed.agg(F.max("doc_id")).first()[0]
+    numbered = more.orderBy("doc_id", "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], top + 1 + x[1]))
+    units = cut(docs.sparkSession.createDataFrame(numbered, "__unit_doc long, __unit_digest string, __unit long"))
+    same = (key == F.col("__unit_doc")) & (F.coalesce(F.sha2(F.col("text"), 256), F.lit("")) == F.col("__unit_digest"))
+    return docs.join(units, same, "left").withColumn(unit, F.coalesce("__unit", key)).select(*docs.columns, unit)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    sketched = cut(sketch(rows))
+    sketched = least_texts(rows, cut(sketch(rows)))
     # equal texts: one representative each
     owner = sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = sketched.select("doc_id", "digest").join(owner, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))

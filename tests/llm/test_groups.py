@@ -188,6 +188,19 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    import corpus_pipeline
+
+    a, b, c = ("a " * 30).strip(), " ".join(WORDS[:40]), " ".join(WORDS[40:80])
+    rows = [(5, b), (5, a), (3, a), (7, b), (8, None), (8, c), (9, c), (11, c), (11, "zz " + c[::-1]), (None, a)]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in dartminhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {3: (3, 2), 5: (3, 2), 7: (7, 1), 8: (8, 3), 9: (8, 3), 11: (8, 3)}
+    left = corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, rows), "")
+    assert left.columns == ["doc_id", "text", "digest", "shard"]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(3, a), (7, b), (8, None), (8, c), (11, "zz " + c[::-1]), (None, a)])
+    assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, [(5, a), (5, b), (3, a)]), "").count() == 2  # b has no other copy
+
+
 def test_near_duplicates_of_nothing(spark):
     assert dartminhash.near_duplicates(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in dartminhash.near_duplicates(docs_of(spark, [(4, "a b")])).collect()] == [(4, 4, 1)]
