@@ -9,7 +9,7 @@ from .common import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``edges`` (a long, b long); the component is its least id.
+    """(id, component) for every id in ``edges`` (a, b, both long or both string); the component is its least id.
 
     Each round an id takes the least label among its neighbours' and then that label's own label, so
     a chain is halved; edges inside one component are dropped. Each round's labels are cut to the

@@ -6,8 +6,8 @@ are text lines ended by the two line breaks that end a WARC record, so Spark's o
 the archives, on any file system, with its commit protocol; payloads are shuffled once at most.
 ``read`` takes archives, plain or gzip with one or many members, parses records by their
 ``Content-Length``, and digests the payloads it has read. ``assemble`` joins request, response and
-metadata records of a capture, whichever of them names the other, also by way of a third, and emits
-one nested row per capture.
+metadata records of a capture, whichever of them names the other, also by way of any number of others,
+and emits one nested row per capture. A record that names several captures is in each of them.
 
 A file is read as one row, so ``RECORDS_PER_FILE`` bounds what a task holds; a capture's row holds the
 records that name it.
@@ -15,7 +15,8 @@ records that name it.
 Defined cases: a null html is an empty payload (empty payloads revisit each other like others); a
 null url is the empty URI; rows of one page_id are one page (that with the least payload digest);
 rows without a page_id are left out; records of a repeated id count once; request and metadata records
-that lead to no response make a capture without one; an empty table gives archives without records.
+that lead to no response make a capture without one, together if they name each other; an empty table
+gives archives without records.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, shared_path
+from .components import components
 
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
@@ -152,8 +154,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInPandas(run, RECORD_SCHEMA)
 
 
+def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, capture) of the records ``rest`` (id), which no capture's own record is tied to.
+
+    ``links``: (id, via), both ways. Those tied to each other go together, to every capture of the ``placed``
+    (id, capture) records that one of them is tied to; where there is none, to that named after their least id.
+    """
+    own = links.join(rest, "id", "left_semi")
+    inner = own.join(rest.withColumnRenamed("id", "via"), "via", "left_semi").select(F.col("id").alias("a"), F.col("via").alias("b"))
+    grouped = cut(rest.join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("group")))
+    met = own.join(placed.withColumnRenamed("id", "via"), "via").join(grouped, "id").select("group", "capture").distinct()
+    return cut(grouped.join(met, "group", "left").select("id", F.coalesce("capture", "group").alias("capture")))
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, request, response (structs), metadata (array of structs, by record id)."""
+    """One row per capture: capture_id, request (the least by record id), response (structs), metadata, requests (arrays of structs, by record id)."""
     body = F.struct("record_id", "type", "target_uri", "date", "refers_to", "declared_digest", "content_type", "block_bytes", "payload_bytes", "payload_digest", "fields")
     one = cut(records.filter("record_id IS NOT NULL").dropDuplicates(["record_id"]))
     first = F.col("type").isin("response", "revisit", "resource")
@@ -162,18 +177,20 @@ def assemble(records: DataFrame) -> DataFrame:
     ids = main.select(F.col("record_id").alias("capture"))
     direct = named(other, "id", "capture").join(ids, "capture", "left_semi").select("id", "capture")
     back = named(main, "capture", "id").join(other.select(F.col("record_id").alias("id")), "id", "left_semi").select("id", "capture")
-    near = cut(direct.union(back).groupBy("id").agg(F.min("capture").alias("capture")))
-    # by way of another record that has found its capture
-    way = named(other, "id", "via").union(named(other, "via", "id")).join(near.select("id"), "id", "left_anti").join(near.withColumnRenamed("id", "via"), "via")
-    placed = near.union(way.groupBy("id").agg(F.min("capture").alias("capture")))
+    placed = cut(direct.union(back).distinct())
+    rest = cut(other.select(F.col("record_id").alias("id")).join(placed, "id", "left_anti"))
+    if rest.limit(1).count():
+        placed = placed.union(indirect(named(other, "id", "via").union(named(other, "via", "id")), rest, placed))
     all_placed = placed.union(main.select(F.col("record_id").alias("id"), F.col("record_id").alias("capture")))
     rows = one.join(all_placed.withColumnRenamed("id", "record_id"), "record_id", "left").select(F.coalesce("capture", "record_id").alias("capture_id"), "type", body.alias("r"))
+    ordered = lambda name: F.array_sort(name, lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
     pick = lambda cond: F.min_by("r", F.when(cond, F.col("r.record_id")))
     return rows.groupBy("capture_id").agg(
         F.when(F.max((F.col("type") == "request").cast("int")) == 1, pick(F.col("type") == "request")).alias("request"),
         F.when(F.max(first.cast("int")) == 1, pick(first)).alias("response"),
         F.collect_list(F.when(~first & (F.col("type") != "request"), F.col("r"))).alias("metadata"),
-    ).withColumn("metadata", F.array_sort("metadata", lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)))
+        F.collect_list(F.when(F.col("type") == "request", F.col("r"))).alias("requests"),
+    ).withColumns({"metadata": ordered("metadata"), "requests": ordered("requests")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

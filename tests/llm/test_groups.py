@@ -52,6 +52,20 @@ def test_warc_parse_and_assemble(spark):
         list(warc.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nx"))
 
 
+def test_warc_assembles_far_and_shared_records(spark):
+    def rec(kind, name, *to):
+        return (f"<{name}>", kind, None, None, [f"<{t}>" for t in to], None, None, "", 0, 0, "", {})
+
+    rows = [rec("response", "r1"), rec("request", "q1", "r1"), rec("request", "q2", "r1"), rec("metadata", "m1", "q1"), rec("metadata", "m2", "m1"), rec("metadata", "m3", "m2", "gone")]
+    rows += [rec("response", "r2"), rec("metadata", "both", "r2", "r1"), rec("metadata", "far", "both"), rec("request", "q3", "m4"), rec("metadata", "m4"), rec("metadata", "m5", "m5")]
+    ids = lambda records: [x["record_id"][1:-1] for x in records]
+    got = {r["capture_id"][1:-1]: (r["request"] and r["request"]["record_id"][1:-1], ids(r["requests"]), ids(r["metadata"])) for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()}
+    assert got == {
+        "r1": ("q1", ["q1", "q2"], ["both", "far", "m1", "m2", "m3"]), "r2": (None, [], ["both", "far"]),
+        "m4": ("q3", ["q3"], ["m4"]), "m5": (None, [], ["m5"]),
+    }
+
+
 # Substrings
 
 
