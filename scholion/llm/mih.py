@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit for the sign of each component. A code is cut into segments; an index has
+A vector's code has one bit for the sign of each component, in a long, or in an array of longs where
+a vector has more than 64 components. A code is cut into segments; an index has
 a row for each segment of each different code. A query looks up, for every segment, the values at
 Hamming distance 0 from its own, then 1, and so on. If two codes differ in at most
 ``S * (r + 1) - 1`` of all bits, one of their S segments differs in at most r bits; so once the radius
@@ -30,10 +31,34 @@ K = 10
 WIDTH = 16
 
 
-def sign_code(vector: Column) -> Column:
-    """Up to 64 signs as the bits of a long; null for null or empty vectors."""
-    bits = F.zip_with(vector, F.sequence(F.lit(0), F.size(vector) - 1), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+def pieces(bits: int, width: int) -> list[tuple[int, int]]:
+    """Where the segments of a code begin and end: at most ``width`` bits each, and about equal."""
+    n = max(BITS, bits)
+    count = -(-n // width)
+    return [(n * s // count, n * (s + 1) // count) for s in range(count)]
+
+
+def words(bits: int, width: int) -> int:
+    return -(-len(pieces(bits, width)) // (BITS // width))
+
+
+def word(code: Column, at: int, bits: int, width: int) -> Column:
+    """The long of a code that holds the segments from ``at * (BITS // width)`` on."""
+    return code if words(bits, width) == 1 else code[at]
+
+
+def sign_code(vector: Column, bits: int = BITS, width: int = WIDTH) -> Column:
+    """Signs of up to ``bits`` components, each segment in ``width`` bits of a long; null for null or empty vectors."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    slots, longs = BITS // width, []
+    for s, (a, b) in enumerate(pieces(bits, width)):
+        signs = F.transform(F.slice(vector, a + 1, b - a), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero))
+        part = F.shiftleft(F.aggregate(signs, zero, lambda x, y: x.bitwiseOR(y)), s % slots * width)
+        if s % slots:
+            longs[-1] = longs[-1].bitwiseOR(part)
+        else:
+            longs.append(part)
+    return F.when(F.size(vector) > 0, longs[0] if len(longs) == 1 else F.array(*longs))
 
 
 def masks(width: int, radius: int) -> list[int]:
@@ -41,30 +66,31 @@ def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in chosen) for chosen in combinations(range(width), radius)]
 
 
-def segment_keys(code: Column, width: int) -> list[Column]:
+def segment_keys(code: Column, width: int, bits: int = BITS) -> list[Column]:
     """One long for each segment: the segment's number above its value."""
-    low = F.lit((1 << width) - 1).cast("long")
-    return [F.shiftrightunsigned(code, s * width).bitwiseAND(low).bitwiseOR(F.lit(s << width).cast("long")) for s in range(BITS // width)]
+    low, slots = F.lit((1 << width) - 1).cast("long"), BITS // width
+    return [F.shiftrightunsigned(word(code, s // slots, bits, width), s % slots * width).bitwiseAND(low).bitwiseOR(F.lit(s << width).cast("long")) for s in range(len(pieces(bits, width)))]
 
 
-def distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def distance(a: str, b: str, bits: int = BITS, width: int = WIDTH) -> Column:
+    apart = [F.bit_count(word(F.col(a), w, bits, width).bitwiseXOR(word(F.col(b), w, bits, width))) for w in range(words(bits, width))]
+    return sum(apart[1:], apart[0])
 
 
-def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
-    """``codes`` and ``queries``: (id long, code long). Gives query_id, rank, neighbor_id, distance."""
-    segments, need = BITS // width, k + 1
+def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH, bits: int = BITS) -> DataFrame:
+    """``codes`` and ``queries``: (id long, code by ``sign_code`` of the same ``bits`` and ``width``). Gives query_id, rank, neighbor_id, distance."""
+    segments, need = len(pieces(bits, width)), k + 1
     one = codes.filter("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("code"))
     least = one.withColumn("at", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("at") <= need)
     owners = cut(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    index = cut(owners.select("code", F.size("ids").alias("n"), F.explode(F.array(*segment_keys(F.col("code"), width))).alias("key")))
+    index = cut(owners.select("code", F.size("ids").alias("n"), F.explode(F.array(*segment_keys(F.col("code"), width, bits))).alias("key")))
     asked = cut(queries.filter("id IS NOT NULL AND code IS NOT NULL").groupBy("id").agg(F.min("code").alias("query")))
     active = cut(asked.select("query").distinct())
     found = finished = None
     for radius in range(width + 1):
         flips = F.explode(F.lit(masks(width, radius)).cast("array<long>"))
-        probes = active.select("query", F.explode(F.array(*segment_keys(F.col("query"), width))).alias("own")).select("query", "own", flips.alias("flip")).select("query", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
-        hits = probes.join(index, "key").select("query", "code", "n").withColumn("d", distance("query", "code"))
+        probes = active.select("query", F.explode(F.array(*segment_keys(F.col("query"), width, bits))).alias("own")).select("query", "own", flips.alias("flip")).select("query", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
+        hits = probes.join(index, "key").select("query", "code", "n").withColumn("d", distance("query", "code", bits, width))
         if found is not None:
             hits = hits.union(found.join(active, "query", "left_semi").select("query", "code", "n", "d"))
         hits = cut(hits.distinct())
@@ -93,8 +119,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH)
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Search for every row whose id is divisible by ``every`` among all rows."""
-    codes = cut(vectors.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col)).alias("code")))
-    return search(codes, codes.filter(F.col("id") % every == 0), k)
+    bits = max(BITS, vectors.agg(F.max(F.size(vector_col))).first()[0] or 0)
+    codes = cut(vectors.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col), bits).alias("code")))
+    return search(codes, codes.filter(F.col("id") % every == 0), k, bits=bits)
 
 
 SQL = """

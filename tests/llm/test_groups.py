@@ -262,6 +262,22 @@ def test_top_k_equals_brute_force(spark):
         assert [(d, i) for _, d, i in sorted(found)] == want
 
 
+@pytest.mark.parametrize("size", [65, 150])
+def test_top_k_of_long_vectors(spark, size):
+    rng = np.random.default_rng(size)
+    centre = rng.normal(size=(3, size))
+    vectors = {i: centre[i % 3] + 0.2 * rng.normal(size=size) for i in range(60)}
+    vectors[7] = vectors[7][:40]
+    rows = [(i, [float(x) for x in v]) for i, v in vectors.items()]
+    got = [tuple(r) for r in mih.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).collect()]
+    bits = {i: np.pad(v > 0, (0, size - len(v))) for i, v in vectors.items()}
+    want = []
+    for q in (0, 50):
+        near = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:3]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted(got) == want
+
+
 def test_top_k_of_few(spark):
     rows = [(0, [1.0] * 64), (50, [1.0] * 63 + [-1.0]), (7, [-1.0] * 64)]
     got = sorted((r["query_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in mih.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
