@@ -1,8 +1,9 @@
 """Helpers shared by the operators of this subpackage.
 
 Executors and driver share no local folder: whatever has to outlive a stage goes through
-``cut`` (``DataFrame.checkpoint``) or a table under ``shared_path``; both live in the folder
-that the cluster names in ``spark.checkpoint.dir``.
+``cut`` (``DataFrame.checkpoint``), a table under ``shared_path``, or a ``Scratch``, whose tables
+are deleted as soon as no later step reads them; all live in the folder that the cluster names in
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -43,6 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, by name. ``keep`` writes and rereads one; ``drop`` deletes those no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_path(spark, name)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.root}/{name}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Long texts: keep Arrow batches small whatever the session's default is."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -15,17 +15,21 @@ texts with an empty coordinate. So the cost is that of the text plus ``K ln K``,
 Joining. Equal texts are one class from the start. ``BANDS`` bands of ``ROWS`` coordinates are hashed;
 in each bucket all members are paired with one pivot, not with each other. The pivot is the member
 whose buckets hold most documents in all, so that a large group has one pivot in most of its buckets.
-Pairs are checked exactly, and verified pairs make components.
-
-What is left are members u that are not in their pivot's component. Let O be the overlap of two bags
-and |x| the size of one. A similarity of t needs O(u, v) >= t / (1 + t) (|u| + |v|), but
-O(u, v) <= min(O(u, p), O(v, p)) + what u and v share beyond their counts in p. So u and v are
-compared if they share such an excess shingle, or if min(O(u, p), O(v, p)) alone is enough, which
-needs a v that is smaller than p. All other pairs of the bucket are proved to be below t, and a group
-of copies with edits of their own costs its size, not its square. Where excess is needed at all, u is
-indexed by only as many excess shingles as leave none of its partners out.
+Pairs whose sizes allow a similarity of t are checked exactly, and verified pairs make components.
 A pair of similarity 0.8 shares a bucket with probability 0.9999.
 
+What is left are pairs of one bucket that are in different components. All documents paired with one
+pivot are a block (``within``). A block of few documents is compared pair by pair in one task. In a
+larger one, C is the bag of the shingles that are common in a few of its members. Let O be the overlap
+of two bags and |x| the size of one. A similarity of t needs O(u, v) >= t / (1 + t) (|u| + |v|), but
+O(u, v) <= min(O(u, C), O(v, C)) + what u and v share beyond their counts in C. So u and v can be
+similar only if min(O(u, C), O(v, C)) alone is enough, which makes both near to C, or if they share
+enough excess. A member whose excess, as far as others have it too, is not enough has no partner.
+The others are dealt into one block for each of their rarest excess shingles, as many as leave no
+partner out, and those blocks are treated in the same way. So a group of copies with edits of their
+own costs its size, not its square, and every pair of a bucket is compared, in one component, or
+proved to be below t. C may be any bag; it is taken of a sample because that changes the work only.
+
 Defined cases: a text of fewer than five words is one shingle; texts without a word are alike only if
 equal; null texts are in no class but their own; rows of one id are one document (its least text
 counts); rows with a null id are left out; empty tables give empty results; other columns are not read.
@@ -38,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, cut, encode, grouped, mix64, small_batches, unit
+from .common import GOLDEN, Scratch, cut, encode, grouped, mix64, small_batches, unit
 from .components import components
 
 SHINGLE = 5
@@ -49,6 +53,10 @@ K = ROWS * BANDS
 SPARE = 3.0
 RANK_EDGES = np.concatenate([[0.0, 1 / 16, 1 / 4], 2.0 ** np.arange(0, 40)])
 WORK_CHARS = 3_000_000
+#: A block of up to so many documents, of so many shingles in all, is compared in one task.
+FEW, FEW_SHINGLES = 32, 2_000_000
+#: Members that C is taken of, the share of them that must have a shingle, and how often blocks are divided.
+SAMPLED, COMMON, DEPTH = 32, 0.3, 4
 
 _POLY = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
@@ -183,17 +191,20 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, keys): digest of the text (null for null texts), bucket keys (none without a word). No shuffle."""
+    """(doc_id, digest, size, keys): digest of the text (null for null texts), number of shingles, bucket keys (none without a word). No shuffle."""
 
     def run(batches):
         poisson = Poisson()
         for rows in grouped(batches, lambda r: 60 + (len(r[1]) if isinstance(r[1], str) else 0), WORK_CHARS):
             bags = [bag(raw) for raw in encode(r[1] for r in rows)]
             keys = bands(signatures(bags, poisson))
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "digest": [r[2] for r in rows], "keys": [k if len(b[0]) else np.zeros(0, np.int64) for k, b in zip(keys, bags, strict=True)]})
+            yield pd.DataFrame({
+                "doc_id": [r[0] for r in rows], "digest": [r[2] for r in rows], "size": [int(b[1].sum()) for b in bags],
+                "keys": [k if len(b[0]) else np.zeros(0, np.int64) for k, b in zip(keys, bags, strict=True)],
+            })
 
     withed = docs.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
-    return withed.mapInPandas(run, "doc_id long, digest string, keys array<long>")
+    return withed.mapInPandas(run, "doc_id long, digest string, size long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -249,34 +260,109 @@ def by_text(docs: DataFrame, unit: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size."""
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near")
+    keep = scratch.keep
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    sketched = least_texts(rows, cut(sketch(rows)))
+    sketched = least_texts(rows, keep("sketched", sketch(rows)))
     # equal texts: one representative each
     owner = sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = sketched.select("doc_id", "digest").join(owner, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    members = cut(members.groupBy("doc_id").agg(F.min("rep").alias("rep")))
-    reps = members.filter("doc_id = rep").select("doc_id")
+    same = sketched.filter("digest IS NOT NULL").join(owner, "digest").select("doc_id", "rep", "size", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
+    same = keep("same", same)
+    members = same.select("doc_id", "rep").union(sketched.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("rep"))).distinct()
+    members = keep("members", members)
     # a bucket needs two members
-    buckets = sketched.join(reps, "doc_id").select("doc_id", F.explode("keys").alias("key")).distinct()
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(buckets.join(shared, "key"))
-    central = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    weighed = buckets.join(central, "doc_id").select("key", "doc_id", F.struct("weight", (-F.col("doc_id")).alias("minus")).alias("rank"))
-    pivots = weighed.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.weight").alias("weight"))
-    star = cut(buckets.join(pivots, "key").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b", "weight").distinct())
-    involved = cut(rows.join(central.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    first = star.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
-    edges = cut(verified(first, involved, threshold))
+    buckets = same.filter("doc_id = rep").select("doc_id", "size", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key", "n")
+    central = buckets.join(shared, "key").groupBy("doc_id", "size").agg(F.sum("n").alias("weight"), F.collect_set("key").alias("keys"))
+    central = keep("central", central)
+    scratch.drop("sketched", "same")
+    placed = central.select(F.explode("keys").alias("key"), "doc_id", "size", "weight")
+    pivots = placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.size").alias("size_b"))
+    pairs = placed.select("key", F.col("doc_id").alias("a"), F.col("size").alias("size_a")).join(pivots, "key").filter("a <> b")
+    star = keep("star", pairs.select("a", "b", "size_a", "size_b").distinct())
+    texts = keep("texts", rows.join(central.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    scratch.drop("central")
+    alike = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold - 1e-9)
+    edges = keep("edges", verified(star.filter(alike).select("a", "b"), texts, threshold))
     labels = components(edges)
-    edges, labels = grow(edges, labels, across(star.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), involved, threshold)
-    edges, labels = grow(edges, labels, leftover(star.select("a", "b"), labels, involved, threshold), involved, threshold)
+    blocks = relabelled(star.select(F.col("b").alias("block"), F.col("a").alias("doc"), F.col("size_a").alias("size")), labels)
+    labels = merged(labels, within(blocks, texts, threshold, scratch))
+    scratch.drop("star", "texts", "edges")
     found = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
 
 
+def relabelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``blocks`` (block, doc, size) with ``comp``, the component of each document."""
+    of = labels.select(F.col("id").alias("doc"), F.col("component").alias("comp"))
+    return blocks.join(of, "doc", "left").select("block", "doc", "size", F.coalesce("comp", "doc").alias("comp"))
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``labels`` (id, component) with components joined by ``pairs`` (a, b) of them."""
+    joined = components(pairs).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    known = labels.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    return known.union(joined.join(labels.select("component"), "component", "left_anti").select("component", "least"))
+
+
+def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of components that have similar documents in one block; see the module.
+
+    ``blocks``: block, doc, size, comp, with a row for each document of a block.
+    """
+    found = None
+    for depth in range(DEPTH + 1):
+        counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        open_blocks = counts.filter("lo <> hi").select("block", "n", "smallest", ((F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)).alias("few"))
+        members = scratch.keep(f"members{depth}", blocks.join(open_blocks, "block"))
+        pairs = few_pairs(members.filter("few"), texts, threshold)
+        large = members.filter("NOT few").drop("few")
+        last = not large.limit(1).count()
+        if depth == DEPTH and not last:  # every pair that is left
+            u, v = (large.select("block", F.col("doc").alias(x), F.col("comp").alias(f"c{x}"), F.col("size").alias(f"s{x}")) for x in ("u", "v"))
+            pairs = pairs.union(tried(u.join(v, "block").filter((F.col("cu") < F.col("cv")) & (F.least("su", "sv") >= F.greatest("su", "sv") * F.lit(threshold - 1e-9))), texts, threshold))
+            last = True
+        elif not last:
+            beyond = scratch.keep(f"beyond{depth}", excesses(large, texts, threshold))
+            pairs = pairs.union(near_centre(beyond.filter("spare < 0"), texts, threshold, scratch, depth))
+            blocks = scratch.keep(f"blocks{depth + 1}", divided(beyond))
+        pairs = scratch.keep(f"pairs{depth}", pairs.distinct())
+        found = pairs if found is None else found.union(pairs)
+        scratch.drop(f"members{depth}", f"beyond{depth}", f"blocks{depth}", f"free{depth}", f"centred{depth}")
+        if last:
+            return found
+
+
+def few_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of components by comparing all documents of each block, which has few."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        bags = [bag(t.encode("utf-8")) for t in group["text"]]
+        sizes, comps, out = [int(b[1].sum()) for b in bags], group["comp"].tolist(), []
+        now = list(comps)
+        for i in range(len(bags)):
+            for j in range(i):
+                if now[i] != now[j] and min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) and similarity(bags[i], bags[j]) >= threshold:
+                    out.append((comps[i], comps[j]))
+                    now = [now[j] if c == now[i] else c for c in now]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    withed = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("block", "doc", "comp", "text")
+    return withed.groupBy("block").applyInPandas(compare, "a long, b long")
+
+
+def tried(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of components (cu, cv) of which documents (u, v) are similar; each pair of documents is compared once."""
+    one = pairs.groupBy(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).agg(F.min(F.struct("cu", "cv")).alias("c"))
+    same = verified(one.select("a", "b"), texts, threshold)
+    return same.join(one, ["a", "b"]).select(F.col("c.cu").alias("a"), F.col("c.cv").alias("b"))
+
+
 def excess(a: tuple[np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles of ``a`` beyond their counts in ``p``, by how much, and the overlap of both."""
+    if not len(p[0]):
+        return a[0], a[1], 0
     both = np.searchsorted(p[0], a[0])
     both[both == len(p[0])] = 0
     known = np.where(p[0][both] == a[0], p[1][both], 0)
@@ -284,56 +370,78 @@ def excess(a: tuple[np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray]) -
     return a[0][more > 0], more[more > 0], int(np.minimum(a[1], known).sum())
 
 
-def leftover(star: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket that may be similar though one is not in its pivot's component; see the module.
+def centre(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least two of ``bags`` have, and ``COMMON`` of them, with their median count there."""
+    every, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    order = np.lexsort((counts, every))
+    kinds, start, n = np.unique(every[order], return_index=True, return_counts=True)
+    often = n >= max(2, COMMON * len(bags))
+    return kinds[often], counts[order][(start + n // 2)[often]]
 
-    A pivot's family is all documents paired with it: of two documents of a bucket, both are in it.
+
+def excesses(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """For each member of a block: its overlap with the block's centre, its excess, and ``spare``.
+
+    ``spare``: how much of its excess a partner may lack, if all partners are as small as can be; below 0
+    if a partner may lack all.
     """
-    of = lambda name, label: labels.select(F.col("id").alias(name), F.col("component").alias(label))
-    placed = star.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("c"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
-    open_families = placed.groupBy("b").agg(F.count("*").alias("n"), F.max("apart").alias("some"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1 AND some AND lo <> hi").select("b")
-    members = placed.join(open_families, "b")
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    schema = "b long, a long, c long, apart boolean, shingle long, indexed boolean, size long, overlap long"
+    texts = texts.withColumnRenamed("doc_id", "doc")
+    chance = F.pmod(F.xxhash64("block", "doc"), F.lit(1 << 20)) / F.lit(1 << 20)
+    sample = members.filter(chance < F.lit(SAMPLED) / F.col("n")).join(texts, "doc").select("block", "text")
+
+    def of_block(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kinds, counts = centre([bag(t.encode("utf-8")) for t in group["text"]])
+        return pd.DataFrame({"block": [key[0]], "kinds": [kinds.view(np.int64)], "counts": [counts]})
+
+    centres = sample.groupBy("block").applyInPandas(of_block, "block long, kinds array<long>, counts array<long>")
 
     def emit(batches):
-        pivot, at = None, None
+        known, at = None, None
         for batch in batches:
-            parts = []
-            for a, b, c, apart, ta, tb in batch[["a", "b", "c", "apart", "text_a", "text_b"]].itertuples(index=False, name=None):
-                if at != b:
-                    pivot, at = bag(tb.encode("utf-8")), b
-                own = bag(ta.encode("utf-8"))
-                what, more, overlap = excess(own, pivot)
+            out = []
+            for block, doc, comp, smallest, text, kinds, counts in batch[["block", "doc", "comp", "smallest", "text", "kinds", "counts"]].itertuples(index=False, name=None):
+                if at != block:
+                    none = np.zeros(0, np.int64)
+                    known, at = (none.view(np.uint64), none) if kinds is None else (np.array(kinds, np.int64).view(np.uint64), np.array(counts, np.int64)), block
+                own = bag(text.encode("utf-8"))
+                what, more, overlap = excess(own, known)
                 size = int(own[1].sum())
-                spare = max(0, int(np.ceil(threshold * size - overlap - 1e-9)) - 1)  # excess that a partner may lack
-                indexed = np.cumsum(more) > spare
-                shingle = pd.array([None, *what.view(np.int64).tolist()], "Int64")  # the first row: the document itself
-                parts.append(pd.DataFrame({"b": b, "a": a, "c": c, "apart": apart, "shingle": shingle, "indexed": np.concatenate([[True], indexed]), "size": size, "overlap": overlap}))
-            if parts:
-                yield pd.concat(parts)
-
-    rows = cut(members.join(left, "a").join(right, "b").mapInPandas(emit, schema))
-    one = rows.select("b", F.col("a").alias("u"), F.col("c").alias("cu"), "apart", "shingle", "indexed", F.col("size").alias("su"), F.col("overlap").alias("ou")).filter("apart")
-    other = rows.select("b", F.col("a").alias("v"), F.col("c").alias("cv"), "shingle", F.col("size").alias("sv"), F.col("overlap").alias("ov"))
-    sharing = one.filter("shingle IS NOT NULL AND indexed").join(other, ["b", "shingle"]).filter("cu <> cv").select("u", "v")
-    needed = F.lit(threshold / (1 + threshold) - 1e-12) * (F.col("su") + F.col("sv"))
-    small = one.filter("shingle IS NULL").join(other.filter("shingle IS NULL"), "b").filter((F.col("cu") != F.col("cv")) & (F.least("ou", "ov") >= needed)).select("u", "v")
-    return sharing.union(small).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-
-
-def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of two components."""
-    a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    placed = pairs.join(a, "a", "left").join(b, "b", "left")
-    return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def grow(edges: DataFrame, labels: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float):
-    """Check further pairs and merge components by those that hold."""
-    new = cut(verified(cut(pairs), texts, threshold))
-    if not new.limit(1).count():
-        return edges, labels
-    edges = cut(edges.union(new))
-    return edges, components(edges)
+                need = threshold / (1 + threshold) * (size + max(smallest, threshold * size)) - overlap
+                out.append((block, doc, comp, size, overlap, max(-1, int(np.ceil(need - 1e-9)) - 1), what.view(np.int64), more))
+            yield pd.DataFrame(out, columns=["block", "doc", "comp", "size", "overlap", "spare", "shingles", "more"])
+
+    withed = members.join(texts, "doc").join(centres, "block", "left")
+    return withed.mapInPandas(emit, "block long, doc long, comp long, size long, overlap long, spare long, shingles array<long>, more array<long>")
+
+
+def divided(beyond: DataFrame) -> DataFrame:
+    """Blocks of the members that share one of their rarest excess shingles; see the module."""
+    lines = beyond.select("block", "doc", "comp", "size", "spare", F.explode(F.arrays_zip("shingles", "more")).alias("x")).select("block", "doc", "comp", "size", "spare", F.col("x.shingles").alias("shingle"), F.col("x.more").alias("more"))
+    often = lines.groupBy("block", "shingle").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block", "shingle", "n")
+    # from the commonest shingle on: what stays within the member's spare is left out
+    known = lines.join(often, ["block", "shingle"]).groupBy("block", "doc", "comp", "size", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "more")), False).alias("xs"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("keys"))
+
+    def step(s, x):
+        upto = s["sum"] + x["more"]
+        return F.struct(upto.alias("sum"), F.when(upto > F.col("spare"), F.concat(s["keys"], F.array(x["shingle"]))).otherwise(s["keys"]).alias("keys"))
+
+    keyed = known.select("block", "doc", "comp", "size", F.explode(F.aggregate("xs", start, step, lambda s: s["keys"])).alias("shingle"))
+    return keyed.select(F.xxhash64("block", "shingle").alias("block"), "doc", "size", "comp")
+
+
+def near_centre(free: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch, depth: int) -> DataFrame:
+    """Pairs of components by members (block, doc, comp, size, overlap) that may be similar by their overlaps with the centre alone.
+
+    All are compared with that of the largest overlap first, and then those that were not joined by it.
+    """
+    free = free.select("block", "doc", "comp", "size", "overlap")
+    top = free.groupBy("block").agg(F.max(F.struct("overlap", (-F.col("doc")).alias("minus"), "comp", "size")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    ready = free.join(top, "block").select("block", F.col("doc").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("su"), F.col("overlap").alias("ou"), (-F.col("top.minus")).alias("v"), F.col("top.comp").alias("cv"))
+    free = scratch.keep(f"free{depth}", ready)
+    first = scratch.keep(f"centred{depth}", tried(free.filter("cu <> cv"), texts, threshold).distinct())
+    joined = first.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    left = free.filter("cu <> cv").withColumns({"x": F.greatest("cu", "cv"), "y": F.least("cu", "cv")}).join(joined, ["x", "y"], "left_anti").select("block", "u", "cu", "su", "ou")
+    other = free.filter("u <> v").select("block", F.col("u").alias("v"), F.col("cu").alias("cv"), F.col("su").alias("sv"), F.col("ou").alias("ov"))
+    enough = F.least("ou", "ov") >= F.lit(threshold / (1 + threshold)) * (F.col("su") + F.col("sv")) - F.lit(1e-9)
+    return first.union(tried(left.join(other, "block").filter((F.col("cu") != F.col("cv")) & enough).select("u", "v", "cu", "cv"), texts, threshold))

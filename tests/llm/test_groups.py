@@ -202,6 +202,18 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("seed, depth", [(6, 0), (8, 1), (9, 4)])
+def test_divided_blocks_equal_brute_force(spark, monkeypatch, seed, depth):
+    """Blocks of more than two documents are divided; one line that a third of all share, and one large near group."""
+    for name, value in (("FEW", 2), ("SAMPLED", 6), ("DEPTH", depth)):
+        monkeypatch.setattr(dartminhash, name, value)
+    rng = random.Random(seed)
+    line = " ".join(rng.choice(WORDS) * 2 for _ in range(60))
+    rows = [(i, f"{t} {line}" if i % 3 == 0 else t) for i, t in family_rows(seed)]
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_of_an_id_with_two_texts(spark):
     import corpus_pipeline
 
