@@ -1,22 +1,24 @@
 """WARC archives: writing, reading back, and assembly of transactions.
 
-``write`` gives each page three records: a request, a response (or a revisit of the page with the
-least id that has the same payload) and metadata, tied together by ``WARC-Concurrent-To``. Records
-are text lines ended by the two line breaks that end a WARC record, so Spark's own text writer makes
-the archives, on any file system, with its commit protocol; payloads are shuffled once at most.
-``read`` takes archives, plain or gzip with one or many members, parses records by their
-``Content-Length``, and digests the payloads it has read. ``assemble`` joins request, response and
-metadata records of a capture, whichever of them names the other, also by way of any number of others,
-and emits one nested row per capture. A record that names several captures is in each of them.
+``write`` gives each row of pages three records: a request, a response (or a revisit of the first row
+that has the same payload) and metadata, tied together by ``WARC-Concurrent-To``. Records are text
+lines ended by the two line breaks that end a WARC record, so Spark's own text writer makes the
+archives, on any file system, with its commit protocol. Payloads are shuffled once, by a key of the
+row, whatever the sizes. ``read`` takes archives, plain or gzip with one or many members, parses
+records by their ``Content-Length`` as they are inflated, and digests the payloads it has read.
+``assemble`` joins request, response and metadata records of a capture, whichever of them names the
+other, also by way of any number of others, and emits one nested row per capture. A record that names
+several captures is in each of them.
 
 A file is read as one row, so ``RECORDS_PER_FILE`` bounds what a task holds; a capture's row holds the
 records that name it.
 
 Defined cases: a null html is an empty payload (empty payloads revisit each other like others); a
-null url is the empty URI; rows of one page_id are one page (that with the least payload digest);
-rows without a page_id are left out; records of a repeated id count once; request and metadata records
-that lead to no response make a capture without one, together if they name each other; an empty table
-gives archives without records.
+null url is the empty URI; of rows with one payload that of the least page_id is the response, null ids
+come last, and ties go by a digest of the row; equal rows are records of their own; records of a
+repeated id count once; what cannot be parsed is a row with ``error`` and no id, after which the rest of
+that file is left; request and metadata records that lead to no response make a capture without one,
+together if they name each other; an empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -24,35 +26,34 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path
+from .common import Scratch
 from .components import components
 
 RECORDS_PER_FILE = 2000
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS, _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 RECORD_SCHEMA = (
     "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, declared_digest string, "
-    "content_type string, block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>"
+    "content_type string, block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>, error string"
 )
 
 
 def sha1_base32(raw: Column) -> Column:
     """Bare upper-case base32 of the SHA-1, in JVM expressions: four times 40 bits are eight letters each."""
     hexed = F.sha1(raw)
-    letters = []
-    for part in range(4):
-        bits = F.conv(F.substring(hexed, part * 10 + 1, 10), 16, 10).cast("long")
-        letters += [F.substring(F.lit(_ALPHABET), F.shiftright(bits, 35 - 5 * k).bitwiseAND(F.lit(31).cast("long")).cast("int") + 1, F.lit(1)) for k in range(8)]
-    return F.concat(*letters)
+    parts = [F.lpad(F.conv(F.substring(hexed, part * 10 + 1, 10), 16, 32), 8, "0") for part in range(4)]
+    return F.translate(F.concat(*parts), _DIGITS, _ALPHABET)
 
 
 def record_uri(kind: str, key: Column) -> Column:
@@ -68,15 +69,17 @@ def record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Archive ``pages`` (page_id, url, html) under ``path``."""
-    html = F.coalesce(F.col("html"), F.lit(""))
+    page, html = F.col("page_id").cast("long"), F.coalesce(F.col("html"), F.lit(""))
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "+")
-    rows = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), uri.alias("uri"), html.alias("html"), sha1_base32(html.cast("binary")).alias("digest"))
-    one = rows.select("page_id", "digest").groupBy("page_id").agg(F.min("digest").alias("digest"))
-    least = one.groupBy("digest").agg(F.min("page_id").alias("owner"))
-    plan = cut(one.join(least, "digest").select("page_id", "digest", "owner"))
-    ready = rows.join(plan, ["page_id", "digest"]).dropDuplicates(["page_id"])
-    again = F.col("page_id") != F.col("owner")
-    request, response, about = (record_uri(kind, F.col("page_id")) for kind in ("request", "response", "metadata"))
+    rows = pages.select(page.alias("page_id"), uri.alias("uri"), html.alias("html"), sha1_base32(html.cast("binary")).alias("digest"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "uri")))
+    kinds = rows.groupBy("key", "page_id", "digest").agg(F.count("*").alias("n"))
+    first = kinds.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("first"))
+    plan = kinds.join(first, "digest").select("key", "n", F.col("first.key").alias("owner"))
+    ready = rows.join(plan, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    again = (F.col("key") != F.col("owner")) | (F.col("copy") > 1)
+    name = F.concat_ws(":", "key", "copy")
+    request, response, about = (record_uri(kind, name) for kind in ("request", "response", "metadata"))
     host = F.coalesce(F.nullif(F.regexp_extract("uri", r"^[a-z]+://([^/]*)", 1), F.lit("")), F.lit("localhost"))
     where = F.coalesce(F.nullif(F.regexp_extract("uri", r"^[a-z]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/"))
     date = ("WARC-Date", F.lit(DATE))
@@ -89,40 +92,37 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
     answered = record(
         [
             ("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", response), date, target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-            ("WARC-Profile", F.when(again, PROFILE)), ("WARC-Refers-To", F.when(again, record_uri("response", F.col("owner")))), ("Content-Type", F.lit("application/http; msgtype=response")),
+            ("WARC-Profile", F.when(again, PROFILE)), ("WARC-Refers-To", F.when(again, record_uri("response", F.concat(F.col("owner"), F.lit(":1"))))), ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(again, head).otherwise(F.concat(head, "html")),
     )
     told = record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", about), date, target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")),
+        F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
     )
     lines = ready.select(F.concat(asked, F.lit(END), answered, F.lit(END), told).alias("value"))
     lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, records_per_file // 3)).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", errors="replace").split("\r\n") if stop >= 0 else []
-        if not lines or not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+    """(headers by lower-case name, block) of each record of an archive, one at a time."""
+    raw = io.BytesIO(content)
+    data = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+    while line := data.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:20]!r}")
         headers: dict[str, list[str]] = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
+        while (line := data.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", errors="replace").partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        size = int(headers["content-length"][0])
-        at = stop + 4 + size
-        if at > len(data):
+        if "content-length" not in headers or "warc-type" not in headers:
+            raise ValueError("a record without a length or a type")
+        block = data.read(int(headers["content-length"][0]))
+        if len(block) < int(headers["content-length"][0]):
             raise ValueError("an archive ends inside a record")
-        yield headers, data[stop + 4 : at]
+        yield headers, block
 
 
 def digest(raw: bytes) -> str:
@@ -138,7 +138,7 @@ def describe(headers: dict[str, list[str]], block: bytes) -> tuple:
     one = lambda name: headers.get(name, [None])[0]
     return (
         one("warc-record-id"), kind, one("warc-target-uri"), one("warc-date"), headers.get("warc-concurrent-to", []), one("warc-refers-to"),
-        one("warc-payload-digest"), media, len(block), len(payload), digest(payload), {k.strip(): v.strip() for k, _, v in fields},
+        one("warc-payload-digest"), media, len(block), len(payload), digest(payload), {k.strip(): v.strip() for k, _, v in fields}, None,
     )
 
 
@@ -146,15 +146,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``, without their payloads."""
     names = [part.strip().split()[0] for part in RECORD_SCHEMA.replace("map<string,string>", "map").split(", ")]
 
+    def records(content: bytes) -> Iterator[tuple]:
+        try:
+            for headers, block in parse(content):
+                yield describe(headers, block)
+        except (ValueError, EOFError, OSError, zlib.error) as e:  # a foreign archive's fault is a row
+            yield (*[None] * (len(names) - 1), f"{type(e).__name__}: {e}")
+
     def run(batches):
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame([describe(*r) for r in parse(content)], columns=names)
+                yield pd.DataFrame(list(records(content)), columns=names)
 
     return spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInPandas(run, RECORD_SCHEMA)
 
 
-def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame) -> DataFrame:
+def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, capture) of the records ``rest`` (id), which no capture's own record is tied to.
 
     ``links``: (id, via), both ways. Those tied to each other go together, to every capture of the ``placed``
@@ -162,27 +169,35 @@ def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame) -> DataFrame:
     """
     own = links.join(rest, "id", "left_semi")
     inner = own.join(rest.withColumnRenamed("id", "via"), "via", "left_semi").select(F.col("id").alias("a"), F.col("via").alias("b"))
-    grouped = cut(rest.join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("group")))
+    grouped = scratch.keep("grouped", rest.join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("group")))
     met = own.join(placed.withColumnRenamed("id", "via"), "via").join(grouped, "id").select("group", "capture").distinct()
-    return cut(grouped.join(met, "group", "left").select("id", F.coalesce("capture", "group").alias("capture")))
+    return grouped.join(met, "group", "left").select("id", F.coalesce("capture", "group").alias("capture"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, request (the least by record id), response (structs), metadata, requests (arrays of structs, by record id)."""
+    """One row per capture: capture_id, request (the least by record id), response (structs), metadata, requests (arrays of structs, by record id).
+
+    ``records`` is read more than once: give a table. Captures are found on ids alone; the records are moved
+    once to their captures' ids, and once to the captures.
+    """
+    scratch = Scratch(records.sparkSession, "captures")
     body = F.struct("record_id", "type", "target_uri", "date", "refers_to", "declared_digest", "content_type", "block_bytes", "payload_bytes", "payload_digest", "fields")
-    one = cut(records.filter("record_id IS NOT NULL").dropDuplicates(["record_id"]))
+    known = records.filter("record_id IS NOT NULL")
     first = F.col("type").isin("response", "revisit", "resource")
-    main, other = one.filter(first), one.filter(~first)
-    named = lambda df, a, b: df.select(F.col("record_id").alias(a), F.explode("concurrent_to").alias(b))
-    ids = main.select(F.col("record_id").alias("capture"))
-    direct = named(other, "id", "capture").join(ids, "capture", "left_semi").select("id", "capture")
-    back = named(main, "capture", "id").join(other.select(F.col("record_id").alias("id")), "id", "left_semi").select("id", "capture")
-    placed = cut(direct.union(back).distinct())
-    rest = cut(other.select(F.col("record_id").alias("id")).join(placed, "id", "left_anti"))
+    ids = known.select("record_id", F.struct((~first).alias("other"), F.array_distinct("concurrent_to").alias("to")).alias("x")).groupBy("record_id").agg(F.min("x").alias("x"))
+    ids = scratch.keep("ids", ids.select(F.col("record_id").alias("id"), "x.other", "x.to"))
+    main, other = ids.filter("NOT other"), ids.filter("other")
+    named = lambda df, a, b: df.filter("size(to) > 0").select(F.col("id").alias(a), F.explode("to").alias(b))
+    direct = named(other, "id", "capture").join(main.select(F.col("id").alias("capture")), "capture", "left_semi").select("id", "capture")
+    direct = scratch.keep("direct", direct)
+    back = named(main, "capture", "id").join(other.select("id"), "id", "left_semi").join(direct, ["id", "capture"], "left_anti").select("id", "capture")
+    placed = direct.union(scratch.keep("back", back))
+    rest = scratch.keep("rest", other.select("id").join(placed, "id", "left_anti"))
     if rest.limit(1).count():
-        placed = placed.union(indirect(named(other, "id", "via").union(named(other, "via", "id")), rest, placed))
-    all_placed = placed.union(main.select(F.col("record_id").alias("id"), F.col("record_id").alias("capture")))
-    rows = one.join(all_placed.withColumnRenamed("id", "record_id"), "record_id", "left").select(F.coalesce("capture", "record_id").alias("capture_id"), "type", body.alias("r"))
+        links = named(other, "id", "via").union(named(other, "via", "id"))
+        placed = placed.union(scratch.keep("indirect", indirect(links, rest, placed, scratch)))
+    all_placed = placed.union(main.select("id", F.col("id").alias("capture")))
+    rows = known.dropDuplicates(["record_id"]).join(all_placed.withColumnRenamed("id", "record_id"), "record_id").select(F.col("capture").alias("capture_id"), "type", body.alias("r"))
     ordered = lambda name: F.array_sort(name, lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0))
     pick = lambda cond: F.min_by("r", F.when(cond, F.col("r.record_id")))
     return rows.groupBy("capture_id").agg(
@@ -194,12 +209,19 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages' archives, read them back, assemble, and tell what each page's capture says."""
+    """Write the pages' archives, read them back, assemble, and tell what each page's capture says.
+
+    The archives are deleted once their records are a table.
+    """
     spark = pages.sparkSession
-    path = shared_path(spark, "warc")
-    write(pages, path)
-    captures = assemble(read(spark, path))
-    flat = cut(captures.select("capture_id", F.element_at("metadata", 1)["fields"]["pageId"].cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("d"), F.col("response.target_uri").alias("target_uri")))
+    scratch = Scratch(spark, "warc")
+    archives = f"{scratch.root}/archives"
+    write(pages, archives)
+    records = scratch.keep("records", read(spark, archives))
+    scratch.drop("archives")
+    captures = assemble(records)
+    flat = captures.select("capture_id", F.element_at("metadata", 1)["fields"]["pageId"].cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("d"), F.col("response.target_uri").alias("target_uri"))
+    flat = scratch.keep("flat", flat)
     origin = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("n").alias("n0"), F.col("d").alias("d0"))
     return flat.join(origin, "to", "left").select(
         "page_id", F.coalesce("n0", "n").alias("payload_bytes"), F.coalesce("d0", "d").alias("payload_digest"), "record_type", "refers_to", "target_uri",

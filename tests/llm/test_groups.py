@@ -23,17 +23,39 @@ def docs_of(spark, rows):
 # WARC
 
 
-def test_warc_round_trip(spark):
-    pages = [(5, "http://a/x y", "é" * 10), (2, None, "é" * 10), (9, "http://b", None), (7, "http://c", ""), (1, "http://d", "WARC/1.0\r\n\r\nx\r\n\r\n"), (1, "http://d", "WARC/1.0\r\n\r\nx\r\n\r\n"), (None, "http://e", "e"), (30, "u", "z" * 200_000)]
-    out = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")).collect()}
-    html = {i: (h or "").encode() for i, _, h in pages if i is not None}
-    assert set(out) == set(html)
-    for i, raw in html.items():
-        least = min(k for k, v in html.items() if v == raw)
-        r = out[i]
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), b32encode(hashlib.sha1(raw).digest()).decode())
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if least == i else ("revisit", least))
-    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+def brute_warc(pages):
+    """(page_id, bytes, digest, type, refers_to) of each row, by hand: null ids last."""
+    out, first = [], {}
+    for i, _, html in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
+        raw = (html or "").encode()
+        out.append((i, len(raw), b32encode(hashlib.sha1(raw).digest()).decode(), *(("revisit", first[raw]) if raw in first else ("response", None))))
+        first.setdefault(raw, i)
+    return Counter(out)
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10 << 20])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    pages = [(5, "http://a/x y", "é" * 10), (2, None, "é" * 10), (9, "http://b", None), (7, "http://c", ""), (1, "http://d", "WARC/1.0\r\n\r\nx\r\n\r\n"), (1, "http://d", "WARC/1.0\r\n\r\nx\r\n\r\n")]
+    pages += [(1, "http://d", "other"), (1, "http://dd", "other"), (None, "http://e", "e"), (None, "http://f", "e"), (None, "http://f", "other"), (30, "u", "z" * 200_000)]
+    pages += [(100 + k, f"http://g/{k}", "common" if k % 3 == 0 else f"page {k}\r\n\r\n") for k in range(60)]
+    monkeypatch.setattr(warc.write, "__defaults__", (9,))  # many archives
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = warc.round_trip(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")).collect()
+        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows) == brute_warc(pages)
+        assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_warc_read_tells_broken_archives(spark, tmp_path):
+    good = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <g>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    for name, content in (("a", good + b"junk\r\n"), ("b", gzip.compress(good)[:-9]), ("c", good.replace(b"Content-Length: 1\r\n", b"")), ("d", good.replace(b": 1", b": nine")), ("e", b"")):
+        (tmp_path / name).write_bytes(content)
+    got = Counter((r["record_id"], r["error"] is None) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got[(None, False)] == 4 and got[("<g>", True)] >= 1
+    assert warc.assemble(warc.read(spark, str(tmp_path))).count() == 1
 
 
 def test_warc_parse_and_assemble(spark):
@@ -54,7 +76,7 @@ def test_warc_parse_and_assemble(spark):
 
 def test_warc_assembles_far_and_shared_records(spark):
     def rec(kind, name, *to):
-        return (f"<{name}>", kind, None, None, [f"<{t}>" for t in to], None, None, "", 0, 0, "", {})
+        return (f"<{name}>", kind, None, None, [f"<{t}>" for t in to], None, None, "", 0, 0, "", {}, None)
 
     rows = [rec("response", "r1"), rec("request", "q1", "r1"), rec("request", "q2", "r1"), rec("metadata", "m1", "q1"), rec("metadata", "m2", "m1"), rec("metadata", "m3", "m2", "gone")]
     rows += [rec("response", "r2"), rec("metadata", "both", "r2", "r1"), rec("metadata", "far", "both"), rec("request", "q3", "m4"), rec("metadata", "m4"), rec("metadata", "m5", "m5")]
