@@ -19,7 +19,7 @@ Pairs whose sizes allow a similarity of t are checked exactly, and verified pair
 A pair of similarity 0.8 shares a bucket with probability 0.9999.
 
 What is left are pairs of one bucket that are in different components. All documents paired with one
-pivot are a block (``within``). A block of few documents is compared pair by pair in one task. In a
+pivot, or with pivots of one component, are a block (``within``). A block of few documents is compared pair by pair in one task. In a
 larger one, C is the bag of the shingles that are common in a few of its members. Let O be the overlap
 of two bags and |x| the size of one. A similarity of t needs O(u, v) >= t / (1 + t) (|u| + |v|), but
 O(u, v) <= min(O(u, C), O(v, C)) + what u and v share beyond their counts in C. So u and v can be
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     sketched = least_texts(rows, keep("sketched", sketch(rows)))
     # equal texts: one representative each
-    owner = sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    owner = keep("owner", sketched.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     same = sketched.filter("digest IS NOT NULL").join(owner, "digest").select("doc_id", "rep", "size", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
     same = keep("same", same)
     members = same.select("doc_id", "rep").union(sketched.filter("digest IS NULL").select("doc_id", F.col("doc_id").alias("rep"))).distinct()
@@ -273,30 +273,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a bucket needs two members
     buckets = same.filter("doc_id = rep").select("doc_id", "size", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key", "n")
+    shared = keep("shared", shared)
     central = buckets.join(shared, "key").groupBy("doc_id", "size").agg(F.sum("n").alias("weight"), F.collect_set("key").alias("keys"))
     central = keep("central", central)
-    scratch.drop("sketched", "same")
+    scratch.drop("sketched", "owner", "same", "shared")
     placed = central.select(F.explode("keys").alias("key"), "doc_id", "size", "weight")
     pivots = placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "size")).alias("top")).select("key", (-F.col("top.minus")).alias("b"), F.col("top.size").alias("size_b"))
+    pivots = keep("pivots", pivots)
     pairs = placed.select("key", F.col("doc_id").alias("a"), F.col("size").alias("size_a")).join(pivots, "key").filter("a <> b")
     star = keep("star", pairs.select("a", "b", "size_a", "size_b").distinct())
-    texts = keep("texts", rows.join(central.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    scratch.drop("central")
+    # at scale the ids are too many for a broadcast; so it is the same plan at every size
+    texts = keep("texts", rows.join(central.select("doc_id").hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    scratch.drop("central", "pivots")
     alike = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold - 1e-9)
     edges = keep("edges", verified(star.filter(alike).select("a", "b"), texts, threshold))
     labels = components(edges)
-    blocks = relabelled(star.select(F.col("b").alias("block"), F.col("a").alias("doc"), F.col("size_a").alias("size")), labels)
+    blocks = keep("blocks0", families(star, labels))
     labels = merged(labels, within(blocks, texts, threshold, scratch))
     scratch.drop("star", "texts", "edges")
     found = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    sizes = keep("sizes", found.groupBy("class_id").agg(F.count("*").alias("class_size")))
     return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
 
 
-def relabelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """``blocks`` (block, doc, size) with ``comp``, the component of each document."""
-    of = labels.select(F.col("id").alias("doc"), F.col("component").alias("comp"))
-    return blocks.join(of, "doc", "left").select("block", "doc", "size", F.coalesce("comp", "doc").alias("comp"))
+def families(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks (block, doc, size, comp): the documents paired with a pivot, and ``comp``, the component of each; pivots of one component have one block."""
+    of = lambda name, label: labels.select(F.col("id").alias(name), F.col("component").alias(label))
+    placed = star.join(of("a", "comp"), "a", "left").join(of("b", "block"), "b", "left")
+    return placed.select(F.coalesce("block", "b").alias("block"), F.col("a").alias("doc"), F.col("size_a").alias("size"), F.coalesce("comp", "a").alias("comp")).distinct()
 
 
 def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -314,7 +318,7 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
     found = None
     for depth in range(DEPTH + 1):
         counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_blocks = counts.filter("lo <> hi").select("block", "n", "smallest", ((F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)).alias("few"))
+        open_blocks = scratch.keep(f"open{depth}", counts.filter("lo <> hi").select("block", "n", "smallest", ((F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)).alias("few")))
         members = scratch.keep(f"members{depth}", blocks.join(open_blocks, "block"))
         pairs = few_pairs(members.filter("few"), texts, threshold)
         large = members.filter("NOT few").drop("few")
@@ -324,12 +328,13 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
             pairs = pairs.union(tried(u.join(v, "block").filter((F.col("cu") < F.col("cv")) & (F.least("su", "sv") >= F.greatest("su", "sv") * F.lit(threshold - 1e-9))), texts, threshold))
             last = True
         elif not last:
-            beyond = scratch.keep(f"beyond{depth}", excesses(large, texts, threshold))
+            centres = scratch.keep(f"centres{depth}", centres_of(large, texts))
+            beyond = scratch.keep(f"beyond{depth}", excesses(large, centres, texts, threshold))
             pairs = pairs.union(near_centre(beyond.filter("spare < 0"), texts, threshold, scratch, depth))
-            blocks = scratch.keep(f"blocks{depth + 1}", divided(beyond))
+            blocks = scratch.keep(f"blocks{depth + 1}", divided(beyond, scratch, depth))
         pairs = scratch.keep(f"pairs{depth}", pairs.distinct())
         found = pairs if found is None else found.union(pairs)
-        scratch.drop(f"members{depth}", f"beyond{depth}", f"blocks{depth}", f"free{depth}", f"centred{depth}")
+        scratch.drop(*(f"{name}{depth}" for name in ("open", "members", "centres", "beyond", "often", "blocks", "free", "centred")))
         if last:
             return found
 
@@ -379,21 +384,24 @@ def centre(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return kinds[often], counts[order][(start + n // 2)[often]]
 
 
-def excesses(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """For each member of a block: its overlap with the block's centre, its excess, and ``spare``.
-
-    ``spare``: how much of its excess a partner may lack, if all partners are as small as can be; below 0
-    if a partner may lack all.
-    """
-    texts = texts.withColumnRenamed("doc_id", "doc")
+def centres_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(block, kinds, counts): the bag of the shingles that are common in a few members of each block, chosen by hash."""
     chance = F.pmod(F.xxhash64("block", "doc"), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = members.filter(chance < F.lit(SAMPLED) / F.col("n")).join(texts, "doc").select("block", "text")
+    sample = members.filter(chance < F.lit(SAMPLED) / F.col("n")).join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("block", "text")
 
     def of_block(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         kinds, counts = centre([bag(t.encode("utf-8")) for t in group["text"]])
         return pd.DataFrame({"block": [key[0]], "kinds": [kinds.view(np.int64)], "counts": [counts]})
 
-    centres = sample.groupBy("block").applyInPandas(of_block, "block long, kinds array<long>, counts array<long>")
+    return sample.groupBy("block").applyInPandas(of_block, "block long, kinds array<long>, counts array<long>")
+
+
+def excesses(members: DataFrame, centres: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """For each member of a block: its overlap with the block's centre, its excess, and ``spare``.
+
+    ``spare``: how much of its excess a partner may lack, if all partners are as small as can be; below 0
+    if a partner may lack all.
+    """
 
     def emit(batches):
         known, at = None, None
@@ -410,14 +418,15 @@ def excesses(members: DataFrame, texts: DataFrame, threshold: float) -> DataFram
                 out.append((block, doc, comp, size, overlap, max(-1, int(np.ceil(need - 1e-9)) - 1), what.view(np.int64), more))
             yield pd.DataFrame(out, columns=["block", "doc", "comp", "size", "overlap", "spare", "shingles", "more"])
 
-    withed = members.join(texts, "doc").join(centres, "block", "left")
+    withed = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").join(centres, "block", "left")
     return withed.mapInPandas(emit, "block long, doc long, comp long, size long, overlap long, spare long, shingles array<long>, more array<long>")
 
 
-def divided(beyond: DataFrame) -> DataFrame:
+def divided(beyond: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     """Blocks of the members that share one of their rarest excess shingles; see the module."""
     lines = beyond.select("block", "doc", "comp", "size", "spare", F.explode(F.arrays_zip("shingles", "more")).alias("x")).select("block", "doc", "comp", "size", "spare", F.col("x.shingles").alias("shingle"), F.col("x.more").alias("more"))
     often = lines.groupBy("block", "shingle").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block", "shingle", "n")
+    often = scratch.keep(f"often{depth}", often)
     # from the commonest shingle on: what stays within the member's spare is left out
     known = lines.join(often, ["block", "shingle"]).groupBy("block", "doc", "comp", "size", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "more")), False).alias("xs"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("keys"))
