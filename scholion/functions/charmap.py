@@ -91,6 +91,12 @@ def char_mapping(c: Column) -> Column:
     return run(c)
 
 
+def newline_position(index: Column, page: Column, bottom: Column) -> Column:
+    """The place of a line feed after a line: x = 0 at the line's bottom, without extent."""
+    zero = F.lit(0.0)
+    return F.struct(index.alias("char_index"), page.alias("page_number"), zero.alias("x"), bottom.alias("y"), F.struct(zero.alias("x0"), bottom.alias("y0"), zero.alias("x1"), bottom.alias("y1")).alias("bbox"))
+
+
 def span_positions(text: Column, page: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """array<struct> with a place for each character of a span, spaced evenly; no Python worker."""
     n = F.length(text)

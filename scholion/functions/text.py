@@ -1,6 +1,7 @@
 """Text normalization and splitting as column expressions; no Python worker.
 
-All regular expressions use ``(?U)`` where ``\\w``, ``\\s`` or ``\\d`` must be Unicode-aware.
+All regular expressions use ``(?U)`` where ``\\s`` or ``\\d`` must be Unicode-aware. ``(?U)\\w`` would take
+combining marks too, so the letters of words are spelled out.
 Nulls give null. An empty text stays empty (see ``normalize`` for the status).
 """
 
@@ -15,6 +16,7 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u
 FURNITURE = r"copyright|©\s*\d{4}|all rights reserved|acm\s+digital\s+library|doi:"
 WEB_PREFIXES = ("http://", "https://", "www.")
 ABBREVIATIONS = ("et al.", "e.g.", "i.e.", "Dr.", "Prof.", "Fig.", "Eq.")
+WORD = r"[\p{L}\p{N}_]"
 MIN_CONTENT_CHARS = 5
 REPEATED_LINE_CHARS = 100
 REPEATED_LINE_COUNT = 3
@@ -32,7 +34,7 @@ def strip(c: Column) -> Column:
 
 def dehyphenate(c: Column) -> Column:
     """Join words broken by a hyphen at a line's end; in a chain only every other break is joined."""
-    return F.regexp_replace(c, r"(?U)(\w)-\s*\n\s*(\w+)", "$1$2")
+    return F.regexp_replace(c, rf"(?U)({WORD})-\s*\n\s*({WORD}+)", "$1$2")
 
 
 def collapse(c: Column) -> Column:
@@ -67,13 +69,13 @@ def repeatable(stripped: Column) -> Column:
 def remove_repeated_lines(c: Column) -> Column:
     """Drop non-content lines that occur three times or more. When any is dropped, leading line feeds go too.
 
-    Only the different non-content lines are counted, so content costs one pass.
+    Only non-content lines are counted: one of them occurs n times if, in order, it comes again n - 1 places on.
     """
 
     def with_lines(pair: Column) -> Column:
         lines, stripped = pair["lines"], pair["stripped"]
-        few = F.filter(F.array_distinct(stripped), repeatable)
-        often = let(few, lambda f: F.filter(f, lambda x: F.size(F.filter(stripped, lambda y: y == x)) >= REPEATED_LINE_COUNT))
+        few = F.array_sort(F.filter(stripped, repeatable))
+        often = let(few, lambda f: F.array_distinct(F.filter(f, lambda x, i: F.coalesce(F.get(f, i + (REPEATED_LINE_COUNT - 1)) == x, F.lit(False)))))
 
         def without(drop: Column) -> Column:
             kept = F.filter(F.arrays_zip(lines.alias("line"), stripped.alias("key")), lambda x: ~F.array_contains(drop, x["key"]))

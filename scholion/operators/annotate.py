@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
@@ -29,7 +31,7 @@ class Annotator(Protocol):
 
 @dataclass(frozen=True)
 class Prompts:
-    """Parts of a prompt. ``rules`` are joined by line feeds, not numbered."""
+    """Parts of a prompt. ``rules`` are joined by line feeds, or numbered if ``numbered``."""
 
     system: str = "You read research papers. Clean up the text of one and mark what matters in it."
     cleaning: str = "First, remove page numbers, headers, footers, broken hyphenation and notices. Keep all content and references."
@@ -37,11 +39,13 @@ class Prompts:
     summary: str = "Last, summarise the paper in two or three plain sentences inside <summary></summary>."
     rules: tuple[str, ...] = ("Return the whole text.", "Confidences are from 0.50 to 0.99.", "Write < and > of the text as &lt; and &gt;.")
     chunk_context: str = "This may be one part of a longer paper."
+    numbered: bool = False
     template: str = "{system}\n\n{cleaning}\n\n{marking}\n\n{summary}\n\nRules:\n{rules}\n\nPaper text:\n{text}\n"
 
     def frame(self) -> tuple[str, str]:
         """What stands before and after the text."""
-        filled = self.template.format(system=self.system.strip(), cleaning=self.cleaning.strip(), marking=self.marking.strip(), summary=self.summary.strip(), rules="\n".join(self.rules), text="\0")
+        rules = [f"{k + 1}. {r}" for k, r in enumerate(self.rules)] if self.numbered else self.rules
+        filled = self.template.format(system=self.system.strip(), cleaning=self.cleaning.strip(), marking=self.marking.strip(), summary=self.summary.strip(), rules="\n".join(rules), text="\0")
         before, _, after = filled.partition("\0")
         return before, after
 
@@ -76,9 +80,12 @@ class RuleAnnotator:
     extra: tuple[tuple[str, float, str], ...] = ()
     summary_sentences: int = 2
 
+    @cached_property
+    def compiled(self) -> list[tuple[str, float, re.Pattern]]:
+        return [(k, c, re.compile(p, re.IGNORECASE)) for k, c, p in (*self.cues, *self.extra)]
+
     def annotate(self, text: str) -> str:
-        found = [(k, c, re.compile(p, re.IGNORECASE)) for k, c, p in (*self.cues, *self.extra)]
-        out, kept = [], []
+        found, out, kept = self.compiled, [], []
         for part in re.split(r"((?<=[.!?])\s+(?=[^\W\d_]))", text):
             escaped = part.replace("<", "&lt;").replace(">", "&gt;")
             hit = next((x for x in found if part.strip() and x[2].search(part)), None)
@@ -101,13 +108,17 @@ def annotator(name: str, **options) -> Callable[[], Annotator]:
 
 @dataclass(frozen=True)
 class RetryPolicy:
-    """``never``: exceptions that are not tried again; ``on``: those that are."""
+    """``never``: exceptions that are not tried again; ``on``: those that are; ``timeout``: seconds an attempt may take.
+
+    An attempt that takes longer counts as failed; Python cannot end its thread, which is left behind.
+    """
 
     attempts: int = 3
     strategy: str = "exponential_backoff"
     initial: float = 2.0
     multiplier: float = 2.0
     maximum: float = 30.0
+    timeout: float | None = None
     on: tuple[type[BaseException], ...] = (Exception,)
     never: tuple[type[BaseException], ...] = (ValueError,)
     sleep: Callable[[float], None] = field(default=time.sleep, compare=False)
@@ -117,11 +128,20 @@ class RetryPolicy:
         plain = {"exponential_backoff": self.initial * self.multiplier**attempt, "linear_backoff": self.initial * (attempt + 1), "fixed_delay": self.initial}.get(self.strategy, 0.0)
         return min(given or plain, self.maximum)
 
+    def attempt(self, call: Callable[[], str]) -> str:
+        if not self.timeout:
+            return call()
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call).result(self.timeout)
+        finally:
+            pool.shutdown(wait=False)
+
     def run(self, call: Callable[[], str]) -> tuple[str | None, int, str | None]:
         """(result, attempts made, error): result is null if all failed."""
         for attempt in range(self.attempts):
             try:
-                return call(), attempt + 1, None
+                return self.attempt(call), attempt + 1, None
             except self.never as e:
                 return None, attempt + 1, f"{type(e).__name__}: {e}"
             except self.on as e:

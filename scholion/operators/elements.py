@@ -145,7 +145,7 @@ def quarantine(df: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
 
 def orphans(elements: DataFrame, papers: DataFrame) -> DataFrame:
     """Elements whose paper_id no paper has; must be empty."""
-    return elements.join(papers.select("paper_id"), "paper_id", "left_anti")
+    return elements.join(papers.select("paper_id").distinct(), "paper_id", "left_anti")
 
 
 def author_list(c: Column) -> Column:

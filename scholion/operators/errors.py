@@ -105,12 +105,16 @@ USER_MESSAGES = (
     (("api", "authentication"), "API Error", "There was an issue with the API service.", "error", ("Check API credentials", "Verify service availability"), ("Check API key", "Verify service status")),
 )
 OTHER_MESSAGE = ("Processing Error", "An error occurred during processing.", "error", ("Try again", "Check input data"), ("Retry operation", "Verify input"))
+#: Where a user may read on.
+DOCS = ("README.md",)
 # HTTP status by the root of an error's kind.
 HTTP_STATUS = (("PdfError", 400), ("LLMError", 500), ("ConfigurationError", 400), ("DataError", 422))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TAXONOMY, "code string, parent string")
+    """code, parent, and the line of codes from it up to the root."""
+    rows = [(code, parent, ancestors(code)) for code, parent in TAXONOMY]
+    return spark.createDataFrame(rows, "code string, parent string, line array<string>")
 
 
 def ancestors(code: str) -> list[str]:
@@ -129,22 +133,29 @@ def chain(pairs: list[tuple[Column, Column]], last: Column) -> Column:
     return out.otherwise(last)
 
 
+def rule_table(rules: list[Rule]) -> Column:
+    """The rules as one literal array, folded once for a query."""
+    return F.array(*[r.column().cast(_struct()) for r in rules])
+
+
 def by_kind(kind: Column) -> Column:
     """Rule of the exact kind, else of the first rule among its ancestors, else the default."""
-    rules = {}
+    names = list(TYPE_RULES)
+    codes: dict[int, list[str]] = {}
     for code, _ in TAXONOMY:
         line = ancestors(code)
-        hit = code if code in TYPE_RULES else next((k for k in TYPE_RULES if k in line), None)
+        hit = code if code in TYPE_RULES else next((k for k in names if k in line), None)
         if hit:
-            rules.setdefault(hit, []).append(code)
-    pairs = [(kind.isin(*codes), TYPE_RULES[hit].column().cast(_struct())) for hit, codes in rules.items()]
-    return chain(pairs, DEFAULT_RULE.column().cast(_struct()))
+            codes.setdefault(names.index(hit), []).append(code)
+    number = chain([(kind.isin(*c), F.lit(n)) for n, c in codes.items()], F.lit(len(names)))
+    return F.get(rule_table([*TYPE_RULES.values(), DEFAULT_RULE]), number)
 
 
 def by_message(message: Column) -> Column:
     """Rule of the first pattern that a message matches; null if there is none."""
     low = F.lower(message)
-    return chain([(low.rlike(p), r.column().cast(_struct())) for p, r in MESSAGE_RULES], F.lit(None).cast(_struct()))
+    number = chain([(low.rlike(p), F.lit(n)) for n, (p, _) in enumerate(MESSAGE_RULES)], F.lit(None).cast("int"))
+    return F.get(rule_table([r for _, r in MESSAGE_RULES]), number)
 
 
 def _struct() -> str:
@@ -180,11 +191,15 @@ def combine(a: Column, b: Column) -> Column:
     return F.when(b.isNull(), a).when(b["confidence"] > a["confidence"], b).otherwise(merged)
 
 
-def user_message(message: Column) -> Column:
-    """struct(title, message, severity, steps, fixes)."""
+def user_message(message: Column, kind: Column | None = None) -> Column:
+    """struct(title, message, severity, steps, fixes, details, docs); details are ``kind: message``, docs where to read on."""
+    details = F.coalesce(message, F.lit("")) if kind is None else F.concat_ws(": ", kind, F.coalesce(message, F.lit("")))
 
     def value(title, text, severity, steps, fixes) -> Column:
-        return F.struct(F.lit(title).alias("title"), F.lit(text).alias("message"), F.lit(severity).alias("severity"), F.array(*map(F.lit, steps)).alias("steps"), F.array(*map(F.lit, fixes)).alias("fixes"))
+        return F.struct(
+            F.lit(title).alias("title"), F.lit(text).alias("message"), F.lit(severity).alias("severity"), F.array(*map(F.lit, steps)).alias("steps"),
+            F.array(*map(F.lit, fixes)).alias("fixes"), details.alias("details"), F.array(*map(F.lit, DOCS)).alias("docs"),
+        )
 
     low = F.coalesce(F.lower(message), F.lit(""))
     pairs = []

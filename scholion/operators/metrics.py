@@ -71,5 +71,5 @@ def event_metrics(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def output_tokens(texts: Column) -> Column:
-    """Tokens of an array of answers: the sum of the quarters of their lengths."""
-    return F.aggregate(texts, F.lit(0).cast("long"), lambda a, t: a + F.floor(F.length(t) / 4))
+    """Tokens of an array of answers: a quarter of their lengths in all, rounded down; null answers count as empty."""
+    return F.floor(F.aggregate(texts, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0))) / 4)

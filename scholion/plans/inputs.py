@@ -14,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes from fewer files than that; a table of many files is read as it lies.
+#: A table of up to so many bytes may be one row group, which one task reads whatever the size of the splits.
+SMALL_BYTES = 64 << 20
 
-    A small file may hold a single row group, which one task reads whatever the size of the splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a larger one as it lies. The size is the plan's own estimate, so nothing is listed or read for it."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size.toString()) <= SMALL_BYTES else df
 
 
 def noisy(c: Column) -> Column:
@@ -49,38 +50,43 @@ HEADED = "('© 2023 X' || chr(10) || chr(10) || text || chr(10) || chr(10) || '
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, marked_text: the first line as goal, source and lang as method and result, a summary."""
-    d = table(spark, sf_dir, "documents")
-    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    """doc_id, text, marked_text: the whole text as goal, source as method around lang, lang as result, the text again as summary.
+
+    Some methods have no confidence, and some goals one that the contract forbids.
+    """
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    goal = F.when(k % 4 == 0, "0.95").when(k % 4 == 1, "0.50").when(k % 4 == 2, "0.99").otherwise("0.40")
+    method = F.when(k % 5 == 0, "").otherwise(' confidence="0.80"')
     text = F.concat(
-        F.lit('<goal confidence="0.95">'), first, F.lit('</goal> <method confidence="0.80">'), F.col("source"), F.lit('</method> <result confidence="0.605">'),
-        F.col("lang"), F.lit("</result><summary> "), F.substring("text", 1, 40), F.lit("\n</summary><summary>second</summary>"),
+        F.lit('<goal confidence="'), goal, F.lit('">'), F.col("text"), F.lit("</goal> <method"), method, F.lit(">"), F.col("source"), F.lit(" <method confidence='0.7'>"), F.col("lang"),
+        F.lit("</method></method> <result confidence=\"0.605\">"), F.col("lang"), F.lit("</result><summary> "), F.col("text"), F.lit("\n</summary><summary>second</summary>"),
     )
-    return d.select("doc_id", "source", "lang", first.alias("first_line"), F.substring("text", 1, 40).alias("head"), text.alias("marked_text"))
+    return d.select("doc_id", "text", text.alias("marked_text"))
 
 
-MARKED = """(SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS first_line, substr(text, 1, 40) AS head,
- '<goal confidence="0.95">' || split_part(text, chr(10), 1) || '</goal> <method confidence="0.80">' || source || '</method> <result confidence="0.605">'
- || lang || '</result><summary> ' || substr(text, 1, 40) || chr(10) || '</summary><summary>second</summary>' AS marked_text FROM documents)"""
+GOAL = "CASE doc_id % 4 WHEN 0 THEN '0.95' WHEN 1 THEN '0.50' WHEN 2 THEN '0.99' ELSE '0.40' END"
+MARKED = f"""(SELECT doc_id, text, source, lang, {GOAL} AS goal, CASE WHEN doc_id % 5 = 0 THEN '0.00' ELSE '0.80' END AS method,
+ '<goal confidence="' || {GOAL} || '">' || text || '</goal> <method' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' confidence="0.80"' END || '>' || source || ' <method confidence=''0.7''>' || lang
+ || '</method></method> <result confidence="0.605">' || lang || '</result><summary> ' || text || chr(10) || '</summary><summary>second</summary>' AS marked_text FROM documents)"""
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    """An element of each document, with faults of every kind."""
     k = F.col("doc_id")
-    return d.join(lab, "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         k.alias("element_id"), F.col("source").alias("paper_id"), F.col("lang").alias("section_id"),
         F.when(k % 3 == 0, "goal").when(k % 3 == 1, "method").otherwise(F.when(k % 7 == 0, "claim").otherwise("result")).alias("element_type"),
         F.when(k % 5 == 0, "quantitative").when(k % 5 == 1, "qualitative").when(k % 5 == 2, "theoretical").when(k % 5 == 3, "mixed").otherwise(F.when(k % 11 == 0, "guess").otherwise("unknown")).alias("evidence_type"),
-        ((k % 105) / 100.0).cast("double").alias("confidence"), F.substring("text", 1, F.when(k % 13 == 0, 5).otherwise(40)).alias("text"),
+        F.when(k % 17 != 0, ((k % 105) / 100.0).cast("double")).alias("confidence"), F.when(k % 13 == 0, "short").when(k % 13 == 1, " \n ").otherwise(F.col("text")).alias("text"),
     )
 
 
-ELEMENTS = """(SELECT d.doc_id AS element_id, source AS paper_id, lang AS section_id,
- CASE WHEN d.doc_id % 3 = 0 THEN 'goal' WHEN d.doc_id % 3 = 1 THEN 'method' WHEN d.doc_id % 7 = 0 THEN 'claim' ELSE 'result' END AS element_type,
- CASE WHEN d.doc_id % 5 = 0 THEN 'quantitative' WHEN d.doc_id % 5 = 1 THEN 'qualitative' WHEN d.doc_id % 5 = 2 THEN 'theoretical' WHEN d.doc_id % 5 = 3 THEN 'mixed'
-  WHEN d.doc_id % 11 = 0 THEN 'guess' ELSE 'unknown' END AS evidence_type,
- CAST((d.doc_id % 105) / 100.0 AS DOUBLE) AS confidence, substr(text, 1, CASE WHEN d.doc_id % 13 = 0 THEN 5 ELSE 40 END) AS text
- FROM documents d JOIN labels USING (doc_id))"""
+ELEMENTS = """(SELECT doc_id AS element_id, source AS paper_id, lang AS section_id,
+ CASE WHEN doc_id % 3 = 0 THEN 'goal' WHEN doc_id % 3 = 1 THEN 'method' WHEN doc_id % 7 = 0 THEN 'claim' ELSE 'result' END AS element_type,
+ CASE WHEN doc_id % 5 = 0 THEN 'quantitative' WHEN doc_id % 5 = 1 THEN 'qualitative' WHEN doc_id % 5 = 2 THEN 'theoretical' WHEN doc_id % 5 = 3 THEN 'mixed'
+  WHEN doc_id % 11 = 0 THEN 'guess' ELSE 'unknown' END AS evidence_type,
+ CASE WHEN doc_id % 17 <> 0 THEN CAST((doc_id % 105) / 100.0 AS DOUBLE) END AS confidence,
+ CASE WHEN doc_id % 13 = 0 THEN 'short' WHEN doc_id % 13 = 1 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM documents)"""
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +118,15 @@ def domain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOMAIN_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in DOMAIN.items()) + " ELSE 'ProgressUpdate' END"
 DOMAIN_EVENTS = f"(SELECT CAST(user_id AS VARCHAR) AS session, event_id, ts, {DOMAIN_SQL} AS event_type, value AS duration FROM events)"
 
-MESSAGES = ("Request timeout after 30s", "Connection refused by host", "Access denied to bucket", "Out of memory", "File was not found: no such file", "Quota exceeded for project", "Invalid JSON in answer", "Something else")
-KINDS = ("RateLimitError", "LLMValidationError", "PasswordProtectedError", "DataError", "GeminiAuthenticationError")
+MESSAGES = (
+    "Request timeout after 30s", "Connection refused by host", "Access denied to bucket", "Out of memory", "File was not found: no such file", "Quota exceeded for project", "Invalid JSON in answer",
+    "Something else", "Socket read error", "Disk is full", "Too many open files", "User unauthorized", "Service is unavailable", "File is locked by another", "JSON decode error", "Unexpected token at 3",
+    "Rate limit reached", "Invalid API key given", "Answer blocked by safety filter", "DNS lookup failed", "Directory was not found",
+)
+KINDS = (
+    "RateLimitError", "LLMValidationError", "PasswordProtectedError", "DataError", "GeminiAuthenticationError", "CorruptedFileError", "ContentFilterError", "ConfigurationError", "PdfError",
+    "InvalidTextError", "Unheard", "NoTextLayerError", "ExtractionQualityError",
+)
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:

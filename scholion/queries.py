@@ -16,6 +16,7 @@ from .operators import annotate as ann
 from .operators import elements as el
 from .operators import errors, metrics
 from .plans import inputs as i
+from .plans import sql as q
 from .sources import documents as src
 from .streaming import progress
 
@@ -42,36 +43,20 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 # Text normalization.
 
 
-@query("dehyphenate", f"SELECT doc_id, md5(regexp_replace({i.NOISY}, '([\\pL\\pN_]+)-\\s*\\n\\s*([\\pL\\pN_]+)', '\\1\\2', 'g')) AS h FROM documents")
+@query("dehyphenate", f"SELECT doc_id, md5({q.dehyphenated(i.NOISY)}) AS h FROM documents")
 def dehyphenate(s, d):
     return docs(s, d).select("doc_id", F.md5(text.dehyphenate(i.noisy(F.col("text")))).alias("h"))
 
 
-_PROT = r"\[[0-9,\s-]+\]|\([^)]*(?:et al\.|[0-9]{4})[^)]*\)"
-
-
-def _collapse(x: str) -> str:
-    return f"replace(replace(regexp_replace(regexp_replace({x}, ' {{2,}}', ' ', 'g'), '\\n{{2,}}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10))"
-
-
-def _whitespace(t: str) -> str:
-    pieces = f"[{_collapse('p')} FOR p IN string_split_regex({t}, '{_PROT}')]"
-    return f"array_to_string([a || coalesce(regexp_extract_all({t}, '{_PROT}')[i], '') FOR a, i IN {pieces}], '')"
-
-
-@query("whitespace_norm", f"SELECT doc_id, md5({_whitespace('t')}) AS h FROM (SELECT doc_id, {i.CITED} AS t FROM documents)")
+@query("whitespace_norm", f"SELECT doc_id, md5({q.whitespace('t')}) AS h FROM (SELECT doc_id, {i.CITED} AS t FROM documents)")
 def whitespace_norm(s, d):
     return docs(s, d).select("doc_id", F.md5(text.normalize_whitespace(i.cited(F.col("text")))).alias("h"))
 
 
-_CONTENT = (
-    "NOT (length(l) < 5 OR regexp_full_match(l, '[0-9]+|[ivxlcdmIVXLCDM]+') OR lower(l) LIKE 'http://%' OR lower(l) LIKE 'https://%' OR lower(l) LIKE 'www.%' "
-    "OR regexp_matches(lower(l), 'copyright|©\\s*\\d{4}|all rights reserved|acm\\s+digital\\s+library|doi:'))"
-)
 _LINES = f"SELECT doc_id, trim(unnest(string_split({i.HEADED}, chr(10))), chr(32) || chr(9) || chr(13)) AS l FROM documents"
 
 
-@query("content_line", f"SELECT doc_id, CAST(count_if({_CONTENT}) AS BIGINT) AS content, count(*) AS n FROM ({_LINES}) GROUP BY doc_id")
+@query("content_line", f"SELECT doc_id, CAST(count_if({q.CONTENT}) AS BIGINT) AS content, count(*) AS n FROM ({_LINES}) GROUP BY doc_id")
 def content_line(s, d):
     lines = docs(s, d).select("doc_id", F.explode(F.split(i.headed(F.col("text")), "\n", -1)).alias("line"))
     return lines.groupBy("doc_id").agg(F.count_if(text.is_content_line(F.col("line"))).alias("content"), F.count("*").alias("n"))
@@ -84,12 +69,17 @@ def repeated_lines(s, d):
     return short.groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= text.REPEATED_LINE_COUNT)
 
 
-@query("remove_repeated_lines")
+@query("remove_repeated_lines", f"SELECT doc_id, md5(t) AS h FROM ({q.without_furniture(f'(SELECT doc_id, {i.HEADED} AS t FROM documents)', 't')})")
 def remove_repeated_lines(s, d):
     return docs(s, d).select("doc_id", F.md5(text.remove_repeated_lines(i.headed(F.col("text")))).alias("h"))
 
 
-@query("normalize")
+@query(
+    "normalize",
+    f"WITH a AS (SELECT doc_id, {i.CITED} AS t0, {q.dehyphenated(i.CITED)} AS t1 FROM documents), b AS (SELECT doc_id, length(t0) AS n0, length(t1) AS n1, {q.whitespace('t1')} AS t FROM a), "
+    f"c AS ({q.without_furniture('b', 't', ', n0, n1')}) SELECT doc_id, CASE WHEN n0 = 0 THEN 'empty' ELSE 'ok' END AS status, md5(c.t) AS h, array_to_string(list_filter([CASE WHEN n0 <> n1 THEN 'hyphenation' END, "
+    "CASE WHEN n1 <> length(b.t) THEN 'whitespace' END, CASE WHEN length(b.t) <> length(c.t) THEN 'headers_footers' END], lambda x: x IS NOT NULL), ',') AS steps FROM c JOIN b USING (doc_id, n0, n1)",
+)
 def normalize(s, d):
     n = docs(s, d).select("doc_id", text.normalize(i.cited(F.col("text"))).alias("n"))
     return n.select("doc_id", "n.status", F.md5("n.cleaned").alias("h"), F.array_join("n.transformations", ",").alias("steps"))
@@ -131,13 +121,13 @@ def sentence_split(s, d):
     return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "\x02")).alias("h"))
 
 
-@query("word_chunks")
+@query("word_chunks", f"SELECT doc_id, CAST(len(c) AS INTEGER) AS n, md5(array_to_string(c, chr(1))) AS h FROM (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN [text] ELSE {q.by_words('text', 1000)} END AS c FROM documents)")
 def word_chunks(s, d):
     c = docs(s, d).select("doc_id", chunking.chunks(F.col("text"), 1000, "word").alias("c"))
     return c.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\x01")).alias("h"))
 
 
-@query("sentence_chunks")
+@query("sentence_chunks", f"SELECT doc_id, CAST(len(c) AS INTEGER) AS n, md5(array_to_string(c, chr(1))) AS h FROM (SELECT doc_id, {q.chunks('t', 1000)} AS c FROM (SELECT doc_id, {i.NOISY} AS t FROM documents))")
 def sentence_chunks(s, d):
     c = docs(s, d).select("doc_id", chunking.chunks(i.noisy(F.col("text")), 1000).alias("c"))
     return c.select("doc_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\x01")).alias("h"))
@@ -157,10 +147,14 @@ def chunk_overlap(s, d):
     return chunking.explode_chunks(c).select("doc_id", "chunk_index", F.md5("chunk").alias("h"))
 
 
-@query("prepared_chunks")
+@query(
+    "prepared_chunks",
+    f"WITH p AS (SELECT doc_id, text, {q.chunks('text', 1800)} AS c FROM documents), o AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE {q.overlapped('c', 200)} END AS c FROM p) "
+    "SELECT doc_id, CAST(generate_subscripts(c, 1) AS INTEGER) AS chunk_index, CAST(len(c) AS INTEGER) AS total_chunks, CAST(length(unnest(c)) AS INTEGER) AS chars, md5(unnest(c)) AS h FROM o",
+)
 def prepared_chunks(s, d):
     c = docs(s, d).select("doc_id", chunking.prepared_chunks(F.col("text"), 2000, 200).alias("chunks"))
-    return chunking.explode_chunks(c).select("doc_id", "chunk_index", "total_chunks", F.length("chunk").alias("chars"))
+    return chunking.explode_chunks(c).select("doc_id", "chunk_index", "total_chunks", F.length("chunk").alias("chars"), F.md5("chunk").alias("h"))
 
 
 @query("merge_turns", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
@@ -225,23 +219,20 @@ def span_positions(s, d):
 # Markup.
 
 
-@query(
-    "summary_split",
-    r"SELECT doc_id, trim(regexp_extract(marked_text, '(?s)<summary>(.*?)</summary>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS summary, "
-    rf"md5(regexp_replace(marked_text, '(?s)<summary>.*?</summary>', '', 'g')) AS h FROM {i.MARKED}",
-)
+@query("summary_split", rf"SELECT doc_id, md5(trim(text, {q.BLANK})) AS summary, md5(regexp_replace(marked_text, '(?s)<summary>.*?</summary>', '', 'g')) AS h FROM {i.MARKED}")
 def summary_split(s, d):
     m = i.marked(s, d)
-    return m.select("doc_id", markup.summary(F.col("marked_text")).alias("summary"), F.md5(markup.without_summaries(F.col("marked_text"))).alias("h"))
+    return m.select("doc_id", F.md5(markup.summary(F.col("marked_text"))).alias("summary"), F.md5(markup.without_summaries(F.col("marked_text"))).alias("h"))
 
 
 @query(
     "tag_elements",
-    f"SELECT doc_id, 'goal' AS element_type, '0.95' AS confidence, first_line AS text FROM {i.MARKED} UNION ALL SELECT doc_id, 'method', '0.80', source FROM {i.MARKED} "
-    f"UNION ALL SELECT doc_id, 'result', '0.605', lang FROM {i.MARKED}",
+    f"SELECT doc_id, 0 AS at, 'goal' AS element_type, goal AS confidence, md5(text) AS h FROM {i.MARKED} UNION ALL SELECT doc_id, 1, 'method', method, md5(source || ' ' || lang) FROM {i.MARKED} "
+    f"UNION ALL SELECT doc_id, 2, 'method', '0.7', md5(lang) FROM {i.MARKED} UNION ALL SELECT doc_id, 3, 'result', '0.605', md5(lang) FROM {i.MARKED}",
 )
 def tag_elements(s, d):
-    return i.marked(s, d).select("doc_id", F.inline(markup.elements(F.col("marked_text"))))
+    found = i.marked(s, d).select("doc_id", F.posexplode(markup.elements(F.col("marked_text"))).alias("at", "e"))
+    return found.select("doc_id", "at", "e.element_type", "e.confidence", F.md5("e.text").alias("h"))
 
 
 @query("hide_category", rf"SELECT doc_id, md5(regexp_replace(marked_text, '</?goal\b[^>]*>', '', 'gi')) AS h FROM {i.MARKED}")
@@ -249,17 +240,22 @@ def hide_category(s, d):
     return i.marked(s, d).select("doc_id", F.md5(markup.hide(F.col("marked_text"), "goal")).alias("h"))
 
 
-@query("confidence_contract", f"SELECT doc_id, true AS valid FROM {i.MARKED}")
+@query("confidence_contract", f"SELECT doc_id, goal <> '0.40' AND method <> '0.00' AS valid FROM {i.MARKED}")
 def confidence_contract(s, d):
     return i.marked(s, d).select("doc_id", markup.confidences_valid(F.col("marked_text")).alias("valid"))
 
 
-@query("toc")
+@query(
+    "toc",
+    f"WITH a AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>'), lambda h: trim({q.plain('h')}, {q.BLANK}) <> '') AS hs FROM pages), b AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS i FROM a), "
+    "c AS (SELECT *, regexp_extract(h, '(?is)^<h[1-6]\\b[^>]*?\\bid\\s*=\\s*[\\x22\\x27]([^\\x22\\x27]*)[\\x22\\x27]', 1) AS own FROM b) "
+    f"SELECT page_id, CASE WHEN own = '' THEN 'heading-' || i ELSE own END AS id, trim({q.plain('h')}, {q.BLANK}) AS text, CAST(substr(h, 3, 1) AS INTEGER) AS level FROM c",
+)
 def toc(s, d):
     return i.table(s, d, "pages").select("page_id", F.inline(markup.toc(F.col("html"))))
 
 
-@query("sanitize")
+@query("sanitize", f"SELECT page_id, md5(c) AS h, regexp_matches(c, '(?i)<script|<style|<!--') AS unsafe FROM (SELECT page_id, {q.sanitized('html')} AS c FROM pages)")
 def sanitize(s, d):
     clean = markup.sanitize(F.col("html"))
     return i.table(s, d, "pages").select("page_id", F.md5(clean).alias("h"), clean.rlike(r"(?i)<script|<style|<!--").alias("unsafe"))
@@ -268,20 +264,20 @@ def sanitize(s, d):
 @query(
     "markdown_export",
     "SELECT doc_id, md5('# Paper ' || doc_id || chr(10) || chr(10) || '**Authors:** A, B' || chr(10) || chr(10) || '**Processing Time:** 1.5s' || chr(10) || chr(10) || "
-    "'## Plain Language Summary' || chr(10) || chr(10) || 'S' || chr(10) || chr(10) || '## Extracted Content' || chr(10) || chr(10) || "
-    "'*The following content has been automatically extracted and categorized:*' || chr(10) || chr(10) || '### Goals' || chr(10) || chr(10) || '**🎯 Goal (95%):** ' || first_line || chr(10) || chr(10) || "
+    f"'## Plain Language Summary' || chr(10) || chr(10) || trim(text, {q.BLANK}) || chr(10) || chr(10) || '## Extracted Content' || chr(10) || chr(10) || "
+    "'*The following content has been automatically extracted and categorized:*' || chr(10) || chr(10) || '### Goals' || chr(10) || chr(10) || '**🎯 Goal (' || CAST(round(CAST(goal AS DOUBLE) * 100) AS INTEGER) || '%):** ' || text || chr(10) || chr(10) || "
     "'### Results' || chr(10) || chr(10) || '**📊 Result (61%):** ' || lang || chr(10) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*Export Information:*' || chr(10) || "
     f"'- **Goals:** Included' || chr(10) || '- **Methods:** Filtered out' || chr(10) || '- **Results:** Included' || chr(10) || '- **Export Date:** 2024-01-01' || chr(10)) AS h FROM {i.MARKED}",
 )
 def markdown_export(s, d):
     title, authors = F.concat(F.lit("Paper "), F.col("doc_id").cast("string")), F.array(F.lit("A"), F.lit("B"))
-    made = markup.markdown(title, authors, F.lit(1.5), F.lit("S"), F.col("marked_text"), F.lit("2024-01-01"), ("goal", "result"))
+    made = markup.markdown(title, authors, F.lit(1.5), markup.summary(F.col("marked_text")), F.col("marked_text"), F.lit("2024-01-01"), ("goal", "result"))
     return i.marked(s, d).select("doc_id", F.md5(made).alias("h"))
 
 
-@query("slug", "SELECT doc_id, 'academic-paper-' || substr(lower(regexp_replace(regexp_replace(substr(text, 1, 90), '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g')), 1, 50) AS slug FROM documents")
+@query("slug", "SELECT doc_id, 'academic-paper-' || substr(lower(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\\s-]', '', 'g'), '\\s+', '-', 'g')), 1, 50) AS slug FROM documents")
 def slug(s, d):
-    return docs(s, d).select("doc_id", markup.slug(F.substring("text", 1, 90)).alias("slug"))
+    return docs(s, d).select("doc_id", markup.slug(F.col("text")).alias("slug"))
 
 
 # Elements.
@@ -298,8 +294,8 @@ def filter_type(s, d):
 
 
 _ERROR = (
-    "CASE WHEN element_type NOT IN ('goal', 'method', 'result') THEN 'invalid_element_type' WHEN evidence_type NOT IN ('quantitative', 'qualitative', 'theoretical', 'mixed', 'unknown') "
-    "THEN 'invalid_evidence_type' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'invalid_confidence' END"
+    "CASE WHEN confidence IS NULL THEN 'missing_required_field' WHEN element_type NOT IN ('goal', 'method', 'result') THEN 'invalid_element_type' WHEN evidence_type NOT IN ('quantitative', 'qualitative', 'theoretical', 'mixed', 'unknown') "
+    f"THEN 'invalid_evidence_type' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'invalid_confidence' WHEN trim(text, {q.BLANK}) = '' THEN 'invalid_text' END"
 )
 
 
@@ -308,16 +304,32 @@ def validate_elements(s, d):
     return i.elements(s, d).select("element_id", el.element_error(F.col("element_type"), F.col("text"), F.col("evidence_type"), F.col("confidence")).alias("error"))
 
 
-@query("validate_response", f"SELECT element_id, {_ERROR} AS error FROM {i.ELEMENTS}")
+_GOOD = "CASE WHEN element_id % 19 = 0 THEN 'response_format' WHEN element_id % 19 = 1 THEN 'response_field'"  # before the elements' own faults
+
+
+@query("validate_response", f"SELECT element_id, {_GOOD} ELSE {_ERROR} END AS error FROM {i.ELEMENTS}")
 def validate_response(s, d):
+    """Responses of two elements, a valid one first; some that are no JSON, some whose elements are no list."""
     e = i.elements(s, d)
-    body = F.to_json(F.struct(F.array(F.struct("element_type", "text", "evidence_type", "confidence")).alias("elements")))
+    good = F.struct(F.lit("goal").alias("element_type"), F.lit("A whole sentence.").alias("text"), F.lit("mixed").alias("evidence_type"), F.lit(0.5).alias("confidence"))
+    body = F.to_json(F.struct(F.array(good, F.struct("element_type", "text", "evidence_type", "confidence")).alias("elements")))
+    k = F.col("element_id") % 19
+    body = F.when(k == 0, F.concat(F.lit("{"), body)).when(k == 1, F.to_json(F.struct(F.col("text").alias("elements")))).otherwise(body)
     return e.select("element_id", el.response_error(body).alias("error"))
 
 
-@query("validate_summary", f"SELECT element_id, CASE WHEN confidence > 1 THEN 'invalid_confidence' END AS error FROM {i.ELEMENTS}")
+@query(
+    "validate_summary",
+    "SELECT element_id, CASE WHEN element_id % 19 = 0 THEN 'response_format' WHEN confidence IS NULL THEN 'missing_required_field' WHEN element_id % 19 = 1 THEN 'invalid_text' WHEN confidence > 1 THEN 'invalid_confidence' "
+    f"WHEN element_id % 19 = 2 THEN 'response_field' END AS error FROM {i.ELEMENTS}",
+)
 def validate_summary(s, d):
-    body = F.to_json(F.struct(F.col("text").alias("summary"), "confidence", F.array("section_id").alias("source_sections")))
+    """Summaries of which some are no object, some lack a field, some have a field of a wrong type."""
+    k = F.col("element_id") % 19
+    sections = F.to_json(F.struct(F.col("text").alias("summary"), "confidence", F.array("section_id").alias("source_sections")))
+    other = F.to_json(F.struct(F.col("text").alias("summary"), "confidence", F.col("section_id").alias("source_sections")))
+    number = F.to_json(F.struct(F.length("text").alias("summary"), "confidence", F.array("section_id").alias("source_sections")))
+    body = F.when(k == 0, F.to_json(F.array("text"))).when(k == 1, number).when(k == 2, other).otherwise(sections)
     return i.elements(s, d).select("element_id", el.summary_error(body).alias("error"))
 
 
@@ -326,7 +338,11 @@ def include_elements(s, d):
     return i.elements(s, d).filter(el.includable(F.col("text"))).select("element_id")
 
 
-@query("quarantine_elements", f"SELECT element_id, (CASE WHEN element_type = 'claim' THEN 1 ELSE 0 END + CASE WHEN evidence_type = 'guess' THEN 1 ELSE 0 END + CASE WHEN confidence > 1 THEN 1 ELSE 0 END) AS n FROM {i.ELEMENTS} WHERE element_type = 'claim' OR evidence_type = 'guess' OR confidence > 1")
+@query(
+    "quarantine_elements",
+    "SELECT * FROM (SELECT element_id, (CASE WHEN element_type = 'claim' THEN 1 ELSE 0 END + CASE WHEN evidence_type = 'guess' THEN 1 ELSE 0 END + CASE WHEN confidence IS NULL OR confidence > 1 THEN 1 ELSE 0 END "
+    f"+ CASE WHEN trim(text, {q.BLANK}) = '' THEN 1 ELSE 0 END) AS n FROM {i.ELEMENTS}) WHERE n > 0",
+)
 def quarantine_elements(s, d):
     return el.quarantine(i.elements(s, d), "element")[1].select("element_id", F.size("violations").alias("n"))
 
@@ -436,18 +452,29 @@ def session_filter(s, d):
 # Errors.
 
 
-@query("classify_error")
+@query(
+    "classify_error",
+    f"WITH RECURSIVE {q.KINDS}, {q.RULES}, f AS (SELECT * FROM {i.FAILURES}), ofmessage AS (SELECT x.message AS m, min(mr.n) AS n FROM (SELECT DISTINCT message FROM f) x(message) JOIN mr ON regexp_matches(lower(x.message), key) GROUP BY 1), "
+    "j AS (SELECT event_id, a, b, CASE WHEN b.n IS NULL THEN 'a' WHEN b.confidence > a.confidence THEN 'b' ELSE 'both' END AS who FROM f LEFT JOIN ofkind ON kind = code "
+    "JOIN kr a ON a.n = coalesce(ofkind.n, (SELECT max(n) FROM kr)) LEFT JOIN ofmessage ON f.message = m LEFT JOIN mr b ON b.n = ofmessage.n) "
+    "SELECT event_id, CASE WHEN who = 'b' OR who = 'both' AND b.confidence > 0.7 THEN b.category ELSE a.category END AS category, CASE WHEN who = 'b' OR who = 'both' AND b.rank > a.rank THEN b.severity ELSE a.severity END AS severity, "
+    "CASE who WHEN 'a' THEN a.retriable WHEN 'b' THEN b.retriable ELSE a.retriable AND b.retriable END AS is_retriable, CASE who WHEN 'a' THEN a.strategy WHEN 'b' THEN b.strategy ELSE coalesce(b.strategy, a.strategy) END AS retry_strategy, "
+    "CASE who WHEN 'a' THEN a.message WHEN 'b' THEN b.message ELSE coalesce(nullif(b.message, ''), a.message) END AS user_message, "
+    "array_to_string(CASE who WHEN 'a' THEN a.steps WHEN 'b' THEN b.steps ELSE list_sort(list_distinct(a.steps || b.steps)) END, '|') AS steps, "
+    "CAST(greatest(a.confidence, coalesce(b.confidence, 0)) AS DOUBLE) AS confidence FROM j",
+)
 def classify_error(s, d):
     return i.failures(s, d).select("event_id", errors.classify(F.col("kind"), F.col("message")).alias("c")).select("event_id", "c.category", "c.severity", "c.is_retriable", "c.retry_strategy", "c.user_message", F.array_join("c.remediation_steps", "|").alias("steps"), "c.confidence")
 
 
 @query(
     "user_message",
-    "SELECT event_id, CASE WHEN contains(m, 'timeout') THEN 'Request Timeout' WHEN contains(m, 'connection') THEN 'Network Issue' WHEN contains(m, 'access') THEN 'Permission Error' WHEN contains(m, 'memory') THEN 'Memory Issue' "
-    f"WHEN contains(m, 'no such file') THEN 'File Not Found' ELSE 'Processing Error' END AS title FROM (SELECT event_id, lower(message) AS m FROM {i.FAILURES})",
+    f"WITH {q.USER_MESSAGES}, f AS (SELECT * FROM {i.FAILURES}), hit AS (SELECT event_id, kind, message, coalesce((SELECT min(n) FROM um WHERE len(list_filter(words, lambda w: contains(lower(message), w))) > 0), (SELECT max(n) FROM um)) AS n FROM f) "
+    "SELECT event_id, title, text AS message, severity, array_to_string(steps, '|') AS steps, array_to_string(fixes, '|') AS fixes, kind || ': ' || hit.message AS details FROM hit JOIN um USING (n)",
 )
 def user_message(s, d):
-    return i.failures(s, d).select("event_id", errors.user_message(F.col("message"))["title"].alias("title"))
+    m = i.failures(s, d).select("event_id", errors.user_message(F.col("message"), F.col("kind")).alias("m"))
+    return m.select("event_id", "m.title", "m.message", "m.severity", F.array_join("m.steps", "|").alias("steps"), F.array_join("m.fixes", "|").alias("fixes"), "m.details")
 
 
 @query("message_context", f"SELECT event_id, message || chr(10) || chr(10) || 'Context: During: Extract Text | Paper: ' || kind AS message FROM {i.FAILURES}")
@@ -456,30 +483,45 @@ def message_context(s, d):
     return i.failures(s, d).select("event_id", errors.with_context(F.col("message"), F.lit("extract_text"), none, none, F.col("kind")).alias("message"))
 
 
-@query("retry_delay", f"SELECT event_id, CAST(least(30, 1.0 * pow(2, attempt)) AS DOUBLE) AS exponential, CAST(least(30, 1.0 * (attempt + 1)) AS DOUBLE) AS linear FROM {i.FAILURES}")
+_STRATEGY = ("exponential_backoff", "linear_backoff", "fixed_delay", "immediate")
+
+
+@query(
+    "retry_delay",
+    "SELECT event_id, CAST(least(30, CASE WHEN event_id % 10 = 0 THEN event_id % 50 ELSE 0 END + CASE WHEN event_id % 10 = 0 AND event_id % 50 > 0 THEN 0 ELSE CASE event_id % 4 WHEN 0 THEN pow(2, attempt) WHEN 1 THEN attempt + 1 WHEN 2 THEN 1 ELSE 0 END END) AS DOUBLE) AS delay "
+    f"FROM {i.FAILURES}",
+)
 def retry_delay(s, d):
-    e, n = F.lit("exponential_backoff"), F.lit("linear_backoff")
-    return i.failures(s, d).select("event_id", errors.retry_delay(e, F.col("attempt"), 1.0).alias("exponential"), errors.retry_delay(n, F.col("attempt"), 1.0).alias("linear"))
+    strategy = F.get(F.array(*map(F.lit, _STRATEGY)), (F.col("event_id") % 4).cast("int"))
+    after = F.when(F.col("event_id") % 10 == 0, F.col("event_id") % 50)
+    return i.failures(s, d).select("event_id", errors.retry_delay(strategy, F.col("attempt"), 1.0, retry_after=after).alias("delay"))
 
 
-@query("http_status", f"SELECT event_id, CASE kind WHEN 'PasswordProtectedError' THEN 400 WHEN 'DataError' THEN 422 ELSE 500 END AS status FROM {i.FAILURES}")
+@query("http_status", f"WITH RECURSIVE {q.KINDS} SELECT event_id, coalesce((SELECT max(CASE up WHEN 'PdfError' THEN 400 WHEN 'LLMError' THEN 500 WHEN 'ConfigurationError' THEN 400 WHEN 'DataError' THEN 422 END) FROM anc WHERE code = kind), 500) AS status FROM {i.FAILURES}")
 def http_status(s, d):
     return i.failures(s, d).select("event_id", errors.http_status(F.col("kind")).alias("status"))
 
 
-@query("retryable_error", f"SELECT event_id, kind IN ('RateLimitError', 'LLMValidationError') AS retryable FROM {i.FAILURES}")
+_UNDER = "(SELECT count(*) FROM anc WHERE code = kind AND up IN ({}))"
+
+
+@query("retryable_error", f"WITH RECURSIVE {q.KINDS} SELECT event_id, {_UNDER.format(chr(39) + 'LLMError' + chr(39))} > 0 AND {_UNDER.format(q.quoted('ApiKeyError') + ', ' + q.quoted('ContentFilterError'))} = 0 AS retryable FROM {i.FAILURES}")
 def retryable_error(s, d):
     return i.failures(s, d).select("event_id", errors.retryable(F.col("kind")).alias("retryable"))
 
 
-@query("call_error", f"SELECT event_id, CASE WHEN contains(lower(message), 'quota') THEN 'RateLimitError' ELSE 'GeminiApiError' END AS kind FROM {i.FAILURES}")
+@query(
+    "call_error",
+    "SELECT event_id, CASE WHEN regexp_matches(m, 'quota|rate limit') THEN 'RateLimitError' WHEN regexp_matches(m, 'invalid api key|authentication') THEN 'GeminiAuthenticationError' "
+    f"WHEN regexp_matches(m, 'blocked|safety') THEN 'GeminiSafetyFilterError' ELSE 'GeminiApiError' END AS kind FROM (SELECT event_id, lower(message) AS m FROM {i.FAILURES})",
+)
 def call_error(s, d):
     return i.failures(s, d).select("event_id", ann.call_error(F.col("message")).alias("kind"))
 
 
-@query("error_taxonomy")
+@query("error_taxonomy", f"WITH RECURSIVE {q.KINDS} SELECT tax.code, tax.parent, string_agg(up, ' < ' ORDER BY depth) AS line FROM tax JOIN anc USING (code) GROUP BY tax.code, tax.parent")
 def error_taxonomy(s, d):
-    return errors.taxonomy(s)
+    return errors.taxonomy(s).withColumn("line", F.array_join("line", " < "))
 
 
 # Annotation.
@@ -497,7 +539,18 @@ def prompt(s, d):
 CUES = (("goal", 0.85, r"\b(?:thing|heit|eau|ción)\w*"), ("method", 0.80, r"\b(?:ing|ver|que|ado)\w*"), ("result", 0.90, r"\b(?:er|ge|le|os)\w*"))
 
 
-@query("annotate")
+_CHUNKED = f"CASE WHEN length(t) <= {chunking.SINGLE_LIMIT} THEN [t] ELSE {q.overlapped('c', chunking.OVERLAP)} END"
+_PARTS = f"SELECT doc_id, {_CHUNKED} AS parts FROM (SELECT doc_id, t, CASE WHEN length(t) <= {chunking.SINGLE_LIMIT} THEN []::VARCHAR[] ELSE {q.chunks('t', chunking.CHUNK_LIMIT - chunking.OVERLAP)} END AS c FROM docs)"
+
+
+@query(
+    "annotate",
+    f"WITH a AS (SELECT doc_id, {q.dehyphenated('text')} AS t FROM documents), b AS (SELECT doc_id, {q.whitespace('t')} AS t FROM a), docs AS ({q.without_furniture('b', 't')}), parts AS ({_PARTS}), "
+    f"s AS (SELECT doc_id, len(parts) AS n_chunks, list_transform(flatten(list_transform(parts, lambda x: {q.annotated('x')})), lambda p: {q.category('p', CUES)}) AS k FROM parts), "
+    "n AS (SELECT doc_id, n_chunks, len(list_filter(k, lambda x: x = 'goal')) AS goals, len(list_filter(k, lambda x: x = 'method')) AS methods, len(list_filter(k, lambda x: x = 'result')) AS results FROM s) "
+    "SELECT doc_id, n_chunks, CAST(goals AS INTEGER) AS goals, CAST(methods AS INTEGER) AS methods, CAST(results AS INTEGER) AS results, "
+    "round(coalesce(CAST((goals * 85 + methods * 80 + results * 90) AS DOUBLE) / 100 / nullif(goals + methods + results, 0), 0), 6) AS avg_confidence FROM n",
+)
 def annotate(s, d):
     """The flagship: normalize, split, annotate, merge, parse, count."""
     source = docs(s, d).select("doc_id", "lang", text.normalize(F.col("text"))["cleaned"].alias("text"))
@@ -505,16 +558,156 @@ def annotate(s, d):
     body = markup.without_summaries(F.col("marked_text"))
     found = marked.select("doc_id", "n_chunks", markup.elements(body).alias("e"))
     count = lambda t: F.size(F.filter("e", lambda x: x["element_type"] == t))
-    mean = F.coalesce(F.aggregate("e", F.lit(0.0), lambda a, x: a + x["confidence"].cast("double")) / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0))
+    percent = F.aggregate("e", F.lit(0), lambda a, x: a + F.round(x["confidence"].cast("double") * 100).cast("int"))
+    mean = F.coalesce(percent.cast("double") / 100 / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0))
     return found.select("doc_id", "n_chunks", count("goal").alias("goals"), count("method").alias("methods"), count("result").alias("results"), F.round(mean, 6).alias("avg_confidence"))
 
 
-@query("respond")
+_MARKED_PIECE = "CASE " + " ".join(f"WHEN k = '{k}' THEN '<{k} confidence=\"{c:.2f}\">' || p || '</{k}>'" for k, c, _ in CUES) + " ELSE p END"
+
+
+@query(
+    "respond",
+    f"WITH docs AS (SELECT doc_id, text AS t FROM documents), parts AS ({_PARTS}), x AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS nr FROM parts), "
+    f"y AS (SELECT doc_id, nr, unnest({q.annotated('part')}) AS p, generate_subscripts({q.annotated('part')}, 1) AS pos FROM x), z AS (SELECT *, {q.category('p', CUES)} AS k FROM y), "
+    f"w AS (SELECT doc_id, nr, ltrim(string_agg({_MARKED_PIECE}, '' ORDER BY pos), {q.BLANK}) AS marked, list(trim(p, {q.BLANK}) ORDER BY pos) FILTER (trim(p, {q.BLANK}) <> '') AS said FROM z GROUP BY doc_id, nr) "
+    "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS paper_id, 'Extracted Paper' AS title, md5(string_agg(marked, chr(10) || chr(10) ORDER BY nr)) AS h, "
+    "CAST(length(array_to_string(first(said ORDER BY nr)[1:2], ' ')) AS INTEGER) AS summary_chars FROM w GROUP BY doc_id",
+)
 def respond(s, d):
     marked = ann.annotate(docs(s, d), "doc_id", "text", lambda: ann.RuleAnnotator(cues=CUES))
     return ann.respond(marked, "doc_id").select("doc_id", "paper_id", "title", F.md5("text_with_markup").alias("h"), F.length("summary").alias("summary_chars"))
 
 
+@query("response_json", f"SELECT doc_id, md5(to_json({{'paper_id': substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8), 'doc_id': doc_id, 'title': 'Extracted Paper', 'authors': []::VARCHAR[], 'text_with_markup': regexp_replace(marked_text, '(?s)<summary>.*?</summary>', '', 'g'), 'summary': trim(text, {q.BLANK}), 'seconds': 0.5::DOUBLE}})) AS h FROM {i.MARKED}")
+def response_json(s, d):
+    """The sink's rows: one JSON object for each document."""
+    answers = ann.respond(i.marked(s, d), "doc_id", F.lit(0.5)).select("doc_id", F.to_json(F.struct("paper_id", "doc_id", "title", "authors", "text_with_markup", "summary", "seconds")).alias("value"))
+    return answers.select("doc_id", F.md5("value").alias("h"))
+
+
+_ITEMS = "[{'element_type': 'goal', 'confidence': goal, 'text': text}, {'element_type': 'method', 'confidence': method, 'text': source || ' ' || lang}, {'element_type': 'method', 'confidence': '0.7', 'text': lang}, {'element_type': 'result', 'confidence': '0.605', 'text': lang}]"
+
+
+@query(
+    "section_analysis",
+    "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 4 END AS n, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE length(text) // 4 END AS input_tokens, "
+    f"CASE WHEN doc_id % 6 = 0 THEN 0 ELSE CAST(list_sum([length(to_json(x)) FOR x IN {_ITEMS}]) AS BIGINT) // 4 END AS output_tokens FROM {i.MARKED}",
+)
+def section_analysis(s, d):
+    """A sixth of the sections is blank."""
+    section = F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("text"))
+    a = i.marked(s, d).select("doc_id", ann.analyze_section(section, F.col("marked_text")).alias("a"))
+    return a.select("doc_id", F.size("a.elements").alias("n"), "a.input_tokens", "a.output_tokens")
+
+
+@query(
+    "paper_summary",
+    "SELECT doc_id, md5(CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END) AS h, CASE WHEN doc_id % 6 = 0 THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence, "
+    "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'introduction' WHEN 2 THEN 'abstract' WHEN 3 THEN 'introduction' WHEN 4 THEN 'abstract' ELSE 'abstract,introduction' END AS sources FROM documents",
+)
+def paper_summary(s, d):
+    """Abstract, introduction or both may be blank or missing."""
+    k = F.col("doc_id") % 6
+    abstract = F.when(k.isin(2, 4, 5), F.col("text")).when(k == 3, " \n")
+    introduction = F.when(k.isin(1, 3, 5), F.col("text")).when(k == 2, "")
+    a = docs(s, d).select("doc_id", ann.paper_summary(abstract, introduction, F.col("text")).alias("a"))
+    return a.select("doc_id", F.md5("a.summary").alias("h"), "a.confidence", F.array_join("a.source_sections", ",").alias("sources"))
+
+
+_CALLS = "(SELECT event_id AS call_id, CAST(event_id % 4 AS INTEGER) AS attempts, CASE WHEN event_id % 5 = 0 THEN kind END AS error, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE message END AS marked FROM " + i.FAILURES + ")"
+
+
+def _calls(s, d):
+    k = F.col("event_id")
+    return i.failures(s, d).select(k.alias("call_id"), (k % 4).cast("int").alias("attempts"), F.when(k % 5 == 0, F.col("kind")).alias("error"), F.when(k % 5 == 0, "").when(k % 7 != 0, F.col("message")).alias("marked"))
+
+
+@query("usage_stats", f"SELECT count(*) AS calls, CAST(count_if(length(marked) > 0) AS BIGINT) AS answered, CAST(sum(attempts) AS BIGINT) AS attempts FROM {_CALLS}")
+def usage_stats(s, d):
+    return ann.usage_stats(_calls(s, d))
+
+
+@query(
+    "retry_events",
+    f"SELECT call_id, CAST(unnest(range(1, attempts + 1)) AS INTEGER) AS attempt, 'RetryAttempted' AS event_type FROM {_CALLS} UNION ALL SELECT call_id, attempts, 'RetrySucceeded' FROM {_CALLS} WHERE error IS NULL AND attempts > 1 "
+    f"UNION ALL SELECT call_id, attempts, 'RetryExhausted' FROM {_CALLS} WHERE error IS NOT NULL",
+)
+def retry_events(s, d):
+    return progress.retry_events(_calls(s, d))
+
+
+@query("output_tokens", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) // 4 AS tokens FROM conversations GROUP BY conv_id")
+def output_tokens(s, d):
+    answers = i.table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    return answers.select("conv_id", metrics.output_tokens(F.col("texts")).alias("tokens"))
+
+
+@query("page_assembly", "SELECT doc_id, md5(list_reduce(string_split(text, chr(10)), lambda a, x: CASE WHEN a || x = '' OR ends_with(a || x, chr(10)) THEN a || x ELSE a || x || chr(10) END, '')) AS h FROM documents")
+def page_assembly(s, d):
+    """Lines of two spans each."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.array(F.substring(x, 1, 7), F.substr(x, F.lit(8))))
+    return docs(s, d).select("doc_id", F.md5(src.page_text(lines)).alias("h"))
+
+
+@query("session_ids", "SELECT user_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS session FROM (SELECT DISTINCT user_id, md5(user_id || chr(31) || event_type) AS h FROM events)")
+def session_ids(s, d):
+    return i.table(s, d, "events").select("user_id", src.session_id(F.col("user_id"), F.col("event_type")).alias("session")).distinct()
+
+
+@query("author_list", "SELECT doc_id, md5(array_to_string([trim(x, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN string_split(text, ',') IF trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''], '|')) AS h FROM documents")
+def author_list(s, d):
+    return docs(s, d).select("doc_id", F.md5(F.array_join(el.author_list(F.col("text")), "|")).alias("h"))
+
+
+_BLANK_ID = "CASE WHEN k % 11 = 0 THEN ' ' ELSE source END"
+_ENTITIES = {
+    "position": ("k % 9 - 1 AS char_index, k % 5 AS page_number", {"index": "char_index >= 0", "page": "page_number >= 1"}),
+    "page": ("k % 5 AS page_number, text, length(text) - k % 2 AS char_count, k % 3 AS width, k % 4 AS height", {"number": "page_number >= 1", "count": "char_count = length(text)", "size": "width > 0 AND height > 0"}),
+    "content": (f"{_BLANK_ID} AS file_path, k % 3 AS total_pages, k % 4 AS n_pages", {"path": "trim(file_path) <> ''", "pages": "total_pages >= 1 AND total_pages = n_pages"}),
+    "transformation": ("CASE WHEN k % 2 = 0 THEN '' ELSE text END AS original, CASE WHEN k % 3 = 0 THEN '' ELSE text END AS cleaned", {"text": "original <> '' OR cleaned <> ''"}),
+    "section": (
+        f"{_BLANK_ID} AS section_id, lang AS section_type, CASE WHEN k % 7 = 0 THEN '' ELSE text END AS text, k % 3 AS start_page, k % 4 AS end_page, (k % 13) / 10.0 AS confidence, k % 5 - 1 AS char_start, k % 6 AS char_end",
+        {"ids": "trim(section_id) <> '' AND trim(section_type) <> ''", "text": f"trim(text, {q.BLANK}) <> ''", "pages": "start_page >= 1 AND end_page >= start_page", "confidence": "confidence BETWEEN 0 AND 1", "span": "char_start >= 0 AND char_end > char_start"},
+    ),
+    "paper": (
+        f"{_BLANK_ID} AS paper_id, text AS title, CASE WHEN k % 4 = 0 THEN [] ELSE [lang] END AS authors, CASE WHEN k % 3 > 0 THEN 1890 + k % 150 END AS year",
+        {"id": "trim(paper_id) <> ''", "title": f"trim(title, {q.BLANK}) <> ''", "authors": "len(authors) > 0", "year": "year IS NULL OR year BETWEEN 1900 AND 2030"},
+    ),
+    "coordinates": ("k % 5 AS page_number, k % 3 AS width, k % 4 AS height, k % 5 - 1 AS char_start, k % 6 AS char_end", {"page": "page_number >= 1", "size": "width > 0 AND height > 0", "span": "char_start >= 0 AND char_end > char_start"}),
+    "request": ("CASE WHEN k % 3 > 0 THEN 1890 + k % 150 END AS year", {"year": "year IS NULL OR year BETWEEN 1900 AND 2030"}),
+}
+
+
+def _violations(entity: str) -> str:
+    columns, rules = _ENTITIES[entity]
+    broken = ", ".join(f"CASE WHEN NOT coalesce({rule}, false) THEN '{entity}.{name}' END" for name, rule in rules.items())
+    return f"SELECT k AS doc_id, '{entity}' AS entity, array_to_string(list_filter([{broken}], lambda x: x IS NOT NULL), ',') AS violations FROM (SELECT k, {columns} FROM (SELECT doc_id AS k, * EXCLUDE (doc_id) FROM documents))"
+
+
+@query("entity_constraints", " UNION ALL ".join(map(_violations, _ENTITIES)))
+def entity_constraints(s, d):
+    """Every entity but elements, with rows that break each of its constraints; the columns are written so that both engines read them."""
+    base, out = i.table(s, d, "documents").withColumnRenamed("doc_id", "k"), None
+    for entity, (columns, _) in _ENTITIES.items():
+        given = columns.replace("CASE WHEN k % 4 = 0 THEN [] ELSE [lang] END", "CASE WHEN k % 4 = 0 THEN array() ELSE array(lang) END")
+        found = el.check(base.selectExpr("k", *_split_columns(given)), entity).select(F.col("k").alias("doc_id"), F.lit(entity).alias("entity"), F.array_join("violations", ",").alias("violations"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _split_columns(columns: str) -> list[str]:
+    """A list of expressions at the commas outside parentheses."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c in "([") - (c in ")]")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 @query("health", "SELECT 'healthy' AS status, '1' AS version")
 def health(s, d):
     return src.health(s)

@@ -150,6 +150,18 @@ def has_valid_key(config: Config) -> bool:
     return any(k and k != PLACEHOLDER for k in config.api.keys.values())
 
 
+def env_flag(name: str, env: dict | None = None) -> bool:
+    """Is the variable set to true, 1 or yes?"""
+    return ((os.environ if env is None else env).get(name) or "").lower() in ("true", "1", "yes")
+
+
+def from_env(env: dict | None = None) -> dict:
+    """What the environment sets: debug, config_path, log_level (null where it doesn't), and the keys by provider."""
+    env = dict(os.environ) if env is None else env
+    keys = {p: env[f"{p.upper()}_API_KEY"] for p in PROVIDERS if env.get(f"{p.upper()}_API_KEY")}
+    return {"debug": env_flag("DEBUG", env), "config_path": env.get("SCHOLION_CONFIG_PATH"), "log_level": env.get("SCHOLION_LOG_LEVEL"), "keys": keys}
+
+
 def resolve(directory: str, root: str | Path) -> Path:
     """Relative directories lie under the project's root."""
     p = Path(directory)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ MAX_FILE_MB = 50
 MIN_TOTAL_CHARS = 100
 MIN_MEAN_CHARS = 50
 
-PAGE_SCHEMA = "path string, page_number int, text string, char_count int, width double, height double, error string, message string"
+PAGE_SCHEMA = "path string, page_number int, text string, char_count int, width double, height double, error string, message string, seconds double, file_bytes long, parser string"
 
 
 def upload_status(name: Column, size: Column, max_mb: float = MAX_FILE_MB) -> Column:
@@ -32,6 +33,8 @@ def scan_files(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB) -> D
 def scan_pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, float, float]]]) -> DataFrame:
     """One row per page of each file that is 'ok'; ``parse`` gives (text, width, height) of the pages.
 
+    Each row tells how long the file's parsing took, its size, and the parser's ``version``, if it has one.
+
     A failure is a row with an error: PasswordProtectedError if the message speaks of a password, else
     CorruptedFileError; no pages ExtractionQualityError; under 100 characters NoTextLayerError.
     """
@@ -40,6 +43,7 @@ def scan_pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, float,
         columns = [part.split()[0] for part in PAGE_SCHEMA.split(", ")]
         for batch in batches:
             for path, content in batch[["path", "content"]].itertuples(index=False, name=None):
+                began = time.perf_counter()
                 try:
                     pages = parse(content)
                     rows = [(path, i + 1, text, len(text), w, h, None, None) for i, (text, w, h) in enumerate(pages)]
@@ -50,7 +54,8 @@ def scan_pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, float,
                 except Exception as e:  # noqa: BLE001  any fault of a foreign parser is a row
                     kind = "PasswordProtectedError" if "password" in str(e).lower() else "CorruptedFileError"
                     rows = [(path, None, None, None, None, None, kind, str(e))]
-                yield pd.DataFrame(rows, columns=columns)
+                about = (time.perf_counter() - began, len(content), getattr(parse, "version", None))
+                yield pd.DataFrame([(*r, *about) for r in rows], columns=columns)
 
     return files.filter("status = 'ok'").select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 

@@ -24,7 +24,7 @@ def test_markup(spark):
     s = "a<summary> one\n</summary>b<summary>two</summary>"
     assert one(spark, markup.summary, s) == "one" and one(spark, markup.without_summaries, s) == "ab" and one(spark, markup.all_summaries, s) == ["one", "two"]
     nested = "<method>a <goal confidence='0.7'>b &lt;</goal></method>"
-    assert [tuple(e) for e in one(spark, markup.elements, nested)] == [("goal", "0.7", "b <"), ("method", "0.00", "a b <")]
+    assert [tuple(e) for e in one(spark, markup.elements, nested)] == [("method", "0.00", "a b <"), ("goal", "0.7", "b <")]
     assert one(spark, lambda c: markup.hide(c, "goal"), nested) == "<method>a b &lt;</method>"
     assert one(spark, markup.confidences_valid, '<goal confidence="0.40">x</goal>') is False
     html = '<h1 id="top">A</h1><h2> </h2><h3>B <b>c</b></h3>'
@@ -156,3 +156,73 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = [tuple(r) for r in spark.table("progress_out").orderBy("event_id").collect()]
     assert [(*r[:-1], round(r[-1], 9)) for r in got] == [(*tuple(r)[:-1], round(r["progress"], 9)) for r in batch.orderBy("event_id").collect()]
     assert max(r[-2] for r in got) >= 7 and progress.CAP in {round(r[-1], 9) for r in got}
+
+
+def test_tags_in_document_order():
+    text = "x</goal><RESULT confidence=''>r <result confidence='0.6'>s</result> t</RESULT><b>u</b><goal confidence=\"0.9\">v<method>w</goal>y"
+    assert markup.collect(text) == [("result", "0.00", "r s t"), ("result", "0.6", "s"), ("goal", "0.9", "vw"), ("method", "0.00", "w")]
+    assert markup.collect("<goal>a<goal>b") == [("goal", "0.00", "ab"), ("goal", "0.00", "b")] and markup.collect("") == []
+    assert markup.collect("<goals>a</goals>") == [] and len(markup.collect("<goal>" * 2000 + "</goal>" * 2000)) == 2000
+
+
+def test_output_tokens_floor_the_sum(spark):
+    df = spark.createDataFrame([(["abc", "abc"],), ([],), ([None, "abcdefgh"],)], "t array<string>")
+    assert [r[0] for r in df.select(metrics.output_tokens(F.col("t"))).collect()] == [1, 0, 2]
+
+
+def test_prompts_numbered_and_environment():
+    p = ann.Prompts(rules=("a", "b"), numbered=True)
+    assert "1. a\n2. b" in p.frame()[1] + p.frame()[0]
+    assert conf.env_flag("D", {"D": "Yes"}) and not conf.env_flag("D", {}) and not conf.env_flag("D", {"D": "0"})
+    env = {"DEBUG": "1", "SCHOLION_LOG_LEVEL": "WARN", "GEMINI_API_KEY": "k", "OPENAI_API_KEY": ""}
+    assert conf.from_env(env) == {"debug": True, "config_path": None, "log_level": "WARN", "keys": {"gemini": "k"}}
+    assert str(conf.resolve("a", "/b")) == "/b/a" and str(conf.resolve("/a", "/b")) == "/a"
+
+
+def test_attempts_time_out():
+    import time
+
+    slow = ann.RetryPolicy(attempts=2, initial=0.0, timeout=0.05)
+    got, tries, error = slow.run(lambda: time.sleep(0.4) or "late")
+    assert (got, tries) == (None, 2) and "Timeout" in error
+    assert ann.RetryPolicy(timeout=5.0).run(lambda: "ok") == ("ok", 1, None)
+
+
+def test_scan_tells_its_parser(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 10)
+
+    def parse(content):
+        return [("w" * 200, 1.0, 2.0)]
+
+    parse.version = "p1"
+    row = src.scan_pages(src.scan_files(spark, str(tmp_path)), parse).first()
+    assert (row["file_bytes"], row["parser"], row["page_number"]) == (10, "p1", 1) and row["seconds"] >= 0
+
+
+def test_newline_position(spark):
+    from scholion.functions.charmap import newline_position
+
+    r = spark.range(1).select(newline_position(F.lit(7), F.lit(2), F.lit(9.5)).alias("p")).first()["p"]
+    assert (r["char_index"], r["page_number"], r["x"], r["y"]) == (7, 2, 0.0, 9.5) and tuple(r["bbox"]) == (0.0, 9.5, 0.0, 9.5)
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "# A\n\ntext"), (2, "# B")], "id long, m string")
+    src.write_markdown(df, "m", str(tmp_path / "md"))
+    assert sorted("".join(p.read_text() for p in (tmp_path / "md").glob("part-*")).split("\f")[:-1]) == ["# A\n\ntext", "# B"]
+    assert json.loads(src.to_json(df).filter("value LIKE '%B%'").first()[0]) == {"id": 2, "m": "# B"}
+
+
+def test_streaming_bus_and_session_sink(spark, tmp_path):
+    rows = [("s", k, dt.datetime(2024, 1, 1, 0, k), kind) for k, kind in enumerate((progress.STARTED, progress.SECTION_DONE, progress.DONE))] + [("t", 9, dt.datetime(2024, 1, 1), progress.FAILED)]
+    spark.createDataFrame(rows, "session string, event_id long, ts timestamp, event_type string").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("session string, event_id long, ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    seen, sent = [], []
+    q = progress.subscribe(stream(), progress.DONE, lambda batch, _: seen.extend(r["event_id"] for r in batch.collect()), str(tmp_path / "c1"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [2]
+    q = progress.to_session(stream(), "s", sent.append, str(tmp_path / "c2"))
+    q.processAllAvailable()
+    q.stop()
+    assert [json.loads(m)["event_id"] for m in sent] == [0, 1, 2]

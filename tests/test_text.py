@@ -100,3 +100,16 @@ def test_chunk_rows_and_merge(spark):
     assert merged[3] == "" and merged[1].count("\n\n") == rows.filter("i = 1").count() - 1
     same = df.filter("i <> 2").select("i", chunking.prepared_chunks(F.col("t"), 30, 5).alias("c"))
     assert {(r["i"], len(r["c"])) for r in same.collect()} == {(r["i"], r["total_chunks"]) for r in rows.collect()}
+
+
+def test_combining_marks_belong_to_no_word(spark):
+    marked = ["cafe\u0301-\nbar", "cafe-\nbar", "x\u0301-\n\u0301y"]
+    got = column(spark, text.dehyphenate, marked)
+    assert got == [re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", s) for s in marked] and got[1] == "cafebar"
+    assert column(spark, lambda c: text.normalize(c)["cleaned"], marked) == [charmap.mapped(s)[0] for s in marked]
+
+
+def test_many_repeated_lines(spark):
+    lines = [f"{k}\n" for k in range(400)]
+    pages = "".join(f"page text of some length {k}\n\n{line}" for k, line in enumerate(lines)) * 3
+    assert column(spark, text.remove_repeated_lines, [pages]) == [plain_lines(pages)]
