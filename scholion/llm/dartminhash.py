@@ -54,7 +54,7 @@ SPARE = 3.0
 RANK_EDGES = np.concatenate([[0.0, 1 / 16, 1 / 4], 2.0 ** np.arange(0, 40)])
 WORK_CHARS = 3_000_000
 #: A block of up to so many documents, of so many shingles in all, is compared in one task.
-FEW, FEW_SHINGLES = 32, 2_000_000
+FEW, FEW_SHINGLES = 256, 2_000_000
 #: Members that C is taken of, the share of them that must have a shingle, and how often blocks are divided.
 SAMPLED, COMMON, DEPTH = 32, 0.3, 4
 
@@ -172,9 +172,9 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], poisson: Poisson | Non
         last = int(np.searchsorted(RANK_EDGES, reach[todo].max(), side="left")) - 1
         who, coordinate, rank, dart = darts(owner, element, weight, reach, 0, last, poisson)
         key = who * K + coordinate
-        order = np.lexsort((dart, rank, key))
-        key, first = np.unique(key[order], return_index=True)
-        best[key], out[key] = rank[order][first], dart[order][first]
+        np.minimum.at(best, key, rank)
+        first = rank == best[key]
+        out[key[first]] = dart[first]
         empty = ~np.isfinite(best.reshape(-1, K)[todo]).all(axis=1)
         todo = todo[empty]
         reach[todo] *= 2.0
@@ -317,8 +317,11 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
     """
     found = None
     for depth in range(DEPTH + 1):
-        counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_blocks = scratch.keep(f"open{depth}", counts.filter("lo <> hi").select("block", "n", "smallest", ((F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)).alias("few")))
+        counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("who"))
+        few = (F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)
+        # blocks of the same documents are one
+        one = counts.filter("lo <> hi").groupBy("n", "who", "total").agg(F.min(F.struct("block", "smallest", few.alias("few"))).alias("x"))
+        open_blocks = scratch.keep(f"open{depth}", one.select("x.block", "n", "x.smallest", "x.few"))
         members = scratch.keep(f"members{depth}", blocks.join(open_blocks, "block"))
         pairs = few_pairs(members.filter("few"), texts, threshold)
         large = members.filter("NOT few").drop("few")
@@ -329,7 +332,7 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
             last = True
         elif not last:
             centres = scratch.keep(f"centres{depth}", centres_of(large, texts))
-            beyond = scratch.keep(f"beyond{depth}", excesses(large, centres, texts, threshold))
+            beyond = scratch.keep(f"beyond{depth}", excesses(large, centres, texts, threshold).repartition("doc"))  # lest one task has a whole block
             pairs = pairs.union(near_centre(beyond.filter("spare < 0"), texts, threshold, scratch, depth))
             blocks = scratch.keep(f"blocks{depth + 1}", divided(beyond, scratch, depth))
         pairs = scratch.keep(f"pairs{depth}", pairs.distinct())
@@ -339,19 +342,37 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
             return found
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap of every two bags, and the size of each. The kth time that a bag has a shingle is an element of its own."""
+    sizes = np.array([int(b[1].sum()) for b in bags], np.int64)
+    elements = []
+    for kinds, counts in bags:
+        turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        elements.append(mix64(np.repeat(kinds, counts) + turn.astype(np.uint64) * GOLDEN))
+    _, at, n = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    owner, number = np.repeat(np.arange(len(bags)), sizes), np.cumsum(n > 1) - 1
+    some = n[at] > 1
+    owner, column = owner[some], number[at[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    low = np.zeros((len(bags), len(bags)), np.int64)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        has = np.zeros((len(bags), 4096), np.float32)
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        low += (has @ has.T).astype(np.int64)
+    return low, sizes
+
+
 def few_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of components by comparing all documents of each block, which has few."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        bags = [bag(t.encode("utf-8")) for t in group["text"]]
-        sizes, comps, out = [int(b[1].sum()) for b in bags], group["comp"].tolist(), []
-        now = list(comps)
-        for i in range(len(bags)):
-            for j in range(i):
-                if now[i] != now[j] and min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) and similarity(bags[i], bags[j]) >= threshold:
-                    out.append((comps[i], comps[j]))
-                    now = [now[j] if c == now[i] else c for c in now]
-        return pd.DataFrame(out, columns=["a", "b"])
+        comps = group["comp"].to_numpy(np.int64)
+        low, sizes = overlaps([bag(t.encode("utf-8")) for t in group["text"]])
+        both = np.maximum(sizes[:, None] + sizes[None, :] - low, 1)
+        a, b = np.nonzero((low / both >= threshold) & (comps[:, None] < comps[None, :]))
+        return pd.DataFrame(sorted(set(zip(comps[a].tolist(), comps[b].tolist(), strict=True))), columns=["a", "b"])
 
     withed = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("block", "doc", "comp", "text")
     return withed.groupBy("block").applyInPandas(compare, "a long, b long")
@@ -415,7 +436,9 @@ def excesses(members: DataFrame, centres: DataFrame, texts: DataFrame, threshold
                 what, more, overlap = excess(own, known)
                 size = int(own[1].sum())
                 need = threshold / (1 + threshold) * (size + max(smallest, threshold * size)) - overlap
-                out.append((block, doc, comp, size, overlap, max(-1, int(np.ceil(need - 1e-9)) - 1), what.view(np.int64), more))
+                spare = max(-1, int(np.ceil(need - 1e-9)) - 1)
+                if int(more.sum()) > spare:  # else nobody can be similar
+                    out.append((block, doc, comp, size, overlap, spare, what.view(np.int64), more))
             yield pd.DataFrame(out, columns=["block", "doc", "comp", "size", "overlap", "spare", "shingles", "more"])
 
     withed = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").join(centres, "block", "left")

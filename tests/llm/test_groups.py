@@ -254,6 +254,18 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in dartminhash.near_duplicates(docs_of(spark, [(4, "a b")])).collect()] == [(4, 4, 1)]
 
 
+def test_overlaps_of_bags():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(30)] + ["", "a b a b a b a b a b a b a b"]
+    bags = [dartminhash.bag(t.encode()) for t in texts]
+    low, sizes = dartminhash.overlaps(bags)
+    for i, (a, na) in enumerate(bags):
+        assert sizes[i] == na.sum()
+        for j, (b, nb) in enumerate(bags):
+            want = sum((Counter(dict(zip(a.tolist(), na.tolist()))) & Counter(dict(zip(b.tolist(), nb.tolist())))).values())
+            assert low[i, j] == want or i == j and low[i, j] <= want
+
+
 def test_darts_estimate_weighted_similarity():
     a, b = np.array([1, 50, 7]), np.array([3, 20, 7])
     same = []
