@@ -1,35 +1,46 @@
-"""Best-fit packing into bins of several permitted lengths.
-
-A text has as many units as words (runs without white space) and one for its end. Texts longer than
-the longest permitted length give full pieces, each a bin of its own, and a rest. The rests are dealt
-by a hash of the id into shards of about ``SHARD`` pieces, and each shard is packed on its own: from
-the longest piece down, each goes to the open bin with the least room that is enough. If none has
-room, a bin is opened of the length that costs least for each unit which it can be expected to hold,
-given what is left to pack. At the end each bin is downsized to the shortest permitted length that
-holds its contents. The joint choice of lengths competes with every single one of them, and the
-cheapest outcome of a shard is kept. A bin of length c costs ``c * (1 + c / ATTENTION)``.
-
-No piece is dropped, and none is longer than its bin. Memory: a shard's ids and lengths, no texts.
-
-Defined cases: a null or empty text, or one of white space, has 0 units and a row with bin_id null;
-ties are broken by id, then by piece; repeated rows and null ids are packed like others; an empty
-table gives an empty result; other columns are not read.
+"""Best-fit packing of token sequences into bins of several permitted lengths.
+
+A text's units are the ids of its tokens, by the codec of ``bpe`` or as given in a column, and one end
+token. It is cut into pieces of the longest permitted length and a rest. Pieces are dealt into shards by
+a hash of the row's id and text, so null or repeated ids spread; rows that a task meets again go by their
+number too, so equal rows spread as well. A shard is sorted from the longest piece down and packed as it
+streams by: each piece goes to the open bin with the least room that is enough. If none has room, a bin
+is opened of the length that costs least for each unit which it can be expected to hold, given what is
+left to pack. At the end each bin is downsized to the shortest permitted length that holds its contents.
+A bin of length c costs ``c * (1 + c / ATTENTION)``.
+
+Every unit is in one bin, and no bin holds more than its length. The packed sequences are rows: their
+ids, and for each piece in them the document, where it starts in it, where it lies in the bin, its length.
+Where no row is repeated, bins and their ids depend on the rows alone, not on partitions.
+
+Memory: up to ``SHARD`` pieces of the longest length; a shard that has more is packed as several.
+
+Defined cases: a null or empty text has no units and a row with bin_id null, as has a null or empty list
+of given tokens; ties are broken by id, then by start, then by the row's hash; repeated rows and null ids
+are packed like others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import load, worker_codec
+from .common import small_batches
+
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 32768
-SHARD = 40_000
+SHARD = 8192
+END = "<|endoftext|>"
 
-SCHEMA = "doc_id long, piece int, start long, n_units int, bin_id string, bin_length int, bin_offset int"
+PIECES = "shard long, doc_id long, start long, n_units int, row long, ids binary"
+SCHEMA = "bin_id string, bin_length int, n_units int, ids array<int>, doc_ids array<long>, starts array<long>, offsets array<int>, sizes array<int>"
 
 
 def cost(c: int) -> float:
@@ -72,41 +83,92 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], lis
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece, and the downsized length of each bin, by the cheapest choice of lengths."""
-    options = [lengths, *[(c,) for c in lengths if c >= (sizes[0] if sizes else 0) and len(lengths) > 1]]
-    results = []
-    for allowed in options:
-        bins, offsets, fills = best_fit(sizes, allowed)
-        final = [min(c for c in lengths if c >= f) for f in fills]
-        results.append((sum(map(cost, final)), bins, offsets, final))
-    return min(results, key=lambda r: r[0])[1:]
-
-
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """One row for each piece: where it starts in its text (in units) and where it lies in which bin."""
+    """Bin and offset of each piece, and the downsized length of each bin."""
+    bins, offsets, fills = best_fit(sizes, lengths)
+    return bins, offsets, [min(c for c in lengths if c >= f) for f in fills]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def cut(ids: np.ndarray, top: int) -> list[np.ndarray]:
+    """Pieces of at most ``top`` units; one without units for nothing."""
+    return [ids[a : a + top] for a in range(0, len(ids), top)] or [ids]
+
+
+def sequences(name: str, rows: list[tuple], lengths: tuple[int, ...]) -> pd.DataFrame:
+    """Bins of the pieces ``rows`` (doc_id, start, ids), from the longest down."""
+    sizes = [len(r[2]) for r in rows if len(r[2])]
+    bins, offsets, final = pack(sizes, lengths)
+    within: list[list[int]] = [[] for _ in final]
+    for k, b in enumerate(bins):
+        within[b].append(k)
+    out = [(
+        f"{name}-{b}", final[b], sum(sizes[k] for k in own), np.concatenate([rows[k][2] for k in own]), [rows[k][0] for k in own],
+        [rows[k][1] for k in own], [offsets[k] for k in own], [sizes[k] for k in own],
+    ) for b, own in enumerate(within)]
+    out += [(None, None, 0, [], [r[0]], [0], [0], [0]) for r in rows[len(sizes) :]]  # those without units are last
+    frame = pd.DataFrame(out, columns=["bin_id", "bin_length", "n_units", "ids", "doc_ids", "starts", "offsets", "sizes"])
+    return frame.astype({"bin_length": "Int32"})
+
+
+def pieces_of(docs: DataFrame, tokenizer: str | None, id_col: str, text_col: str, tokens_col: str | None, end: int | None, shards: int, top: int) -> DataFrame:
+    """The pieces of every row with their shards; ``ids`` as little-endian 32-bit numbers."""
+    spark = docs.sparkSession
+    shared = None if tokens_col else spark.sparkContext.broadcast(load(tokenizer))
+    given = F.col(tokens_col).cast("array<int>") if tokens_col else F.col(text_col)
+
+    def run(batches):
+        codec = None if tokens_col else worker_codec(shared)
+        stop = end if tokens_col else codec.v.special.get(END) if end is None else end
+        met: Counter = Counter()
+        for batch in batches:
+            out = []
+            for doc, what in zip(batch["doc_id"], batch["given"], strict=True):
+                doc = None if pd.isna(doc) else int(doc)
+                if tokens_col:
+                    ids = np.asarray([] if what is None else what, np.int32)
+                    raw = ids.tobytes()
+                else:
+                    raw = what.encode("utf-8") if isinstance(what, str) else b""
+                    ids = np.array(codec.encode(what), np.int32) if raw else np.zeros(0, np.int32)
+                if len(ids) and stop is not None:
+                    ids = np.append(ids, np.int32(stop))
+                row = xxhash.xxh3_64_intdigest(raw, seed=0 if doc is None else (doc + 1) & ((1 << 64) - 1))
+                turn = met[row]
+                met[row] += 1
+                for k, part in enumerate(cut(ids, top)):
+                    shard = xxhash.xxh3_64_intdigest(f"{row} {turn} {k}") % shards
+                    out.append((shard, doc, k * top, len(part), signed(row), part.tobytes()))
+            frame = pd.DataFrame(out, columns=["shard", "doc_id", "start", "n_units", "row", "ids"])
+            yield frame.astype({"doc_id": "Int64"})
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), given.alias("given")).mapInPandas(run, PIECES)
+
+
+def packed(
+    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, tokens_col: str | None = None, end: int | None = None
+) -> DataFrame:
+    """One row for each bin. ``tokenizer``: the vocabulary file for texts; or ``tokens_col``: a column of ids. ``end``: the end token, the vocabulary's own for texts if null."""
+    small_batches(docs.sparkSession)
     lengths, top = tuple(sorted(set(lengths))), max(lengths)
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(words > 0, words + 1).otherwise(0).alias("units"))
     shards = max(1, -(-docs.count() // SHARD))
-    pieces = rows.select("doc_id", "units", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("units") - 1) / top))).cast("array<int>")).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("units") - F.col("piece") * top).cast("int").alias("n_units"))
-    whole = pieces.filter((F.col("n_units") == top) | (F.col("n_units") == 0))
-    has = F.col("n_units") > 0
-    whole = whole.select(
-        "doc_id", "piece", "start", "n_units",
-        F.when(has, F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string"), F.monotonically_increasing_id().cast("string"))).alias("bin_id"),
-        F.when(has, F.lit(top)).alias("bin_length"), F.when(has, F.lit(0)).alias("bin_offset"),
-    )
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["doc_id"].astype("Int64")
-        order = np.lexsort((group["piece"].to_numpy(), ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), -group["n_units"].to_numpy()))
-        group = group.iloc[order].reset_index(drop=True)
-        bins, offsets, final = pack(group["n_units"].tolist(), lengths)
-        out = group[["doc_id", "piece", "start", "n_units"]].assign(doc_id=group["doc_id"].astype("Int64"))
-        out["bin_id"] = [f"{key[0]}-{b}" for b in bins]
-        out["bin_length"], out["bin_offset"] = [final[b] for b in bins], offsets
-        return out
-
-    rest = pieces.filter((F.col("n_units") < top) & has).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return rest.groupBy("shard").applyInPandas(one, SCHEMA).unionByName(whole)
+    pieces = pieces_of(docs, tokenizer, id_col, text_col, tokens_col, end, shards, top)
+    ordered = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_units"), "doc_id", "start", "row")
+
+    def run(batches):
+        held, at, part = [], None, 0
+        for batch in batches:
+            for shard, doc, start, ids in batch[["shard", "doc_id", "start", "ids"]].itertuples(index=False, name=None):
+                if held and (shard != at or len(held) == SHARD):
+                    yield sequences(f"{at}-{part}", held, lengths)
+                    held, part = [], part + 1 if shard == at else 0
+                elif shard != at:
+                    part = 0
+                at = shard
+                held.append((None if pd.isna(doc) else int(doc), start, np.frombuffer(ids, np.int32)))
+        if held:
+            yield sequences(f"{at}-{part}", held, lengths)
+
+    return ordered.mapInPandas(run, SCHEMA)

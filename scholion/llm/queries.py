@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality, toxicity, warc
 from .common import table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op6_chunkdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,21 +137,82 @@ def test_repeated_passages_are_cut(spark):
 # Packing
 
 
-def test_packing_invariants(spark):
+def unpacked(out, lengths):
+    """The units of each document in order, by its id; checks every bin."""
+    parts = {}
+    for r in out:
+        assert len(r["ids"]) == r["n_units"] == sum(r["sizes"]) and r["offsets"] == [sum(r["sizes"][:k]) for k in range(len(r["sizes"]))]
+        if r["bin_id"] is None:
+            assert r["n_units"] == 0 and r["bin_length"] is None
+        else:
+            assert r["bin_length"] == min(c for c in lengths if c >= r["n_units"]) and min(r["sizes"]) > 0
+        for doc, start, at, n in zip(r["doc_ids"], r["starts"], r["offsets"], r["sizes"]):
+            parts.setdefault(doc, []).append((start, r["ids"][at : at + n]))
+    assert len({r["bin_id"] for r in out if r["bin_id"]}) == sum(r["bin_id"] is not None for r in out)
+    return parts
+
+
+def test_every_token_is_packed_once_and_in_order(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, lengths = Tokenizer.from_file(path), (16, 64, 200)
     rng = random.Random(5)
-    rows = [(i, " ".join("w" * rng.randint(1, 900))) for i in range(300)] + [(1000, None), (1001, ""), (1002, " \n"), (1003, "w " * 10_000), (3, "w"), (3, "w"), (None, "w w"), (1004, "w " * 4095)]
-    out = packing.packed(docs_of(spark, rows)).toPandas()
-    placed = out[out.bin_id.notna()]
-    assert placed.n_units.sum() == sum(len((t or "").split()) + 1 for _, t in rows if (t or "").split())
-    for _, g in placed.sort_values("bin_offset").groupby("bin_id"):
-        ends = (g.bin_offset + g.n_units).tolist()
-        assert g.bin_length.nunique() == 1 and ends[-1] <= g.bin_length.iloc[0] and g.bin_offset.tolist() == [0, *ends[:-1]]
-        assert g.bin_length.iloc[0] == min(c for c in packing.LENGTHS if c >= ends[-1])
-    assert out[out.bin_id.isna()].doc_id.tolist().sort() == [1000, 1001, 1002].sort()
-    long = out[out.doc_id == 1003].sort_values("piece")
-    assert long.n_units.tolist() == [4096, 4096, 1809] and long.start.tolist() == [0, 4096, 8192]
-    assert placed.n_units.sum() / placed.groupby("bin_id").bin_length.first().sum() > 0.95
-    assert packing.packed(docs_of(spark, [])).count() == 0
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 90)))) for i in range(200)]
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "word " * 3000), (3, rows[3][1]), (3, rows[3][1]), (3, "other"), (None, "w w"), (None, "v"), (None, None)]
+    monkeypatch.setattr(packing, "SHARD", 40)
+    out = packing.packed(docs_of(spark, rows), path, lengths=lengths).collect()
+    parts = unpacked(out, lengths)
+    want = {}
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.setdefault(i, []).append([*ids, 50256] if ids else [])
+    for i, texts in want.items():
+        if len(texts) == 1:
+            assert [u for _, ids in sorted(parts[i]) for u in ids] == texts[0]
+        else:
+            assert sorted(u for _, ids in parts[i] for u in ids) == sorted(u for t in texts for u in t)
+    placed = [r for r in out if r["bin_id"]]
+    assert sum(r["n_units"] for r in placed) / sum(r["bin_length"] for r in placed) > 0.85
+    key = lambda found: sorted((r["bin_id"] or "", r["ids"], str(r["doc_ids"])) for r in found)
+    single = [r for r in rows if r != (3, rows[3][1])]
+    a, b = (packing.packed(docs_of(spark, single).repartition(n), path, lengths=lengths).collect() for n in (1, 5))
+    assert key(a) == key(b)  # partitions do not matter
+    assert packing.packed(docs_of(spark, []), path).count() == 0
+
+
+def test_packing_of_given_tokens(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7]), (2, []), (3, None), (4, list(range(70)))], "doc_id long, toks array<int>")
+    out = packing.packed(df, tokens_col="toks", lengths=(8, 32), end=9).collect()
+    parts = unpacked(out, (8, 32))
+    assert {i: [u for _, ids in sorted(p) for u in ids] for i, p in parts.items()} == {1: [5, 6, 7, 9], 2: [], 3: [], 4: [*range(70), 9]}
+
+
+def test_joint_choice_by_brute_force():
+    """The rule, written plainly, over several lengths."""
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = tuple(sorted(rng.sample(range(4, 60), 3)))
+        sizes = sorted((rng.randint(1, lengths[-1]) for _ in range(rng.randint(1, 40))), reverse=True)
+        bins = []  # [length, fill]
+        placed = []
+        for k, size in enumerate(sizes):
+            fits = [(c - f, n) for n, (c, f) in enumerate(bins) if c - f >= size]
+            room = min(fits)[0] if fits else None
+            if fits:
+                options = {n for r, n in fits if r == room}
+            else:
+                left = sum(sizes[k + 1 :])
+                each = lambda c: packing.cost(c) / (size + (min(c - size, left) if c - size >= sizes[-1] else 0))  # noqa: E731, B023
+                bins.append([min((c for c in lengths if c >= size), key=each), 0])
+                options = {len(bins) - 1}
+            b = packing.best_fit(sizes, lengths)[0][k]
+            assert b in options
+            bins[b][1] += size
+            placed.append(b)
+        got, offsets, final = packing.pack(sizes, lengths)
+        assert got == placed and final == [min(c for c in lengths if c >= f) for _, f in bins]
 
 
 def test_best_fit_takes_the_tightest_bin():
