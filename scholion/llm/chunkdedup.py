@@ -8,8 +8,8 @@ content: an insertion shifts those nearby only, and equal passages get equal chu
 
 Chunks are compared by 64-bit digest. The document with the least id owns a digest; elsewhere, and
 where it comes again in the same document, the chunk is a repeat. A run of neighbouring repeats is
-cut out if it has at least ``MIN_RUN_BYTES``, so a chance repeat of a few words stays, and a collision
-of digests alone removes nothing.
+cut out if it has at least ``MIN_RUN_BYTES`` and ``MIN_RUN_CHUNKS``, so a chance repeat of a few words
+stays, and one collision of digests removes nothing.
 
 The digests (16 bytes a chunk) are written once; they are counted with partial sums before the
 shuffle, and joined with the owners of repeated ones only. A digest in very many documents is one row
@@ -34,6 +34,7 @@ from .common import mix64, shared_path, small_batches
 MIN_BYTES = 16
 MAX_BYTES = 192
 MIN_RUN_BYTES = 80
+MIN_RUN_CHUNKS = 2
 #: A chunk ends at a word's start with this chance in 16.
 ENDS_IN_16 = 4
 
@@ -90,21 +91,20 @@ def chunks(text: bytes) -> tuple[list[int], list[int]]:
 
 
 def repeats(text: bytes, foreign) -> tuple[list[tuple[int, int]], int, int]:
-    """Byte spans to cut, number of chunks, number of repeated chunks. ``foreign``: digests owned elsewhere."""
+    """Byte spans to cut, number of chunks, number of chunks in the spans. ``foreign``: digests owned elsewhere."""
     b, digests = chunks(text)
     seen, spans, many, start = set(foreign), [], 0, None
-    for i, d in enumerate(digests):
-        if d in seen:
-            many += 1
-            start = b[i] if start is None else start
-        else:
-            seen.add(d)
-            if start is not None:
-                spans.append((start, b[i]))
-                start = None
-    if start is not None:
-        spans.append((start, len(text)))
-    return [s for s in spans if s[1] - s[0] >= MIN_RUN_BYTES], len(digests), many
+    for i, d in enumerate([*digests, None]):
+        if d is not None and d in seen:
+            start = i if start is None else start
+            continue
+        seen.add(d)
+        if start is not None:
+            if i - start >= MIN_RUN_CHUNKS and b[i] - b[start] >= MIN_RUN_BYTES:
+                spans.append((b[start], b[i]))
+                many += i - start
+            start = None
+    return spans, len(digests), many
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> str:
@@ -139,7 +139,7 @@ def foreign_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, text without repeats, numbers of chunks, the byte spans cut out."""
+    """For each row: doc_id, text without repeats, number of chunks, number of those cut out, the byte spans cut out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(foreign_digests(docs, id_col, text_col), "doc_id", "left")
     schema = "doc_id long, text string, n_chunks int, n_repeats int, cut_bytes long, cut_spans array<struct<start:int,end:int>>"

@@ -8,6 +8,7 @@ are deleted as soon as no later step reads them; all live in the folder that the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,11 @@ ARROW_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs in one process, as in tests."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scholion-")
         spark.conf.set(CHECKPOINT_CONF, root)
     if spark.sparkContext.getCheckpointDir() is None:

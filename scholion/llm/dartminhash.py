@@ -257,6 +257,13 @@ def by_text(docs: DataFrame, unit: str) -> DataFrame:
     return docs.join(units, same, "left").withColumn(unit, F.coalesce("__unit", key)).select(*docs.columns, unit)
 
 
+def once(docs: DataFrame, unit: str) -> DataFrame:
+    """``docs`` with one row of each ``unit``; rows without one stay. Only where a unit is repeated are rows moved."""
+    if not docs.groupBy(unit).agg(F.count("*").alias("n")).filter(f"{unit} IS NOT NULL AND n > 1").limit(1).count():
+        return docs
+    return docs.filter(F.col(unit).isNotNull()).dropDuplicates([unit]).unionByName(docs.filter(F.col(unit).isNull()))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size."""
     small_batches(docs.sparkSession)
