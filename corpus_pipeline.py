@@ -5,10 +5,16 @@ toxicity: documents that the toxicity classifier rejects go.
 near_duplicates: of each group of near-duplicates the document with the least id stays; different texts of
 one id are judged each by itself, the least text under the id and the others after all ids.
 substrings: passages that occur in an earlier document are cut out of the text; every document stays.
-packing: the texts are laid into bins of the permitted lengths, one row per piece.
+packing: the tokens of the texts are laid into bins of the permitted lengths, one row per bin.
 
 All but the last return the columns of their input, ``n_chars`` following the text. Each stage is
-written as Parquet to the shared folder and read again, so none repeats another's work after a loss.
+written as Parquet to the shared folder and read again, so none repeats another's work after a loss, and
+what the stage before has written is deleted then.
+
+Defined cases: where nothing can be learnt (no labelled rows, or of one class only) a classifier rejects
+nothing; null and empty texts are judged like others by the classifiers, are no near-duplicates of one
+another (null) or are (empty), and give no tokens; of rows with the same id and text one stays; rows
+without an id pass near_duplicates and substrings as they are; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,22 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.llm import chunkdedup, dartminhash, packing, quality, toxicity
-from scholion.llm.common import shared_path, small_batches, table
+from scholion.llm.common import remove, shared_path, small_batches, table
+from scholion.llm.queries import TOKENIZER
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, _ = quality.train(docs, table(spark, sf_dir, "labels"))
+    if model.constant is not None:
+        return docs
     return docs.filter(model.column(F.col("text")) >= quality.THRESHOLD)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = toxicity.fit(toxicity.narrow(docs), table(spark, sf_dir, "labels"))
+    if model.gram is None:
+        return docs
     return docs.filter(model.column(F.col("text")) < toxicity.THRESHOLD)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    texts = dartminhash.by_text(docs, "__text")
+    texts = dartminhash.once(dartminhash.by_text(docs, "__text"), "__text")
     others = dartminhash.near_duplicates(texts, "__text").filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy"))
     return texts.join(others, F.col("__text") == F.col("__copy"), "left_anti").select(*docs.columns)
 
@@ -43,7 +54,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.packed(docs, TOKENIZER)
 
 
 STAGES = [
@@ -59,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
