@@ -9,11 +9,14 @@ entropy in bits a character; the language with the least wins (ties: the first i
 Each automaton becomes a table of transitions over the letters of its own sample, all of them, in
 which a failing transition has been resolved to the state after the mismatching character, marked by
 its complement; so many texts are parsed at once with array operations. Letters are folded to lower
-case, all else is a word break, and phrases end at every ``SEGMENT`` characters so that a very long
-text is parsed as many short ones. Nothing is skipped.
+case, all else is a word break. A long text is parsed in segments of ``SEGMENT`` characters at once, each
+as if a phrase began there; then the segments are taken up where the one before really ended, until both
+parses are in the same state, from where on they agree. So phrases run on across segments, and the
+number is that of one parse of the whole text. Nothing is skipped.
 
 Learning reads at most ``DOCS_PER_LANG`` documents of each language (those with the least hash of
-their id) and uses whole ones up to ``CHARS_PER_LANG`` characters; a longer one is read where there
+their id, one text of each) and of these no more than come first within twice ``CHARS_PER_LANG``
+characters; it uses whole ones up to ``CHARS_PER_LANG`` characters. A longer one is read where there
 are not enough others, and its beginning fills what room is left. Any number of languages is learnt.
 The tables are broadcast. A dense one takes ``states * letters * 4`` bytes; those of the fewest letters
 are dense as long as all together stay within ``DENSE_BYTES``, the others are sorted lists of the
@@ -154,20 +157,47 @@ class Model:
         at = starts[owner] + within * SEGMENT
         size = np.minimum(SEGMENT, lengths[owner] - within * SEGMENT)
         order = np.argsort(-size, kind="stable")
-        owner, at, size = owner[order], at[order], size[order]
-        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right") if len(size) else []
+        sorted_at, sorted_size = at[order], size[order]
+        active = np.searchsorted(-sorted_size, -np.arange(1, sorted_size[0] + 1), side="right") if len(size) else []
+        later = np.flatnonzero(within > 0)
         for k, table in enumerate(self.tables):
             own = self.own[k][flat]
             state = np.zeros(len(at), np.int32)
-            count = np.ones(len(at), np.int32)  # the phrase that the end cuts short
+            fails = np.zeros(len(at), np.int32)
             for step, n in enumerate(active):
-                v = table.step(state[:n], own[at[:n] + step])
+                v = table.step(state[:n], own[sorted_at[:n] + step])
                 failed = v >> 31  # -1 where the match ends
-                count[:n] -= failed
+                fails[:n] -= failed
                 state[:n] = v ^ failed
-            out[k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+            end, ends = np.empty_like(state), np.empty_like(fails)
+            end[order], ends[order] = state, fails
+            self.carry(table, own, at, size, later, end, ends)
+            # and the phrase that the end cuts short
+            out[k] = np.bincount(owner, weights=ends, minlength=len(texts)).astype(np.int64) + (lengths > 0)
         return out
 
+    @staticmethod
+    def carry(table, own, at, size, later, end, fails) -> None:
+        """Take up the segments ``later`` where those before them ended: corrects ``end``, the last states, and ``fails``."""
+        begun = np.zeros(len(at), np.int32)  # the state that a segment has been parsed from
+        todo = later[end[later - 1] != 0]
+        while len(todo):
+            a, b = end[todo - 1].copy(), begun[todo]
+            begun[todo] = a
+            live, step = np.arange(len(todo)), 0
+            while True:
+                live = live[(a[live] != b[live]) & (size[todo[live]] > step)]
+                if not len(live):
+                    break
+                c = own[at[todo[live]] + step]
+                x, y = table.step(a[live], c), table.step(b[live], c)
+                fails[todo[live]] += (y >> 31) - (x >> 31)
+                a[live], b[live] = x ^ (x >> 31), y ^ (y >> 31)
+                step += 1
+            changed = todo[a != b]
+            end[changed] = a[a != b]
+            todo = later[end[later - 1] != begun[later]] if len(changed) else changed
+
 
 def fold(text: str) -> str:
     """Lower-case letters; runs of anything else are one space; a space at both ends."""
@@ -194,8 +224,12 @@ def fit(docs: DataFrame) -> Model:
     """Learn from rows with a label; see the module for the bounds."""
     rank = Window.partitionBy("lang").orderBy("over", F.xxhash64("doc_id"), "doc_id")
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("over", F.length("text") > CHARS_PER_LANG)
-    ids = known.select("doc_id", "lang", "over").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang", "over"]).select("lang", "rank", "doc_id", "over", F.substring("text", 1, CHARS_PER_LANG).alias("text")).collect()
+    ids = known.select("doc_id", "lang", "over", F.least(F.length("text"), F.lit(CHARS_PER_LANG)).alias("n")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = ids.withColumn("before", before).filter(F.col("before") < 2 * CHARS_PER_LANG).groupBy("doc_id", "lang", "over").agg(F.min("rank").alias("rank"))
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("over").alias("long"), "rank")
+    texts = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("over") == F.col("long")))
+    rows = texts.groupBy("lang", "rank", "doc_id", "over").agg(F.substring(F.min("text"), 1, CHARS_PER_LANG).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         held = samples.setdefault(r["lang"], [])

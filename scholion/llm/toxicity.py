@@ -6,7 +6,7 @@ most n-grams with the word it hides. A text is the mean of its different words'
 occurs c times with the weight 1 + 0.3 ln c, and of ``PADDING`` zero vectors, lest chance sway a text of
 a few words or of one line many times; a softmax over two classes reads it. Embeddings and softmax are trained together by limited-memory BFGS with a
 quadratic penalty on a sample of labelled rows: at most ``SAMPLE`` of each class, those with the least
-hash of their id, of at most ``SAMPLE_CHARS`` characters in all. Both classes weigh the same, so a
+hash of their id, one text of each, of at most ``SAMPLE_CHARS`` characters in all. Both classes weigh the same, so a
 score is the probability for classes of equal size.
 
 Everything is linear before the softmax, so a worker scores a word once, keeps the score (for up to
@@ -234,19 +234,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     doc_id = F.col("doc_id").cast("long")
     known = labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     known = known.filter(remainder(F.col("doc_id"), FOLDS) != HELD)
-    there = known.join(docs.select("doc_id"), "doc_id")
+    there = known.join(docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), "doc_id")
     shares = {r["label"]: r["count"] for r in there.groupBy("label").count().collect()}
     least = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = there.filter("label = 1").orderBy(*least).limit(SAMPLE).union(there.filter("label = 0").orderBy(*least).limit(SAMPLE))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "", r["label"]))
-    texts, ys, total = [], [], 0
-    for r in rows:
-        size = len(r["text"] or "")
-        if total + size <= SAMPLE_CHARS:
-            texts.append(r["text"])
-            ys.append(r["label"])
-            total += size
+    one = there.groupBy("doc_id", "label").agg(F.max("n").alias("n"))
+    some = one.filter("label = 1").orderBy(*least).limit(SAMPLE).union(one.filter("label = 0").orderBy(*least).limit(SAMPLE)).collect()
+    # what fits is chosen by length, before any text is read
+    chosen, total = [], 0
+    for r in sorted(some, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["label"])):
+        if total + r["n"] <= SAMPLE_CHARS:
+            chosen.append((r["doc_id"], r["label"]))
+            total += r["n"]
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["label"]))
+    texts, ys = [r["text"] for r in rows], [r["label"] for r in rows]
     n = sum(shares.values())
     return train(texts, ys, shares.get(1, 0) / n if n else 0.0)
 

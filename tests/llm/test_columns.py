@@ -4,12 +4,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from scholion.llm import bpe, langid, media, quality, toxicity
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "a", "  \n\n a\t", "it's 12 o'clock, they'll", "<|endoftext|>x<|endoftext|>", "é́ 🤦🏽‍♂️ا½²٣Ⅷ", "ab" * 400, "a" * 3000, "\x85 \x1c　b\x00"]
 DOCS = "doc_id long, text string, lang string, score string, stats string"
 
@@ -68,29 +69,49 @@ def test_fingerprints_find_a_tone_and_its_delay():
     assert max(votes, key=votes.get) == 10
 
 
-def test_suffix_automaton_phrases_match_brute_force():
+def brute_phrases(text, sample):
+    """Phrases of one parse from end to end: a letter that the sample lacks ends a phrase and begins none."""
+    count, held = 1, ""
+    for c in text:
+        if held + c in sample:
+            held += c
+        else:
+            count, held = count + 1, c if c in sample else ""
+    return count
+
+
+@pytest.mark.parametrize("segment", [1, 3, 50, langid.SEGMENT])
+@pytest.mark.parametrize("dense_bytes", [0, langid.DENSE_BYTES])
+def test_phrases_equal_brute_force(monkeypatch, segment, dense_bytes):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "DENSE_BYTES", dense_bytes)
     rng = np.random.default_rng(1)
-    train = {"x": "".join(rng.choice(list("abc "), 300)), "y": "".join(rng.choice(list("bcd "), 300))}
+    train = {"x": "".join(rng.choice(list("abc "), 300)), "y": "".join(rng.choice(list("bcd "), 300)), "z": "ab" * 150}
     model = langid.Model(train)
+    folded = {k: langid.fold(v) for k, v in train.items()}
+    texts = [langid.fold("".join(rng.choice(list("abcd e"), rng.integers(0, 400)))) for _ in range(25)] + [langid.fold("ab" * 130), langid.fold("ab" * 70 + "c" + "ab" * 70)]
+    got = model.phrases([model.codes(t) for t in texts])
+    for k, lang in enumerate(model.langs):
+        assert got[k].tolist() == [brute_phrases(t, folded[lang]) for t in texts]
 
-    def brute(text, sample):
-        n, count, at = len(text), 0, 0
-        while at < n:
-            if at % langid.SEGMENT == 0 and at:
-                pass
-            size = 0
-            while at + size < n and text[at : at + size + 1] in sample:
-                size += 1
-            at += max(size, 1) if size == 0 else size
-            count += 1
-        return count
 
-    folded = {k: langid.fold(v) for k, v in train.items()}
-    for _ in range(20):
-        text = langid.fold("".join(rng.choice(list("abcd "), rng.integers(5, 400))))
-        got = model.phrases([model.codes(text)])[:, 0]
-        for k, lang in enumerate(model.langs):
-            assert abs(int(got[k]) - brute(text, folded[lang])) <= 1 + text.count("d") * (lang == "x") + text.count("a") * (lang == "y")
+def test_phrases_of_a_very_long_text():
+    model = langid.Model({"aa": "abcab" * 3000, "bb": "acbcb" * 3000})
+    text = langid.fold("abcab" * 200_000)
+    assert model.phrases([model.codes(text), model.codes(text[:5000])])[0].tolist() == [brute_long(text, 15_000), 1]
+
+
+def brute_long(text, size):
+    """``abcab`` again and again, in a sample of so many characters of it: a phrase is as long as the sample allows."""
+    sample, count, at = langid.fold("abcab" * (size // 5)), 1, 0
+    while at < len(text):
+        lo, hi = 1, min(len(sample), len(text) - at)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if text[at : at + mid] in sample else (lo, mid - 1)
+        at += lo
+        count += at < len(text)
+    return count
 
 
 def test_langid_cases_and_accuracy(spark):
@@ -126,6 +147,20 @@ def test_langid_learns_from_an_over_long_text(spark):
     assert model.langs == ["aa", "cc"] and [x[0] for x in langid.predict(model, list(long.values()))] == ["aa", "cc"]
 
 
+def test_samples_are_bounded(spark, monkeypatch):
+    """One text of each id, and no more characters than the bound, whatever the rows."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2000)
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, ys, share=None: seen.update(texts=texts, ys=ys) or toxicity.Model(None, 0.0))
+    docs = frame(spark, ["x" * 5000] + ["y" * 100] * 60 + ["z" * 90] * 30, [0] + [5] * 30 + list(range(100, 130)) + [6] * 30)
+    marks = spark.createDataFrame([(i, None, i % 2) for i in [0, 5, 6, *range(100, 130)]], "doc_id long, quality int, toxic int")
+    toxicity.fit(toxicity.narrow(docs), marks)
+    assert sum(map(len, seen["texts"])) <= 2000 and len(seen["texts"]) == len(seen["ys"]) > 10 and "x" * 5000 not in seen["texts"]
+    many = spark.createDataFrame([(1, "ab " * 100, "aa")] * 500 + [(k, "cd " * 30_000, "cc") for k in range(90)] + [(None, "ef", "ee")], "doc_id long, text string, lang string")
+    model = langid.fit(many)
+    assert model.langs == ["aa", "cc", "ee"] and model.bits[1] < 16.1
+
+
 def test_quality_cases_and_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
