@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences into bins of several permitted lengths.
 
-A text's units are the ids of its tokens, by the codec of ``bpe`` or as given in a column, and one end
-token. It is cut into pieces of the longest permitted length and a rest. Pieces are dealt into shards by
+A text's units are the ids of its tokens, by a public vocabulary of ranks or as given in a column, and one
+end token. It is cut into pieces of the longest permitted length and a rest. Pieces are dealt into shards by
 a hash of the row's id and text, so null or repeated ids spread; rows that a task meets again go by their
 number too, so equal rows spread as well. A shard is sorted from the longest piece down and packed as it
 streams by: each piece goes to the open bin with the least room that is enough. If none has room, a bin
@@ -13,31 +13,39 @@ Every unit is in one bin, and no bin holds more than its length. The packed sequ
 ids, and for each piece in them the document, where it starts in it, where it lies in the bin, its length.
 Where no row is repeated, bins and their ids depend on the rows alone, not on partitions.
 
-Memory: up to ``SHARD`` pieces of the longest length; a shard that has more is packed as several.
+Memory: up to ``SHARD`` pieces of the longest length; a shard that has more is packed as several. Arrow
+batches go in and out, so no id is a Python object for longer than its text is encoded.
 
-Defined cases: a null or empty text has no units and a row with bin_id null, as has a null or empty list
+Defined cases: strings of special tokens in a text are plain text; a null or empty text has no units and a row with bin_id null, as has a null or empty list
 of given tokens; ties are broken by id, then by start, then by the row's hash; repeated rows and null ids
 are packed like others; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load, worker_codec
+from .bpe import PATTERN
 from .common import small_batches
 
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 32768
-SHARD = 8192
-END = "<|endoftext|>"
+SHARD = 4096
+#: Bins in one Arrow batch of results.
+SLICE = 256
 
 PIECES = "shard long, doc_id long, start long, n_units int, row long, ids binary"
 SCHEMA = "bin_id string, bin_length int, n_units int, ids array<int>, doc_ids array<long>, starts array<long>, offsets array<int>, sizes array<int>"
@@ -88,87 +96,118 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
     return bins, offsets, [min(c for c in lengths if c >= f) for f in fills]
 
 
+#: White space beyond which the library's own splitting may fail; such texts are split here, by the same pattern.
+LONG_SPACE = re.compile(r"\s{1000}")
+_WORDS = regex.compile(PATTERN)
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The vocabulary of a rank file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
+_ENCODERS: dict[int, tiktoken.Encoding] = {}
+
+
+def worker_encoder(shared) -> tiktoken.Encoding:
+    """The one encoder of this worker process, kept from task to task."""
+    ranks = shared.value
+    if id(ranks) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(ranks)] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[id(ranks)]
+
+
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    if LONG_SPACE.search(text):
+        return list(chain.from_iterable(map(encoder._encode_single_piece, _WORDS.findall(text))))
+    return encoder.encode_ordinary(text)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cut(ids: np.ndarray, top: int) -> list[np.ndarray]:
-    """Pieces of at most ``top`` units; one without units for nothing."""
-    return [ids[a : a + top] for a in range(0, len(ids), top)] or [ids]
+def lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def sequences(name: str, rows: list[tuple], lengths: tuple[int, ...]) -> pd.DataFrame:
-    """Bins of the pieces ``rows`` (doc_id, start, ids), from the longest down."""
+def sequences(name: str, rows: list[tuple], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Bins of the pieces ``rows`` (doc_id, start, ids), from the longest down; those without units, which are last, have no bin."""
     sizes = [len(r[2]) for r in rows if len(r[2])]
     bins, offsets, final = pack(sizes, lengths)
     within: list[list[int]] = [[] for _ in final]
     for k, b in enumerate(bins):
         within[b].append(k)
-    out = [(
-        f"{name}-{b}", final[b], sum(sizes[k] for k in own), np.concatenate([rows[k][2] for k in own]), [rows[k][0] for k in own],
-        [rows[k][1] for k in own], [offsets[k] for k in own], [sizes[k] for k in own],
-    ) for b, own in enumerate(within)]
-    out += [(None, None, 0, [], [r[0]], [0], [0], [0]) for r in rows[len(sizes) :]]  # those without units are last
-    frame = pd.DataFrame(out, columns=["bin_id", "bin_length", "n_units", "ids", "doc_ids", "starts", "offsets", "sizes"])
-    return frame.astype({"bin_length": "Int32"})
-
-
-def pieces_of(docs: DataFrame, tokenizer: str | None, id_col: str, text_col: str, tokens_col: str | None, end: int | None, shards: int, top: int) -> DataFrame:
+    names: list[str | None] = [f"{name}-{b}" for b in range(len(final))]
+    rest = len(rows) - len(sizes)
+    within, names, final = within + [[k] for k in range(len(sizes), len(rows))], names + [None] * rest, final + [None] * rest
+    sizes, offsets = sizes + [0] * rest, offsets + [0] * rest
+    for at in range(0, len(within), SLICE):
+        part = within[at : at + SLICE]
+        order, many = [k for own in part for k in own], [len(own) for own in part]
+        units = [sum(sizes[k] for k in own) for own in part]
+        ids = np.concatenate([rows[k][2] for k in order])
+        columns = [
+            pa.array(names[at : at + SLICE], pa.string()), pa.array(final[at : at + SLICE], pa.int32()), pa.array(units, pa.int32()), lists(ids, units, pa.int32()),
+            lists([rows[k][0] for k in order], many, pa.int64()), lists([rows[k][1] for k in order], many, pa.int64()),
+            lists([offsets[k] for k in order], many, pa.int32()), lists([sizes[k] for k in order], many, pa.int32()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["bin_id", "bin_length", "n_units", "ids", "doc_ids", "starts", "offsets", "sizes"])
+
+
+def pieces_of(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, tokens_col: str | None, end: int | None, shards: int, top: int) -> DataFrame:
     """The pieces of every row with their shards; ``ids`` as little-endian 32-bit numbers."""
-    spark = docs.sparkSession
-    shared = None if tokens_col else spark.sparkContext.broadcast(load(tokenizer))
+    ranks = None if tokens_col else ranks_of(vocabulary)
+    stop = max(ranks.values()) + 1 if end is None and ranks else end
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     given = F.col(tokens_col).cast("array<int>") if tokens_col else F.col(text_col)
 
     def run(batches):
-        codec = None if tokens_col else worker_codec(shared)
-        stop = end if tokens_col else codec.v.special.get(END) if end is None else end
+        encoder = None if tokens_col else worker_encoder(shared)
         met: Counter = Counter()
         for batch in batches:
-            out = []
-            for doc, what in zip(batch["doc_id"], batch["given"], strict=True):
-                doc = None if pd.isna(doc) else int(doc)
-                if tokens_col:
-                    ids = np.asarray([] if what is None else what, np.int32)
-                    raw = ids.tobytes()
-                else:
-                    raw = what.encode("utf-8") if isinstance(what, str) else b""
-                    ids = np.array(codec.encode(what), np.int32) if raw else np.zeros(0, np.int32)
+            out: list[list] = [[], [], [], [], [], []]
+            for doc, what in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.array((what if tokens_col else encode(encoder, what)) if what else [], np.int32)
+                raw = ids.tobytes()
                 if len(ids) and stop is not None:
                     ids = np.append(ids, np.int32(stop))
                 row = xxhash.xxh3_64_intdigest(raw, seed=0 if doc is None else (doc + 1) & ((1 << 64) - 1))
                 turn = met[row]
                 met[row] += 1
-                for k, part in enumerate(cut(ids, top)):
+                for k in range(max(1, -(-len(ids) // top))):
+                    piece = ids[k * top : (k + 1) * top]
                     shard = xxhash.xxh3_64_intdigest(f"{row} {turn} {k}") % shards
-                    out.append((shard, doc, k * top, len(part), signed(row), part.tobytes()))
-            frame = pd.DataFrame(out, columns=["shard", "doc_id", "start", "n_units", "row", "ids"])
-            yield frame.astype({"doc_id": "Int64"})
+                    for column, value in zip(out, (shard, doc, k * top, len(piece), signed(row), piece.tobytes()), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["shard", "doc_id", "start", "n_units", "row", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), given.alias("given")).mapInPandas(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), given.alias("given")).mapInArrow(run, PIECES)
 
 
 def packed(
-    docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, tokens_col: str | None = None, end: int | None = None
+    docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, tokens_col: str | None = None, end: int | None = None
 ) -> DataFrame:
-    """One row for each bin. ``tokenizer``: the vocabulary file for texts; or ``tokens_col``: a column of ids. ``end``: the end token, the vocabulary's own for texts if null."""
+    """One row for each bin. ``vocabulary``: the rank file for texts; or ``tokens_col``: a column of ids. ``end``: the end token, for texts the number after the last rank if null."""
     small_batches(docs.sparkSession)
     lengths, top = tuple(sorted(set(lengths))), max(lengths)
     shards = max(1, -(-docs.count() // SHARD))
-    pieces = pieces_of(docs, tokenizer, id_col, text_col, tokens_col, end, shards, top)
-    ordered = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_units"), "doc_id", "start", "row")
+    pieces = pieces_of(docs, vocabulary, id_col, text_col, tokens_col, end, shards, top)
+    ordered = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("n_units"), "doc_id", "start", "row").select("shard", "doc_id", "start", "ids")
 
     def run(batches):
         held, at, part = [], None, 0
         for batch in batches:
-            for shard, doc, start, ids in batch[["shard", "doc_id", "start", "ids"]].itertuples(index=False, name=None):
+            for shard, doc, start, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 if held and (shard != at or len(held) == SHARD):
-                    yield sequences(f"{at}-{part}", held, lengths)
+                    yield from sequences(f"{at}-{part}", held, lengths)
                     held, part = [], part + 1 if shard == at else 0
-                elif shard != at:
-                    part = 0
                 at = shard
-                held.append((None if pd.isna(doc) else int(doc), start, np.frombuffer(ids, np.int32)))
+                held.append((doc, start, np.frombuffer(ids.as_buffer(), np.int32)))
         if held:
-            yield sequences(f"{at}-{part}", held, lengths)
+            yield from sequences(f"{at}-{part}", held, lengths)
 
-    return ordered.mapInPandas(run, SCHEMA)
+    return ordered.mapInArrow(run, SCHEMA)

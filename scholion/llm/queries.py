@@ -11,6 +11,8 @@ from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary as ranks.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def op6_chunkdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.packed(table(spark, sf_dir, "documents"), RANKS)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,11 @@ def test_every_token_is_packed_once_and_in_order(spark, monkeypatch):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib, lengths = Tokenizer.from_file(path), (16, 64, 200)
+    lib.encode_special_tokens = True
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 90)))) for i in range(200)]
-    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "word " * 3000), (3, rows[3][1]), (3, rows[3][1]), (3, "other"), (None, "w w"), (None, "v"), (None, None)]
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "word " * 3000), (1004, "<|endoftext|> é" + " " * 3000 + "x\n\n "), (3, rows[3][1]), (3, rows[3][1]), (3, "other"), (None, "w w"), (None, "v"), (None, None)]
     monkeypatch.setattr(packing, "SHARD", 40)
     out = packing.packed(docs_of(spark, rows), path, lengths=lengths).collect()
     parts = unpacked(out, lengths)
@@ -408,4 +410,31 @@ def test_pipeline_stages(spark):
         before = docs.count()
     assert docs.filter("n_chars <> length(text)").count() == 0
     final = corpus_pipeline.run(spark, sf)
-    assert final.select("doc_id").distinct().count() == before
+    assert {i for r in final.select("doc_ids").collect() for i in r["doc_ids"]} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Nulls, empty and repeated rows, columns with clashing names, no rows, no labels."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, block long"
+    say = " ".join(WORDS[k % 60] + WORDS[(7 * k) % 60] for k in range(200))
+    rows = [(1, say), (1, say), (2, say), (3, None), (4, ""), (4, ""), (None, say), (None, None), (5, None), (6, "é " * 4000), (7, "x" * 300_000)]
+    odd = spark.createDataFrame([(i, t, None, None, None, 0.5, "d", 3) for i, t in rows], schema)
+    import pathlib
+    import tempfile
+
+    folder = pathlib.Path(tempfile.mkdtemp())
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs.count()
+            docs = stage(spark, docs, str(folder)).cache()
+            assert docs.columns == odd.columns
+            if name != "near_duplicates":
+                assert docs.count() == before, name
+        docs.count()
+        left = Counter(r["doc_id"] for r in docs.collect())
+        assert left == (Counter() if before == 0 else Counter({1: 1, 3: 1, 4: 1, None: 2, 5: 1, 6: 1, 7: 1}))
+        bins = corpus_pipeline.STAGES[-1][1](spark, docs, str(folder)).collect()
+        assert Counter(i for r in bins for i in set(r["doc_ids"])).keys() == left.keys()
