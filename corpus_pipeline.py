@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm import chunkdedup, dartminhash, packing, quality, toxicity
 from scholion.llm.common import remove, shared_path, small_batches, table
-from scholion.llm.queries import TOKENIZER
+from scholion.llm.queries import RANKS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, TOKENIZER)
+    return packing.packed(docs, RANKS)
 
 
 STAGES = [
