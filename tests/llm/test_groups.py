@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scholion.llm import chunkdedup, dartminhash, mih, packing, warc
 from scholion.llm.components import components
@@ -371,7 +372,7 @@ def test_top_k_equals_brute_force(spark):
         assert [(d, i) for _, d, i in sorted(found)] == want
 
 
-@pytest.mark.parametrize("size", [65, 150])
+@pytest.mark.parametrize("size", [3, 65, 128])
 def test_top_k_of_long_vectors(spark, size):
     rng = np.random.default_rng(size)
     centre = rng.normal(size=(3, size))
@@ -387,6 +388,22 @@ def test_top_k_of_long_vectors(spark, size):
     assert sorted(got) == want
 
 
+@pytest.mark.parametrize("width", [13, 32])
+def test_search_by_segments_of_any_width(spark, width):
+    rng = np.random.default_rng(width)
+    centre = rng.normal(size=(4, 100))
+    vectors = {i: centre[i % 4] * (i % 3 > 0) + rng.normal(size=100) for i in range(150)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id long, v array<float>")
+    codes = df.select("id", mih.sign_code(F.col("v"), 100, width).alias("code"))
+    got = [tuple(r) for r in mih.search(codes, codes.filter("id % 30 = 0"), 4, width, 100).collect()]
+    bits = {i: v > 0 for i, v in vectors.items()}
+    want = []
+    for q in range(0, 150, 30):
+        near = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:4]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted(got) == want and mih.width_for(51_000) == 16 and mih.width_for(10**12) == 32
+
+
 def test_top_k_of_few(spark):
     rows = [(0, [1.0] * 64), (50, [1.0] * 63 + [-1.0]), (7, [-1.0] * 64)]
     got = sorted((r["query_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in mih.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
