@@ -98,30 +98,34 @@ def summary_error(json: Column) -> Column:
 def constraints() -> dict[str, Column]:
     """Row constraints by name, over the columns of the entities; a name's prefix is its entity."""
     c = F.col
+    given = lambda x: F.coalesce(c(x).cast("string") != "", F.lit(False))
     nonblank = lambda x: F.coalesce(strip(c(x)) != "", F.lit(False))
     unit = lambda x: F.coalesce(c(x).between(0.0, 1.0), F.lit(False))
     span = (c("char_start") >= 0) & (c("char_end") > c("char_start"))
     return {
         "position.index": c("char_index") >= 0,
         "position.page": c("page_number") >= 1,
+        "position.bbox": F.size("bbox") == 4,
         "page.number": c("page_number") >= 1,
         "page.count": c("char_count") == F.length("text"),
         "page.size": (c("width") > 0) & (c("height") > 0),
-        "content.path": nonblank("file_path"),
+        "content.path": given("file_path"),
         "content.pages": (c("total_pages") >= 1) & (c("total_pages") == c("n_pages")),
         "transformation.text": ~((F.length("original") == 0) & (F.length("cleaned") == 0)),
-        "section.ids": nonblank("section_id") & nonblank("section_type"),
+        "section.ids": given("section_id") & given("section_type"),
         "section.text": nonblank("text"),
         "section.pages": (c("start_page") >= 1) & (c("end_page") >= c("start_page")),
         "section.confidence": unit("confidence"),
         "section.span": span,
-        "paper.id": nonblank("paper_id"),
-        "paper.title": nonblank("title"),
+        "paper.id": given("paper_id"),
+        "paper.title": given("title"),
         "paper.authors": F.size("authors") > 0,
         "paper.year": c("year").isNull() | c("year").between(*YEARS),
         "coordinates.page": c("page_number") >= 1,
         "coordinates.size": (c("width") > 0) & (c("height") > 0),
         "coordinates.span": span,
+        "element.ids": given("element_id") & given("paper_id") & given("section_id"),
+        "element.page": c("page_number").isNull() | (c("page_number") >= 1),
         "element.type": c("element_type").isin(*ELEMENT_TYPES),
         "element.evidence": c("evidence_type").isin(*EVIDENCE_TYPES),
         "element.text": nonblank("text"),

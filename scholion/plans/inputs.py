@@ -78,6 +78,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, "goal").when(k % 3 == 1, "method").otherwise(F.when(k % 7 == 0, "claim").otherwise("result")).alias("element_type"),
         F.when(k % 5 == 0, "quantitative").when(k % 5 == 1, "qualitative").when(k % 5 == 2, "theoretical").when(k % 5 == 3, "mixed").otherwise(F.when(k % 11 == 0, "guess").otherwise("unknown")).alias("evidence_type"),
         F.when(k % 17 != 0, ((k % 105) / 100.0).cast("double")).alias("confidence"), F.when(k % 13 == 0, "short").when(k % 13 == 1, " \n ").otherwise(F.col("text")).alias("text"),
+        F.when(k % 9 > 0, k % 8).alias("page_number"),
     )
 
 
@@ -86,7 +87,7 @@ ELEMENTS = """(SELECT doc_id AS element_id, source AS paper_id, lang AS section_
  CASE WHEN doc_id % 5 = 0 THEN 'quantitative' WHEN doc_id % 5 = 1 THEN 'qualitative' WHEN doc_id % 5 = 2 THEN 'theoretical' WHEN doc_id % 5 = 3 THEN 'mixed'
   WHEN doc_id % 11 = 0 THEN 'guess' ELSE 'unknown' END AS evidence_type,
  CASE WHEN doc_id % 17 <> 0 THEN CAST((doc_id % 105) / 100.0 AS DOUBLE) END AS confidence,
- CASE WHEN doc_id % 13 = 0 THEN 'short' WHEN doc_id % 13 = 1 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM documents)"""
+ CASE WHEN doc_id % 13 = 0 THEN 'short' WHEN doc_id % 13 = 1 THEN ' ' || chr(10) || ' ' ELSE text END AS text, CASE WHEN doc_id % 9 > 0 THEN doc_id % 8 END AS page_number FROM documents)"""
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

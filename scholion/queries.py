@@ -341,7 +341,7 @@ def include_elements(s, d):
 @query(
     "quarantine_elements",
     "SELECT * FROM (SELECT element_id, (CASE WHEN element_type = 'claim' THEN 1 ELSE 0 END + CASE WHEN evidence_type = 'guess' THEN 1 ELSE 0 END + CASE WHEN confidence IS NULL OR confidence > 1 THEN 1 ELSE 0 END "
-    f"+ CASE WHEN trim(text, {q.BLANK}) = '' THEN 1 ELSE 0 END) AS n FROM {i.ELEMENTS}) WHERE n > 0",
+    f"+ CASE WHEN trim(text, {q.BLANK}) = '' THEN 1 ELSE 0 END + CASE WHEN page_number < 1 THEN 1 ELSE 0 END) AS n FROM {i.ELEMENTS}) WHERE n > 0",
 )
 def quarantine_elements(s, d):
     return el.quarantine(i.elements(s, d), "element")[1].select("element_id", F.size("violations").alias("n"))
@@ -660,19 +660,19 @@ def author_list(s, d):
     return docs(s, d).select("doc_id", F.md5(F.array_join(el.author_list(F.col("text")), "|")).alias("h"))
 
 
-_BLANK_ID = "CASE WHEN k % 11 = 0 THEN ' ' ELSE source END"
+_BLANK_ID = "CASE WHEN k % 11 = 0 THEN '' WHEN k % 11 = 1 THEN ' ' ELSE source END"
 _ENTITIES = {
-    "position": ("k % 9 - 1 AS char_index, k % 5 AS page_number", {"index": "char_index >= 0", "page": "page_number >= 1"}),
+    "position": ("k % 9 - 1 AS char_index, k % 5 AS page_number, CASE WHEN k % 4 = 0 THEN [1, 2, 3] ELSE [1, 2, 3, 4] END AS bbox", {"index": "char_index >= 0", "page": "page_number >= 1", "bbox": "len(bbox) = 4"}),
     "page": ("k % 5 AS page_number, text, length(text) - k % 2 AS char_count, k % 3 AS width, k % 4 AS height", {"number": "page_number >= 1", "count": "char_count = length(text)", "size": "width > 0 AND height > 0"}),
-    "content": (f"{_BLANK_ID} AS file_path, k % 3 AS total_pages, k % 4 AS n_pages", {"path": "trim(file_path) <> ''", "pages": "total_pages >= 1 AND total_pages = n_pages"}),
+    "content": (f"{_BLANK_ID} AS file_path, k % 3 AS total_pages, k % 4 AS n_pages", {"path": "file_path <> ''", "pages": "total_pages >= 1 AND total_pages = n_pages"}),
     "transformation": ("CASE WHEN k % 2 = 0 THEN '' ELSE text END AS original, CASE WHEN k % 3 = 0 THEN '' ELSE text END AS cleaned", {"text": "original <> '' OR cleaned <> ''"}),
     "section": (
         f"{_BLANK_ID} AS section_id, lang AS section_type, CASE WHEN k % 7 = 0 THEN '' ELSE text END AS text, k % 3 AS start_page, k % 4 AS end_page, (k % 13) / 10.0 AS confidence, k % 5 - 1 AS char_start, k % 6 AS char_end",
-        {"ids": "trim(section_id) <> '' AND trim(section_type) <> ''", "text": f"trim(text, {q.BLANK}) <> ''", "pages": "start_page >= 1 AND end_page >= start_page", "confidence": "confidence BETWEEN 0 AND 1", "span": "char_start >= 0 AND char_end > char_start"},
+        {"ids": "section_id <> '' AND section_type <> ''", "text": f"trim(text, {q.BLANK}) <> ''", "pages": "start_page >= 1 AND end_page >= start_page", "confidence": "confidence BETWEEN 0 AND 1", "span": "char_start >= 0 AND char_end > char_start"},
     ),
     "paper": (
         f"{_BLANK_ID} AS paper_id, text AS title, CASE WHEN k % 4 = 0 THEN [] ELSE [lang] END AS authors, CASE WHEN k % 3 > 0 THEN 1890 + k % 150 END AS year",
-        {"id": "trim(paper_id) <> ''", "title": f"trim(title, {q.BLANK}) <> ''", "authors": "len(authors) > 0", "year": "year IS NULL OR year BETWEEN 1900 AND 2030"},
+        {"id": "paper_id <> ''", "title": "title <> ''", "authors": "len(authors) > 0", "year": "year IS NULL OR year BETWEEN 1900 AND 2030"},
     ),
     "coordinates": ("k % 5 AS page_number, k % 3 AS width, k % 4 AS height, k % 5 - 1 AS char_start, k % 6 AS char_end", {"page": "page_number >= 1", "size": "width > 0 AND height > 0", "span": "char_start >= 0 AND char_end > char_start"}),
     "request": ("CASE WHEN k % 3 > 0 THEN 1890 + k % 150 END AS year", {"year": "year IS NULL OR year BETWEEN 1900 AND 2030"}),
@@ -690,7 +690,7 @@ def entity_constraints(s, d):
     """Every entity but elements, with rows that break each of its constraints; the columns are written so that both engines read them."""
     base, out = i.table(s, d, "documents").withColumnRenamed("doc_id", "k"), None
     for entity, (columns, _) in _ENTITIES.items():
-        given = columns.replace("CASE WHEN k % 4 = 0 THEN [] ELSE [lang] END", "CASE WHEN k % 4 = 0 THEN array() ELSE array(lang) END")
+        given = columns.replace("[", "array(").replace("]", ")")
         found = el.check(base.selectExpr("k", *_split_columns(given)), entity).select(F.col("k").alias("doc_id"), F.lit(entity).alias("entity"), F.array_join("violations", ",").alias("violations"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -47,11 +47,12 @@ def test_element_rules(spark):
 
 
 def test_element_frames(spark):
-    df = spark.createDataFrame([("e1", "p", "goal", "unknown", "text", 0.7), ("e2", "p", "x", "unknown", " ", 0.2), ("e3", "q", "result", "mixed", "t", None)], "element_id string, paper_id string, element_type string, evidence_type string, text string, confidence double")
+    rows = [("e1", "p", "s", None, "goal", "unknown", "text", 0.7), ("e2", "p", "s", 1, "x", "unknown", " ", 0.2), ("e3", "q", "s", 2, "result", "mixed", "t", None), ("", "p", "s", 0, "goal", "mixed", "t", 0.1)]
+    df = spark.createDataFrame(rows, "element_id string, paper_id string, section_id string, page_number int, element_type string, evidence_type string, text string, confidence double")
     good, bad = el.quarantine(df, "element")
     assert [r["element_id"] for r in good.collect()] == ["e1"]
-    assert {r["element_id"]: r["violations"] for r in bad.collect()} == {"e2": ["element.type", "element.text"], "e3": ["element.confidence"]}
-    assert el.by_confidence(df, 0.7).count() == 1 and el.by_type(df, "goal", "result").count() == 2
+    assert {r["element_id"]: r["violations"] for r in bad.collect()} == {"e2": ["element.type", "element.text"], "e3": ["element.confidence"], "": ["element.ids", "element.page"]}
+    assert el.by_confidence(df, 0.7).count() == 1 and el.by_type(df, "goal", "result").count() == 3
     assert tuple(el.type_counts(df.limit(0)).first()) == (0, 0, 0, 0) and el.average_confidence(df.limit(0)).first()[0] == 0.0
     assert el.orphans(df, df.filter("paper_id = 'p'")).count() == 1
 
