@@ -73,9 +73,11 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "+")
     rows = pages.select(page.alias("page_id"), uri.alias("uri"), html.alias("html"), sha1_base32(html.cast("binary")).alias("digest"))
     rows = rows.withColumn("key", F.md5(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "uri")))
-    kinds = rows.groupBy("key", "page_id", "digest").agg(F.count("*").alias("n"))
+    # both are tables by the time they are joined, so that Spark can split a payload that very many rows share
+    scratch = Scratch(pages.sparkSession, "warc-plan")
+    kinds = scratch.keep("kinds", rows.groupBy("key", "page_id", "digest").agg(F.count("*").alias("n")))
     first = kinds.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("first"))
-    plan = kinds.join(first, "digest").select("key", "n", F.col("first.key").alias("owner"))
+    plan = kinds.join(scratch.keep("first", first), "digest").select("key", "n", F.col("first.key").alias("owner"))
     ready = rows.join(plan, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     again = (F.col("key") != F.col("owner")) | (F.col("copy") > 1)
     name = F.concat_ws(":", "key", "copy")
@@ -102,6 +104,7 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
     )
     lines = ready.select(F.concat(asked, F.lit(END), answered, F.lit(END), told).alias("value"))
     lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, records_per_file // 3)).text(path)
+    scratch.drop("kinds", "first")
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
