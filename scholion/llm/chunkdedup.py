@@ -12,9 +12,9 @@ cut out if it has at least ``MIN_RUN_BYTES`` and ``MIN_RUN_CHUNKS``, so a chance
 stays, and one collision of digests removes nothing.
 
 The digests (16 bytes a chunk) are written once; they are counted with partial sums before the
-shuffle, and joined with the owners of repeated ones only. A digest in very many documents is one row
-on that side, and Spark can split the other side. What a document gets back is bounded by its own
-number of chunks.
+shuffle, and joined with the owners of repeated ones only, which are a table by then: a digest in very
+many documents is one row there, and Spark can split the other side. What a document gets back is
+bounded by its own number of chunks; it is written, and the digests are deleted.
 
 Defined cases: null or empty texts have no chunks and come back as they are; rows without an id come
 back as they are and own nothing; rows with the same id are one document and get results of their
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_path, small_batches
+from .common import Scratch, mix64, small_batches
 
 MIN_BYTES = 16
 MAX_BYTES = 192
@@ -131,11 +131,14 @@ def foreign_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pd.DataFrame({"digest": np.concatenate(found), "doc_id": np.concatenate(ids)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text <> ''")
-    path = shared_path(spark, "chunks")
-    rows.mapInPandas(emit, "digest long, doc_id long").write.parquet(path)
-    kept = spark.read.parquet(path)
+    scratch = Scratch(spark, "chunks")
+    kept = scratch.keep("digests", rows.mapInPandas(emit, "digest long, doc_id long"))
     owners = kept.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner <> other").select("digest", "owner")
-    return kept.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("foreign"))
+    owners = scratch.keep("owners", owners)
+    foreign = kept.join(owners, "digest").filter("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("digest").alias("foreign"))
+    foreign = scratch.keep("foreign", foreign)
+    scratch.drop("digests", "owners")
+    return foreign
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
