@@ -43,7 +43,7 @@ from .common import small_batches
 
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 32768
-SHARD = 4096
+SHARD = 2048
 #: Bins in one Arrow batch of results.
 SLICE = 256
 
