@@ -29,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
             scratch.drop("edges", f"lower{turn}")
             return labels.withColumnRenamed("label", "component")
         # what an id's old label may now point to: the least label that any id with that label met
-        root = lower.groupBy("label").agg(F.min("next").alias("root"))
+        root = scratch.keep(f"root{turn}", lower.groupBy("label").agg(F.min("next").alias("root")))
         hop = lower.join(root, "label").select("id", F.least("next", "root").alias("next"))
         jump = hop.join(hop.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
         labels = scratch.keep(f"labels{turn + 1}", jump.select("id", F.least("next", F.coalesce("far", "next")).alias("label")))
-        scratch.drop(f"labels{turn}", f"lower{turn}")
+        scratch.drop(f"labels{turn}", f"lower{turn}", f"root{turn}")
         turn += 1
