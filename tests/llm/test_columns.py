@@ -57,6 +57,39 @@ def test_media_round_trip_and_cases(spark):
     assert media.media_features(frame(spark, [])).count() == 0
 
 
+def brute_fingerprints(samples):
+    """The same from the definition: discrete Fourier transform by sums, maxima by comparison."""
+    n, found = media.FRAME, []
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * t / (n - 1)) for t in range(n)]
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    every = []
+    for start in range(0, len(samples) - n + 1, media.HOP):
+        x = [(samples[start + t] - 128) * window[t] for t in range(n)]
+        m = [round(abs(sum(row * x)) * 1024) for row in turns]
+        tops = [k for k in range(1, n // 2) if m[k] > m[k - 1] and m[k] >= m[k + 1] and m[k] > 0]
+        every.append(sorted(tops, key=lambda k: (-m[k], k))[: media.PEAKS])
+    for at, own in enumerate(every):
+        for d in range(1, media.SPAN + 1):
+            found += [(at << 26) | (a << 16) | (b << 6) | d for a in own for b in (every[at + d] if at + d < len(every) else [])]
+    return len(every), sorted(found)
+
+
+def test_fingerprints_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for raw in (b"", "Some words of a text, é and so on. ".encode() * 40, bytes(rng.integers(0, 256, 3000).tolist()), b"a" * 1152):
+        samples = media.pad(raw)
+        n, marks = media.fingerprints(samples)
+        assert (n, marks.tolist()) == brute_fingerprints(samples)
+
+
+def test_null_ids_and_equal_rows(spark):
+    docs = frame(spark, ["ab", "ab", None, "ab"], [None, None, None, 4])
+    for out in (media.media_features(docs), bpe.encode_decode(spark, docs, TOKENIZER)):
+        rows = out.drop("fingerprints").collect()
+        assert sorted(r["doc_id"] or -1 for r in rows) == [-1, -1, -1, 4]
+        assert len({tuple(r)[1:] for r in rows}) == 2
+
+
 def test_fingerprints_find_a_tone_and_its_delay():
     t = np.arange(20_000)
     tone = (127 + 60 * np.sin(2 * np.pi * t * 20 / media.FRAME) + 50 * np.sin(2 * np.pi * t * 55 / media.FRAME)).astype(np.uint8)
@@ -184,6 +217,38 @@ def test_normal_equations_and_isotonic():
     assert 0.8 < near < 1.2 and abs(z[0] @ z[1]) < 0.9
 
 
+def test_ridge_equals_a_direct_solution(spark):
+    """Sums over partitions give the weights of one solution over all rows; the scores are the isotonic shares."""
+    rng = np.random.default_rng(3)
+    stats = rng.normal(size=(300, quality.N_STATS))
+    y = (stats[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([([float(v) for v in s], int(k)) for s, k in zip(stats, y)], "stats array<double>, label int").repartition(5)
+    model = quality.fit(rows)
+    z = quality.fourier(stats, stats.mean(0), np.maximum(stats.std(0), 1e-3))
+    penalty = quality.RIDGE * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-6
+    want = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-6)
+    score = model.score(stats)
+    assert ((score >= 0) & (score <= 1)).all() and ((score > 0.5) == y).mean() > 0.9
+
+
+def test_toxicity_on_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.score(docs, labels).filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    clean = [r["predicted"] for r in held if r["toxic"] == 0]
+    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.93 and np.mean(clean) < 0.05
+
+
+def test_very_long_text(spark):
+    text = "Ein sehr langer Text, der nie endet. " * 30_000
+    docs = frame(spark, [text])
+    assert bpe.encode_decode(spark, docs, TOKENIZER).first()["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert langid.predict(langid.Model({"de": text[:3000], "en": "the long text never ends " * 100}), [text])[0][0] == "de"
+    assert 0 <= toxicity.train(*toxic_sample()[1:]).scorer()(text) <= 1
+
+
 def toxic_sample():
     rng = np.random.default_rng(2)
     plain = ["".join(rng.choice(list("etaoinshr"), rng.integers(3, 9))) for _ in range(300)]

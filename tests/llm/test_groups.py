@@ -130,11 +130,28 @@ def test_repeated_passages_are_cut(spark):
         assert [(s["start"], s["end"]) for s in out[i]["cut_spans"]] == spans
         for d in chunkdedup.chunks(raw)[1]:
             owner.setdefault(d, i)
+        assert out[i]["n_repeats"] == sum(1 for a, b in zip(chunkdedup.boundaries(raw), chunkdedup.boundaries(raw)[1:]) for x, z in spans if x <= a < b <= z)
     clean = chunkdedup.deduplicate(docs_of(spark, rows))
     assert clean.columns == ["doc_id", "text", "digest", "shard"] and {(r["doc_id"], r["text"]) for r in clean.collect()} == {(i, r["text"]) for i, r in out.items()}
     assert chunkdedup.spans(docs_of(spark, [])).count() == 0
 
 
+def test_equal_rows_and_ids_with_two_texts_in_substrings(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    a, b = say(90), say(90)
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, say(20)), (3, a + " " + a)]
+    got = Counter((r["doc_id"], r["cut_bytes"] > 0, r["n_repeats"] > 0) for r in chunkdedup.spans(docs_of(spark, rows)).collect())
+    assert got == Counter({(1, False, False): 3, (2, True, True): 1, (2, False, False): 1, (3, True, True): 1})
+
+
+def test_one_equal_chunk_is_left():
+    rng = random.Random(1)
+    text = " ".join(rng.choice(WORDS) * 9 for _ in range(40)).encode()
+    b, digests = chunkdedup.chunks(text)
+    assert chunkdedup.repeats(text, {digests[2]})[0] == [] and chunkdedup.repeats(text, set(digests[2:6]))[0] == [(b[2], b[6])]
+
+
 # Packing
 
 
@@ -313,6 +330,35 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, [(5, a), (5, b), (3, a)]), "").count() == 2  # b has no other copy
 
 
+def exact_pairs(texts, t=0.8):
+    """All pairs of different texts with a weighted Jaccard similarity of at least t, by an index of all shingles."""
+    bags = [dartminhash.bag(x.encode()) for x in texts]
+    owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    kinds, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    order = np.argsort(kinds, kind="stable")
+    kinds, owner, counts = kinds[order], owner[order], counts[order]
+    size, out = np.array([b[1].sum() for b in bags]), []
+    for i, (mine, times) in enumerate(bags):
+        low = np.zeros(len(bags), np.int64)
+        for a, z, c in zip(np.searchsorted(kinds, mine), np.searchsorted(kinds, mine, side="right"), times):
+            if z - a > 1:
+                np.add.at(low, owner[a:z], np.minimum(counts[a:z], c))
+        out += [(i, int(j)) for j in np.flatnonzero(low >= t * np.maximum(size[i] + size - low, 1)) if j < i]
+    return out
+
+
+def test_recall_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    label = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs).collect()}
+    first = {}
+    for r in docs.collect():
+        first[r["text"]] = min(r["doc_id"], first.get(r["text"], r["doc_id"]))
+        assert label[r["doc_id"]] is not None
+    texts, ids = list(first), list(first.values())
+    pairs = exact_pairs(texts)
+    assert len(pairs) >= 40 and np.mean([label[ids[i]] == label[ids[j]] for i, j in pairs]) >= 0.99
+
+
 def test_near_duplicates_of_nothing(spark):
     assert dartminhash.near_duplicates(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in dartminhash.near_duplicates(docs_of(spark, [(4, "a b")])).collect()] == [(4, 4, 1)]
