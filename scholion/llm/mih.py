@@ -119,7 +119,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH,
         else:
             flips = F.explode(F.lit(masks(width, radius)).cast("array<long>"))
             probes = active.select("query", "bound", F.explode(F.array(*segment_keys(F.col("query"), width, bits))).alias("own")).select("query", "bound", "own", flips.alias("flip"))
-            hits = probes.select("query", "bound", F.col("own").bitwiseXOR(F.col("flip")).alias("key")).join(index, "key")
+            # the plan's estimate does not count the flips, so it would take the probes for small and broadcast them
+            hits = probes.select("query", "bound", F.col("own").bitwiseXOR(F.col("flip")).alias("key")).hint("merge").join(index, "key")
             first = (F.array_min("by") == radius) & (F.array_position("by", F.lit(radius)) - 1 == F.shiftright("key", width))
         near = hits.withColumn("d", distance("query", "code", bits, width)).filter(F.col("bound").isNull() | (F.col("d") <= F.col("bound")))
         by = near.withColumn("by", apart(bits, width))
