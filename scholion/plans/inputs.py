@@ -21,7 +21,7 @@ SMALL_BYTES = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table over all cores; a larger one as it lies. The size is the plan's own estimate, so nothing is listed or read for it."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size.toString()) <= SMALL_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= SMALL_BYTES else df
 
 
 def noisy(c: Column) -> Column:
