@@ -234,11 +234,14 @@ def test_ridge_equals_a_direct_solution(spark):
 
 
 def test_toxicity_on_the_tables(spark):
-    sf = "/root/testdata/sf0.01"
+    """Held-out labels: scores rank toxic documents above others, and few others are flagged."""
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = toxicity.score(docs, labels).filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
-    clean = [r["predicted"] for r in held if r["toxic"] == 0]
-    assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.93 and np.mean(clean) < 0.05
+    held = toxicity.score(docs, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = (np.array([r["score"] for r in held if r["toxic"] == k]) for k in (1, 0))
+    print("ranked", (toxic[:, None] > clean[None, :]).mean())
+    assert (toxic[:, None] > clean[None, :]).mean() > 0.9
+    assert (toxic >= 0.7).mean() > 0.5 and (clean >= 0.7).mean() < 0.02
 
 
 def test_very_long_text(spark):
