@@ -132,7 +132,7 @@ KINDS = (
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, kind, message."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values)).cast("int") + 1)
     return e.select("event_id", pick(KINDS, F.col("user_id")).alias("kind"), pick(MESSAGES, F.col("event_id")).alias("message"), (F.col("event_id") % 7).alias("attempt"))
 
