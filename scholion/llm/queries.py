@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, dartminhash, langid, media, mih, packing, quality, toxicity, warc
+from . import bpe, chunkdedup, dartminhash, filteraudit, langid, linkfilter, media, mih, packing, quality, toxicity, warc, whitening
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,9 +55,22 @@ def op10_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_linkfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash, op10_mih)}
+    each = (op1_warc, op2_media, op3_toxicity, op4_bpe, op5_langid, op6_chunkdedup, op7_packing, op8_quality, op9_dartminhash, op10_mih, op11_linkfilter, op12_whitening, op13_filteraudit)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mih": mih.SQL}
+    return {"op10_mih": mih.SQL, "op11_linkfilter": linkfilter.SQL, "op13_filteraudit": filteraudit.SQL}
