@@ -3,11 +3,18 @@
 A text's units are the ids of its tokens, by a public vocabulary of ranks or as given in a column, and one
 end token. It is cut into pieces of the longest permitted length and a rest. Pieces are dealt into shards by
 a hash of the row's id and text, so null or repeated ids spread; rows that a task meets again go by their
-number too, so equal rows spread as well. A shard is sorted from the longest piece down and packed as it
-streams by: each piece goes to the open bin with the least room that is enough. If none has room, a bin
-is opened of the length that costs least for each unit which it can be expected to hold, given what is
-left to pack. At the end each bin is downsized to the shortest permitted length that holds its contents.
-A bin of length c costs ``c * (1 + c / ATTENTION)``.
+number too, so equal rows spread as well. A shard is sorted from the longest piece down and gathered as it
+streams by. A bin of length c costs ``c * (1 + c / ATTENTION)``; the lengths are chosen jointly, for a shard as a whole:
+
+* Plans. Best fit puts each piece into the open bin with the least room that is enough; plans differ in what is
+  opened when none is: the shortest length that fits, no shorter than each permitted one in turn (so the shortest
+  and the longest alone are among them), or the one that costs least for each unit it can be expected to hold. One more
+  plan fills a bin at a time: around the longest piece left, the sums that other pieces can make are
+  searched for the length and the filling of least cost for each unit.
+* Every plan's bins are downsized to the shortest permitted length that holds their contents, and the cheapest plan
+  is kept; so no single rule among them is better.
+* The bins with the most padding, ``WINDOWS`` times as many as have ``WINDOW`` pieces, are dealt anew by an exact search
+  over all partitions of their pieces. A shard of up to ``WINDOW`` pieces is thus packed at the least cost there is.
 
 Every unit is in one bin, and no bin holds more than its length. The packed sequences are rows: their
 ids, and for each piece in them the document, where it starts in it, where it lies in the bin, its length.
@@ -44,6 +51,10 @@ from .common import small_batches
 LENGTHS = (512, 1024, 2048, 4096)
 ATTENTION = 32768
 SHARD = 2048
+#: Pieces that are partitioned exactly at once, and how often in a shard.
+WINDOW, WINDOWS = 8, 24
+#: Pieces, of all sizes left, whose sums are searched for the filling of a bin.
+CANDIDATES = 48
 #: Bins in one Arrow batch of results.
 SLICE = 256
 
@@ -55,8 +66,19 @@ def cost(c: int) -> float:
     return c * (1.0 + c / ATTENTION)
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """``sizes`` from the largest down: bin and offset of each piece; room left in each bin is implied by its fill."""
+def expected(size: int, left: int, smallest: int, lengths: tuple[int, ...]) -> int:
+    """The length that costs least for each unit it can be expected to hold, given what is left to pack."""
+    best, chosen = math.inf, 0
+    for c in lengths:
+        if c >= size:
+            more = min(c - size, left) if c - size >= smallest else 0
+            if (each := cost(c) / (size + more)) < best:
+                best, chosen = each, c
+    return chosen
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...], least: int | None = None) -> tuple[list[int], list[int], list[int]]:
+    """``sizes`` from the largest down: bin and offset of each piece, fill of each bin. ``least``: the shortest length to open; ``expected`` if null."""
     top = max(lengths)
     rooms: list[list[int]] = [[] for _ in range(top + 1)]  # open bins by room
     some = 0  # bit r is set if a bin has room r
@@ -71,15 +93,9 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], lis
             if not rooms[room]:
                 some ^= 1 << room
         else:
-            best, chosen = math.inf, 0
-            for c in lengths:
-                if c >= size:
-                    more = min(c - size, left) if c - size >= smallest else 0
-                    if (each := cost(c) / (size + more)) < best:
-                        best, chosen = each, c
-            k, room = len(fills), chosen
+            k = len(fills)
             fills.append(0)
-            capacity.append(chosen)
+            capacity.append(expected(size, left, smallest, lengths) if least is None else min(c for c in lengths if c >= size and c >= least))
         bins.append(k)
         offsets.append(fills[k])
         fills[k] += size
@@ -90,10 +106,102 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], lis
     return bins, offsets, fills
 
 
+def filled(sizes: list[int], lengths: tuple[int, ...]) -> list[int]:
+    """The bin of each piece, a bin at a time around the longest piece left, by the sums that other pieces can make."""
+    bins, number = [-1] * len(sizes), 0
+    left = list(range(len(sizes)))  # from the largest down
+    while left:
+        first, rest = left[0], left[1:]
+        picked = [rest[k * len(rest) // CANDIDATES] for k in range(CANDIDATES)] if len(rest) > CANDIDATES else rest
+        reach, mask = [1], (1 << (lengths[-1] - sizes[first] + 1)) - 1
+        for k in picked:
+            reach.append((reach[-1] | reach[-1] << sizes[k]) & mask)
+        best, more = math.inf, 0
+        for c in lengths:
+            if c >= sizes[first]:
+                fill = (reach[-1] & ((1 << (c - sizes[first] + 1)) - 1)).bit_length() - 1
+                if (each := cost(c) / (sizes[first] + fill)) < best:
+                    best, more = each, fill
+        own = {first}
+        for n in range(len(picked), 0, -1):  # which pieces make that sum
+            if not reach[n - 1] >> more & 1:
+                own.add(picked[n - 1])
+                more -= sizes[picked[n - 1]]
+        for k in own:
+            bins[k] = number
+        number += 1
+        left = [k for k in left if k not in own]
+    return bins
+
+
+def partition(sizes: list[int], lengths: tuple[int, ...]) -> list[list[int]]:
+    """The partition of a few pieces into bins that costs least, by all subsets."""
+    n = len(sizes)
+    total = [0] * (1 << n)
+    for m in range(1, 1 << n):
+        low = m & -m
+        total[m] = total[m ^ low] + sizes[low.bit_length() - 1]
+    price = [next((cost(c) for c in lengths if c >= t), math.inf) for t in total]
+    best, chosen = [0.0] * (1 << n), [0] * (1 << n)
+    for m in range(1, 1 << n):
+        low, found = m & -m, math.inf
+        sub = m
+        while sub:
+            if sub & low and price[sub] + best[m ^ sub] < found - 1e-9:
+                found, chosen[m] = price[sub] + best[m ^ sub], sub
+            sub = (sub - 1) & m
+        best[m] = found
+    out, m = [], (1 << n) - 1
+    while m:
+        out.append([k for k in range(n) if chosen[m] >> k & 1])
+        m ^= chosen[m]
+    return out
+
+
+def mended(groups: list[list[int]], sizes: list[int], lengths: tuple[int, ...]) -> list[list[int]]:
+    """``groups`` (the pieces of each bin) with those of most padding dealt anew, window by window."""
+    length = lambda own: min(c for c in lengths if c >= sum(sizes[k] for k in own))
+    padding = lambda own: length(own) - sum(sizes[k] for k in own)
+    kept, windows, many = [], [[]], 0
+    for own in sorted(groups, key=lambda own: (-padding(own), own)):
+        if many + len(own) > WINDOW and len(own) <= WINDOW and len(windows) < WINDOWS:
+            windows.append([])
+            many = 0
+        if many + len(own) <= WINDOW:
+            windows[-1].append(own)
+            many += len(own)
+        else:
+            kept.append(own)
+    for window in windows:
+        pieces = sorted(k for own in window for k in own)
+        anew = [[pieces[k] for k in own] for own in partition([sizes[k] for k in pieces], lengths)]
+        price = lambda some: sum(cost(length(own)) for own in some)
+        kept += anew if price(anew) < price(window) - 1e-9 else window
+    return kept
+
+
+def grouped_by(bins: list[int]) -> list[list[int]]:
+    out: dict[int, list[int]] = {}
+    for k, b in enumerate(bins):
+        out.setdefault(b, []).append(k)
+    return list(out.values())
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece, and the downsized length of each bin."""
-    bins, offsets, fills = best_fit(sizes, lengths)
-    return bins, offsets, [min(c for c in lengths if c >= f) for f in fills]
+    """Bin and offset of each piece (``sizes`` from the largest down), and the length of each bin, at the least cost found."""
+    if not sizes:
+        return [], [], []
+    price = lambda groups: sum(cost(min(c for c in lengths if c >= sum(sizes[k] for k in own))) for own in groups)
+    plans = [grouped_by(best_fit(sizes, lengths, least)[0]) for least in (None, *lengths)] + [grouped_by(filled(sizes, lengths))]
+    groups = mended(min(plans, key=price), sizes, lengths)
+    bins, offsets, final = [0] * len(sizes), [0] * len(sizes), []
+    for b, own in enumerate(sorted(groups, key=min)):
+        at = 0
+        for k in sorted(own):
+            bins[k], offsets[k] = b, at
+            at += sizes[k]
+        final.append(min(c for c in lengths if c >= at))
+    return bins, offsets, final
 
 
 #: White space beyond which the library's own splitting may fail; such texts are split here, by the same pattern.
