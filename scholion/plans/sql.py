@@ -90,6 +90,29 @@ def without_furniture(source: str, t: str, others: str = "") -> str:
     )
 
 
+def mapped(source: str) -> str:
+    """CTEs ending in ``mapped``: doc_id, and ``v``, the original index of each cleaned character of ``source`` (doc_id, t), -1 if inserted."""
+    word, other = "([\\pL\\pN_]+)-\\s*\\n\\s*([\\pL\\pN_]+)", "(?s:.)"
+    placed = "sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) - length(w)"
+    token = f"{PROTECTED}| {{2,}}|\\n+|[^ \\n(\\[]+|{other}"
+    return f"""src AS ({source}), t1 AS (SELECT doc_id, {dehyphenated('t')} AS t FROM src), t2 AS (SELECT doc_id, {whitespace('t')} AS t FROM t1),
+ e1 AS (SELECT doc_id, 2 * generate_subscripts(p, 1) AS k, unnest(p) AS w, NULL AS g, NULL AS h FROM (SELECT doc_id, string_split_regex(t, '{word}') AS p FROM src)
+  UNION ALL SELECT doc_id, 2 * generate_subscripts(m, 1) + 1, unnest(m), unnest(g), unnest(h) FROM (SELECT doc_id, regexp_extract_all(t, '{word}') AS m, regexp_extract_all(t, '{word}', 1) AS g, regexp_extract_all(t, '{word}', 2) AS h FROM src)),
+ m1 AS (SELECT doc_id, flatten(list(CASE WHEN g IS NULL THEN range(s, s + length(w)) ELSE range(s, s + length(g)) || range(s + length(w) - length(h), s + length(w)) END ORDER BY k)) AS m
+  FROM (SELECT *, CAST({placed} AS BIGINT) AS s FROM e1) GROUP BY doc_id),
+ e2 AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_extract_all(t, '{token}') AS p FROM t1)),
+ m2 AS (SELECT doc_id, flatten(list(CASE WHEN starts_with(w, '  ') OR w = chr(10) THEN [s] WHEN starts_with(w, chr(10)) THEN [s, s] ELSE range(s, s + length(w)) END ORDER BY k)) AS m
+  FROM (SELECT *, CAST({placed} AS BIGINT) AS s FROM e2) GROUP BY doc_id),
+ e3 AS (SELECT *, trim(w, {BLANK}) AS l FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS p FROM t2))),
+ f3 AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(w) - 1 AS BIGINT) AS s FROM e3),
+ gone AS (SELECT doc_id, l FROM e3 WHERE length(l) > 0 AND length(l) < {REPEATED_LINE_CHARS} AND NOT ({CONTENT}) GROUP BY doc_id, l HAVING count(*) >= {REPEATED_LINE_COUNT}),
+ kept AS (SELECT f3.*, EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = f3.doc_id) AS cut_some FROM f3 ANTI JOIN gone ON f3.doc_id = gone.doc_id AND f3.l = gone.l),
+ m3 AS (SELECT doc_id, flatten(list((CASE WHEN NOT cut_some AND k > 1 THEN [s - 1] WHEN cut_some AND before THEN [CAST(-1 AS BIGINT)] ELSE []::BIGINT[] END) || range(s, s + length(w)) ORDER BY k)) AS m
+  FROM (SELECT *, coalesce(bool_or(length(w) > 0) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM kept) GROUP BY doc_id),
+ mapped AS (SELECT src.doc_id, [CASE WHEN x >= 0 THEN m1.m[m2.m[x + 1] + 1] ELSE -1 END FOR x IN coalesce(m3.m, []::BIGINT[])] AS v
+  FROM src LEFT JOIN m1 ON src.doc_id = m1.doc_id LEFT JOIN m2 ON src.doc_id = m2.doc_id LEFT JOIN m3 ON src.doc_id = m3.doc_id)"""
+
+
 def unescaped(t: str) -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         t = f"replace({t}, '{entity}', '{char}')"

@@ -85,13 +85,6 @@ def normalize(s, d):
     return n.select("doc_id", "n.status", F.md5("n.cleaned").alias("h"), F.array_join("n.transformations", ",").alias("steps"))
 
 
-@query("char_mapping")
-def char_mapping(s, d):
-    from .functions.charmap import char_mapping as mapping
-
-    m = docs(s, d).select("doc_id", mapping(i.cited(F.col("text"))).alias("m"))
-    return m.select("doc_id", F.size("m").alias("n"), text.reverse_lookup(F.col("m"), F.lit(50)).alias("at_50"), text.reverse_lookup(F.col("m"), F.lit(-5)).alias("outside"))
-
 
 # Splitting and chunking.
 
@@ -153,8 +146,8 @@ def chunk_overlap(s, d):
     "SELECT doc_id, CAST(generate_subscripts(c, 1) AS INTEGER) AS chunk_index, CAST(len(c) AS INTEGER) AS total_chunks, CAST(length(unnest(c)) AS INTEGER) AS chars, md5(unnest(c)) AS h FROM o",
 )
 def prepared_chunks(s, d):
-    c = docs(s, d).select("doc_id", chunking.prepared_chunks(F.col("text"), 2000, 200).alias("chunks"))
-    return chunking.explode_chunks(c).select("doc_id", "chunk_index", "total_chunks", F.length("chunk").alias("chars"), F.md5("chunk").alias("h"))
+    c = chunking.chunk_rows(docs(s, d).select("doc_id", "text"), "text", 2000, 200)
+    return c.select("doc_id", "chunk_index", "total_chunks", F.length("chunk").alias("chars"), F.md5("chunk").alias("h"))
 
 
 @query("merge_turns", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
@@ -711,3 +704,6 @@ def _split_columns(columns: str) -> list[str]:
 @query("health", "SELECT 'healthy' AS status, '1' AS version")
 def health(s, d):
     return src.health(s)
+
+
+from . import document_queries  # noqa: E402,F401  registers more

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import charmap
+from ..functions.text import let
+from . import pdf
+
 # Limits.
 MAX_FILE_MB = 50
 MIN_TOTAL_CHARS = 100
@@ -24,7 +29,7 @@ def upload_status(name: Column, size: Column, max_mb: float = MAX_FILE_MB) -> Co
 
 
 def scan_files(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB) -> DataFrame:
-    """Files under ``path`` with a status; the content of those that are not 'ok' is null."""
+    """Files under ``path`` with a status; the content of those that are not 'ok' is null. Spark's reader leaves out files of no bytes."""
     files = spark.read.format("binaryFile").load(path)
     status = upload_status(F.col("path"), F.col("length"), max_mb)
     return files.select("path", "length", status.alias("status"), F.when(status == "ok", F.col("content")).alias("content"))
@@ -60,6 +65,89 @@ def scan_pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, float,
     return files.filter("status = 'ok'").select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
+PDF_SCHEMA = (
+    "path string, page_number int, width double, height double, lines array<array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>, "
+    "error string, message string, seconds double, file_bytes long"
+)
+
+
+def scan_pdf(files: DataFrame) -> DataFrame:
+    """One row per page of each file (path, status, content) that is 'ok', by ``pdf.parse``: lines of spans with their boxes.
+
+    Spark deals the files to tasks; ``assembled`` and ``page_positions`` make text and places of the lines without
+    Python. A failure is a row without a page: PasswordProtectedError (encrypted), CorruptedFileError (breaks the
+    format), PdfError (not supported, or any other fault), ExtractionQualityError (no pages), NoTextLayerError (too little text).
+    """
+
+    def failed(path: str, kind: str, message: str) -> list[tuple]:
+        return [(path, None, None, None, None, kind, message)]
+
+    def rows(path: str, content: bytes) -> list[tuple]:
+        try:
+            pages = pdf.parse(content)
+        except pdf.Encrypted as e:
+            return failed(path, "PasswordProtectedError", str(e))
+        except pdf.Malformed as e:
+            return failed(path, "CorruptedFileError", str(e))
+        except Exception as e:  # noqa: BLE001  one file's fault is its row
+            return failed(path, "PdfError", f"{type(e).__name__}: {e}")
+        if not pages:
+            return failed(path, "ExtractionQualityError", "no pages")
+        texts = ("".join("".join(s[0] for s in line) + "\n" for line in lines if any(s[0] for s in line)) for _, _, lines in pages)
+        if len("\n".join(texts).strip()) < MIN_TOTAL_CHARS:
+            return failed(path, "NoTextLayerError", "too little text")
+        names = ("text", "x0", "y0", "x1", "y1")
+        return [(path, k + 1, w, h, [[dict(zip(names, s, strict=True)) for s in line] for line in lines], None, None) for k, (w, h, lines) in enumerate(pages)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [part.split()[0] for part in re.split(r", (?=[a-z_]+ )", PDF_SCHEMA)]
+        for batch in batches:
+            for path, content in batch[["path", "content"]].itertuples(index=False, name=None):
+                began = time.perf_counter()
+                found = rows(path, content)
+                yield pd.DataFrame([(*r, time.perf_counter() - began, len(content)) for r in found], columns=columns)
+
+    return files.filter("status = 'ok' AND content IS NOT NULL").select("path", "content").mapInPandas(run, PDF_SCHEMA)
+
+
+def assembled(pages: DataFrame) -> DataFrame:
+    """``pages`` of ``scan_pdf`` with text and char_count."""
+    text = page_text(F.transform("lines", lambda line: F.transform(line, lambda s: s["text"])))
+    return pages.withColumn("text", text).withColumn("char_count", F.length("text"))
+
+
+def page_spans(pages: DataFrame, key: str) -> DataFrame:
+    """A row for each span of ``assembled`` pages: key, page_number, from, to (in the pages' texts joined by line feeds), x0, y0, x1, y1."""
+    before = Window.partitionBy(key).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("char_count") + 1).over(before), F.lit(0))
+    line_text = lambda line: F.array_join(F.transform(line, lambda s: s["text"]), "")
+    sizes = F.transform("lines", lambda line: let(line_text(line), lambda t: F.length(t) + F.when((t != "") & ~t.endswith("\n"), 1).otherwise(0)))
+    summed = lambda counts: F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def of_line(line: Column, at: Column) -> Column:
+        ends = summed(F.transform(line, lambda s: F.length(s["text"])))
+        return let(ends, lambda e: F.transform(line, lambda s, i: F.struct((at + F.get(e, i)).alias("from"), (at + F.get(e, i + 1)).alias("to"), s["x0"].alias("x0"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"))))
+
+    offsets = summed(sizes)
+    lined = F.flatten(F.transform("lines", lambda line, i: of_line(line, F.get("offsets", i))))
+    placed = pages.filter("page_number IS NOT NULL").withColumn("start", start).withColumn("offsets", offsets)
+    each = placed.select(key, "page_number", "start", F.inline(lined))
+    return each.select(key, "page_number", (F.col("start") + F.col("from")).cast("int").alias("from"), (F.col("start") + F.col("to")).cast("int").alias("to"), "x0", "y0", "x1", "y1")
+
+
+def page_positions(pages: DataFrame) -> DataFrame:
+    """``pages`` with positions: a place for each character of a page's text, spaced evenly in its span; line feeds stand at their line's bottom."""
+
+    def of_line(line: Column) -> Column:
+        chars = F.flatten(F.transform(line, lambda s: charmap.span_positions(s["text"], F.col("page_number"), s["x0"], s["y0"], s["x1"], s["y1"])))
+        text = F.array_join(F.transform(line, lambda s: s["text"]), "")
+        bottom = F.array_max(F.transform(line, lambda s: s["y1"]))
+        return F.when((text != "") & ~text.endswith("\n"), F.concat(chars, F.array(charmap.newline_position(F.size(chars), F.col("page_number"), bottom)))).otherwise(chars)
+
+    numbered = F.transform(F.flatten(F.transform("lines", of_line)), lambda p, i: p.withField("char_index", i))
+    return pages.withColumn("positions", numbered)
+
+
 def page_text(lines: Column) -> Column:
     """Text of a page from array<array<string>> of spans by line: a line feed after each line unless there is one, none at the start."""
     joined = F.transform(lines, lambda spans: F.array_join(spans, ""))
