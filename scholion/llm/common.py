@@ -2,7 +2,7 @@
 
 Executors and driver share no local folder: whatever has to outlive a stage goes through
 ``cut`` (``DataFrame.checkpoint``), a table under ``shared_path``, or a ``Scratch``, whose tables
-are deleted as soon as no later step reads them; all live in the folder that the cluster names in
+are deleted as soon as no later step reads them, and at last by ``release``; all live in the folder that the cluster names in
 ``spark.checkpoint.dir``.
 """
 
@@ -47,20 +47,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the runs of this process, in order, until they are released.
+_ROOTS: list[str] = []
+
+
 class Scratch:
-    """Tables of one run in the shared folder, by name. ``keep`` writes and rereads one; ``drop`` deletes those no longer read."""
+    """Tables of one run in the shared folder, by name. ``keep`` writes and rereads one; ``drop`` deletes those no longer read.
+
+    What a result still reads when its operator returns stays until ``release``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, shared_path(spark, name)
+        self.spark, self.root, self.names = spark, shared_path(spark, name), set()
+        _ROOTS.append(self.root)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
+
+
+def runs_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_ROOTS)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables of the runs after a mark: once their results have been read or written."""
+    for root in _ROOTS[since:]:
+        remove(spark, root)
+    del _ROOTS[since:]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -70,7 +95,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: keep Arrow batches small whatever the session's default is."""
+    """Long texts: keep Arrow batches small whatever the session's default is.
+
+    Spark reads both settings when a plan is run, after the operator has returned; so they stay set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

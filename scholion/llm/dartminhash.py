@@ -26,7 +26,9 @@ O(u, v) <= min(O(u, C), O(v, C)) + what u and v share beyond their counts in C.
 similar only if min(O(u, C), O(v, C)) alone is enough, which makes both near to C, or if they share
 enough excess. A member whose excess, as far as others have it too, is not enough has no partner.
 The others are dealt into one block for each of their rarest excess shingles, as many as leave no
-partner out, and those blocks are treated in the same way. So a group of copies with edits of their
+partner out, and those blocks are treated in the same way as long as they get smaller, by a tenth at
+least; in one that does not, all pairs that sizes allow are compared (there was none on the tables given, the one
+with a large near group included). So a group of copies with edits of their
 own costs its size, not its square, and every pair of a bucket is compared, in one component, or
 proved to be below t. C may be any bag; it is taken of a sample because that changes the work only.
 
@@ -55,8 +57,8 @@ RANK_EDGES = np.concatenate([[0.0, 1 / 16, 1 / 4], 2.0 ** np.arange(0, 40)])
 WORK_CHARS = 3_000_000
 #: A block of up to so many documents, of so many shingles in all, is compared in one task.
 FEW, FEW_SHINGLES = 256, 2_000_000
-#: Members that C is taken of, the share of them that must have a shingle, and how often blocks are divided.
-SAMPLED, COMMON, DEPTH = 32, 0.3, 4
+#: Members that C is taken of, and the share of them that must have a shingle. A block is divided on if it is this part of the one before at most.
+SAMPLED, COMMON, SHRUNK = 32, 0.3, 0.9
 
 _POLY = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, bool)
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     blocks = keep("blocks0", families(star, labels))
     labels = merged(labels, within(blocks, texts, threshold, scratch))
-    scratch.drop("star", "texts", "edges")
+    scratch.drop_all_but("members")
     found = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     sizes = keep("sizes", found.groupBy("class_id").agg(F.count("*").alias("class_size")))
     return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
@@ -307,7 +309,7 @@ def families(star: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks (block, doc, size, comp): the documents paired with a pivot, and ``comp``, the component of each; pivots of one component have one block."""
     of = lambda name, label: labels.select(F.col("id").alias(name), F.col("component").alias(label))
     placed = star.join(of("a", "comp"), "a", "left").join(of("b", "block"), "b", "left")
-    return placed.select(F.coalesce("block", "b").alias("block"), F.col("a").alias("doc"), F.col("size_a").alias("size"), F.coalesce("comp", "a").alias("comp")).distinct()
+    return placed.select(F.coalesce("block", "b").alias("block"), F.col("a").alias("doc"), F.col("size_a").alias("size"), F.coalesce("comp", "a").alias("comp")).distinct().withColumn("parent", F.lit(None).cast("long"))
 
 
 def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -320,24 +322,24 @@ def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
 def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of components that have similar documents in one block; see the module.
 
-    ``blocks``: block, doc, size, comp, with a row for each document of a block.
+    ``blocks``: block, doc, size, comp, parent (documents of the block that it comes from), with a row for each document of a block.
     """
-    found = None
-    for depth in range(DEPTH + 1):
-        counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("who"))
+    found, depth = None, 0
+    while True:
+        counts = blocks.groupBy("block").agg(F.count("*").alias("n"), F.max("parent").alias("parent"), F.sum("size").alias("total"), F.min("size").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("who"))
         few = (F.col("n") <= FEW) & (F.col("total") <= FEW_SHINGLES)
         # blocks of the same documents are one
-        one = counts.filter("lo <> hi").groupBy("n", "who", "total").agg(F.min(F.struct("block", "smallest", few.alias("few"))).alias("x"))
-        open_blocks = scratch.keep(f"open{depth}", one.select("x.block", "n", "x.smallest", "x.few"))
-        members = scratch.keep(f"members{depth}", blocks.join(open_blocks, "block"))
+        stuck = ~few & F.coalesce(F.col("n") > F.lit(SHRUNK) * F.col("parent"), F.lit(False))
+        one = counts.filter("lo <> hi").groupBy("n", "who", "total").agg(F.min(F.struct("block", "smallest", few.alias("few"), stuck.alias("stuck"))).alias("x"))
+        open_blocks = scratch.keep(f"open{depth}", one.select("x.block", "n", "x.smallest", "x.few", "x.stuck"))
+        members = scratch.keep(f"members{depth}", blocks.drop("parent").join(open_blocks, "block"))
         pairs = few_pairs(members.filter("few"), texts, threshold)
-        large = members.filter("NOT few").drop("few")
-        last = not large.limit(1).count()
-        if depth == DEPTH and not last:  # every pair that is left
-            u, v = (large.select("block", F.col("doc").alias(x), F.col("comp").alias(f"c{x}"), F.col("size").alias(f"s{x}")) for x in ("u", "v"))
+        if members.filter("stuck").limit(1).count():  # every pair that sizes allow
+            u, v = (members.filter("stuck").select("block", F.col("doc").alias(x), F.col("comp").alias(f"c{x}"), F.col("size").alias(f"s{x}")) for x in ("u", "v"))
             pairs = pairs.union(tried(u.join(v, "block").filter((F.col("cu") < F.col("cv")) & (F.least("su", "sv") >= F.greatest("su", "sv") * F.lit(threshold - 1e-9))), texts, threshold))
-            last = True
-        elif not last:
+        large = members.filter("NOT few AND NOT stuck").drop("few", "stuck")
+        last = not large.limit(1).count()
+        if not last:
             centres = scratch.keep(f"centres{depth}", centres_of(large, texts))
             beyond = scratch.keep(f"beyond{depth}", excesses(large, centres, texts, threshold).repartition("doc"))  # lest one task has a whole block
             pairs = pairs.union(near_centre(beyond.filter("spare < 0"), texts, threshold, scratch, depth))
@@ -347,6 +349,7 @@ def within(blocks: DataFrame, texts: DataFrame, threshold: float, scratch: Scrat
         scratch.drop(*(f"{name}{depth}" for name in ("open", "members", "centres", "beyond", "often", "blocks", "free", "centred")))
         if last:
             return found
+        depth += 1
 
 
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +438,7 @@ def excesses(members: DataFrame, centres: DataFrame, texts: DataFrame, threshold
         known, at = None, None
         for batch in batches:
             out = []
-            for block, doc, comp, smallest, text, kinds, counts in batch[["block", "doc", "comp", "smallest", "text", "kinds", "counts"]].itertuples(index=False, name=None):
+            for block, doc, comp, n, smallest, text, kinds, counts in batch[["block", "doc", "comp", "n", "smallest", "text", "kinds", "counts"]].itertuples(index=False, name=None):
                 if at != block:
                     none = np.zeros(0, np.int64)
                     known, at = (none.view(np.uint64), none) if kinds is None else (np.array(kinds, np.int64).view(np.uint64), np.array(counts, np.int64)), block
@@ -445,28 +448,28 @@ def excesses(members: DataFrame, centres: DataFrame, texts: DataFrame, threshold
                 need = threshold / (1 + threshold) * (size + max(smallest, threshold * size)) - overlap
                 spare = max(-1, int(np.ceil(need - 1e-9)) - 1)
                 if int(more.sum()) > spare:  # else nobody can be similar
-                    out.append((block, doc, comp, size, overlap, spare, what.view(np.int64), more))
-            yield pd.DataFrame(out, columns=["block", "doc", "comp", "size", "overlap", "spare", "shingles", "more"])
+                    out.append((block, doc, comp, n, size, overlap, spare, what.view(np.int64), more))
+            yield pd.DataFrame(out, columns=["block", "doc", "comp", "parent", "size", "overlap", "spare", "shingles", "more"])
 
     withed = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").join(centres, "block", "left")
-    return withed.mapInPandas(emit, "block long, doc long, comp long, size long, overlap long, spare long, shingles array<long>, more array<long>")
+    return withed.mapInPandas(emit, "block long, doc long, comp long, parent long, size long, overlap long, spare long, shingles array<long>, more array<long>")
 
 
 def divided(beyond: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     """Blocks of the members that share one of their rarest excess shingles; see the module."""
-    lines = beyond.select("block", "doc", "comp", "size", "spare", F.explode(F.arrays_zip("shingles", "more")).alias("x")).select("block", "doc", "comp", "size", "spare", F.col("x.shingles").alias("shingle"), F.col("x.more").alias("more"))
+    lines = beyond.select("block", "doc", "comp", "parent", "size", "spare", F.explode(F.arrays_zip("shingles", "more")).alias("x")).select("block", "doc", "comp", "parent", "size", "spare", F.col("x.shingles").alias("shingle"), F.col("x.more").alias("more"))
     often = lines.groupBy("block", "shingle").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("block", "shingle", "n")
     often = scratch.keep(f"often{depth}", often)
     # from the commonest shingle on: what stays within the member's spare is left out
-    known = lines.join(often, ["block", "shingle"]).groupBy("block", "doc", "comp", "size", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "more")), False).alias("xs"))
+    known = lines.join(often, ["block", "shingle"]).groupBy("block", "doc", "comp", "parent", "size", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "more")), False).alias("xs"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("keys"))
 
     def step(s, x):
         upto = s["sum"] + x["more"]
         return F.struct(upto.alias("sum"), F.when(upto > F.col("spare"), F.concat(s["keys"], F.array(x["shingle"]))).otherwise(s["keys"]).alias("keys"))
 
-    keyed = known.select("block", "doc", "comp", "size", F.explode(F.aggregate("xs", start, step, lambda s: s["keys"])).alias("shingle"))
-    return keyed.select(F.xxhash64("block", "shingle").alias("block"), "doc", "size", "comp")
+    keyed = known.select("block", "doc", "comp", "parent", "size", F.explode(F.aggregate("xs", start, step, lambda s: s["keys"])).alias("shingle"))
+    return keyed.select(F.xxhash64("block", "shingle").alias("block"), "doc", "size", "comp", "parent")
 
 
 def near_centre(free: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch, depth: int) -> DataFrame:

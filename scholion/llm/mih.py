@@ -38,7 +38,9 @@ K = 10
 #: Bits of a segment, at least and at most.
 WIDTHS = (8, 32)
 WIDTH = 16
-PROBES, BLOCKS = 1 << 13, 64
+PROBES = 1 << 13
+#: Codes in a block.
+BLOCK_CODES = 20_000
 
 
 def pieces(bits: int, width: int) -> list[tuple[int, int]]:
@@ -113,8 +115,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH,
     for radius in range(width + 1):
         last = radius == width or math.comb(width, radius) > PROBES
         if last:
-            blocks = active.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-            hits = blocks.join(owners.select("code", "n", F.pmod(F.xxhash64("code"), F.lit(BLOCKS)).cast("int").alias("block")), "block")
+            many = max(64, owners.count() // BLOCK_CODES)
+            blocks = active.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+            hits = blocks.join(owners.select("code", "n", F.pmod(F.xxhash64("code"), F.lit(many)).cast("int").alias("block")), "block")
             first = F.array_min("by") >= radius
         else:
             flips = F.explode(F.lit(masks(width, radius)).cast("array<long>"))
@@ -140,6 +143,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K, width: int = WIDTH,
         active = state.filter("NOT done").select("query", "bound")
         if not active.limit(1).count():
             break
+    scratch.drop_all_but("owners", "asked", *(f"kept{k}" for k in range(width + 1)))
     ids = finished.join(owners.select("code", "ids"), "code").select("query", "d", F.explode("ids").alias("id"))
     first = ids.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).filter(F.col("at") <= need)
     lists = first.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
@@ -164,7 +168,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_id
     bits, width = max(BITS, about[0] or 0), width_for(about[1])
     scratch = Scratch(vectors.sparkSession, "codes")
     codes = scratch.keep("codes", vectors.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col), bits, width).alias("code")))
-    return search(codes, codes.filter(F.col("id") % every == 0), k, width, bits)
+    found = search(codes, codes.filter(F.col("id") % every == 0), k, width, bits)
+    scratch.drop("codes")
+    return found
 
 
 SQL = """

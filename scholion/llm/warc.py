@@ -10,8 +10,11 @@ records by their ``Content-Length`` as they are inflated, and digests the payloa
 other, also by way of any number of others, and emits one nested row per capture. A record that names
 several captures is in each of them.
 
-A file is read as one row, so ``RECORDS_PER_FILE`` bounds what a task holds; a capture's row holds the
-records that name it.
+Archives have ``RECORDS_PER_FILE`` records at most, fewer where pages are long, for ``ARCHIVE_BYTES`` on
+average. A file of up to ``WHOLE_BYTES`` is read as one row. Longer ones in gzip are streamed by Spark's text reader,
+piece by piece between blank lines, and put together by their lengths, so a task holds one record of a
+file; longer ones that are not compressed, which that reader would split, are one row too. A capture's row holds the records that
+name it.
 
 Defined cases: a null html is an empty payload (empty payloads revisit each other like others); a
 null url is the empty URI; of rows with one payload that of the least page_id is the response, null ids
@@ -38,6 +41,8 @@ from .common import Scratch
 from .components import components
 
 RECORDS_PER_FILE = 2000
+ARCHIVE_BYTES = 64 << 20
+WHOLE_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,10 +80,11 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
     rows = rows.withColumn("key", F.md5(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", "uri")))
     # both are tables by the time they are joined, so that Spark can split a payload that very many rows share
     scratch = Scratch(pages.sparkSession, "warc-plan")
-    kinds = scratch.keep("kinds", rows.groupBy("key", "page_id", "digest").agg(F.count("*").alias("n")))
+    kinds = scratch.keep("kinds", rows.groupBy("key", "page_id", "digest").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")))
     first = kinds.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("first"))
     plan = kinds.join(scratch.keep("first", first), "digest").select("key", "n", F.col("first.key").alias("owner"))
-    ready = rows.join(plan, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    # equal rows meet before anything is moved, so no key has more than a row of each task
+    ready = rows.dropDuplicates(["key"]).join(plan, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     again = (F.col("key") != F.col("owner")) | (F.col("copy") > 1)
     name = F.concat_ws(":", "key", "copy")
     request, response, about = (record_uri(kind, name) for kind in ("request", "response", "metadata"))
@@ -103,12 +109,14 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
         F.coalesce(F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
     )
     lines = ready.select(F.concat(asked, F.lit(END), answered, F.lit(END), told).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, records_per_file // 3)).text(path)
+    about = kinds.agg(F.sum("bytes"), F.sum("n")).first()
+    pages_per_file = max(1, min(records_per_file // 3, ARCHIVE_BYTES * (about[1] or 1) // max(1, about[0] or 0)))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
     scratch.drop("kinds", "first")
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive, one at a time."""
+def parse(content: bytes, blocks: bool = True) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(headers by lower-case name, block) of each record of an archive, one at a time; only the headers of one without ``blocks``."""
     raw = io.BytesIO(content)
     data = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
     while line := data.readline():
@@ -122,6 +130,9 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
             headers.setdefault(name.strip().lower(), []).append(value.strip())
         if "content-length" not in headers or "warc-type" not in headers:
             raise ValueError("a record without a length or a type")
+        if not blocks:
+            yield headers, b""
+            return
         block = data.read(int(headers["content-length"][0]))
         if len(block) < int(headers["content-length"][0]):
             raise ValueError("an archive ends inside a record")
@@ -145,23 +156,96 @@ def describe(headers: dict[str, list[str]], block: bytes) -> tuple:
     )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+class Stream:
+    """Records of an archive that comes in pieces, in order."""
+
+    def __init__(self):
+        self.held, self.headers, self.size, self.begun = bytearray(), None, 0, False
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+        """What stands between two blank lines; yields the records that are whole then."""
+        if self.begun:
+            self.held += END.encode()
+        self.begun = True
+        self.held += piece
+        while True:
+            if self.headers is None:
+                while self.held[:2] == b"\r\n":
+                    del self.held[:2]
+                end = self.held.find(END.encode())
+                if end < 0:
+                    return
+                self.headers = next(parse(bytes(self.held[: end + 4]), False))[0]
+                self.size = int(self.headers["content-length"][0])
+                del self.held[: end + 4]
+            if len(self.held) < self.size:
+                return
+            block = bytes(self.held[: self.size])
+            del self.held[: self.size]
+            headers, self.headers = self.headers, None
+            yield headers, block
+
+    def close(self) -> None:
+        if self.headers is not None or self.held.strip():
+            raise ValueError("an archive ends inside a record")
+
+
+_NAMES = [part.strip().split()[0] for part in RECORD_SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+
+def fault(e: Exception) -> tuple:
+    return (*[None] * (len(_NAMES) - 1), f"{type(e).__name__}: {e}")
+
+
+def read(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """The records of all archives under ``path``, without their payloads."""
-    names = [part.strip().split()[0] for part in RECORD_SCHEMA.replace("map<string,string>", "map").split(", ")]
 
     def records(content: bytes) -> Iterator[tuple]:
         try:
             for headers, block in parse(content):
                 yield describe(headers, block)
         except (ValueError, EOFError, OSError, zlib.error) as e:  # a foreign archive's fault is a row
-            yield (*[None] * (len(names) - 1), f"{type(e).__name__}: {e}")
+            yield fault(e)
 
     def run(batches):
         for batch in batches:
             for content in batch["content"]:
-                yield pd.DataFrame(list(records(content)), columns=names)
+                yield pd.DataFrame(list(records(content)), columns=_NAMES)
+
+    def streamed(batches):
+        at, stream = None, None
 
-    return spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInPandas(run, RECORD_SCHEMA)
+        def ended() -> list[tuple]:
+            try:
+                if stream is not None:
+                    stream.close()
+            except ValueError as e:
+                return [fault(e)]
+            return []
+
+        for batch in batches:
+            out: list[tuple] = []
+            for name, piece in batch.itertuples(index=False, name=None):
+                if name != at:
+                    out += ended()
+                    at, stream = name, Stream()
+                if stream is not None:
+                    try:
+                        out += [describe(*x) for x in stream.feed(bytes(piece))]
+                    except ValueError as e:  # the rest of that file is left
+                        out.append(fault(e))
+                        stream = None
+            yield pd.DataFrame(out, columns=_NAMES)
+        yield pd.DataFrame(ended(), columns=_NAMES)
+
+    files = spark.read.format("binaryFile").load(path)
+    long = [r["path"] for r in files.filter((F.col("length") > whole_bytes) & F.col("path").endswith(".gz")).select("path").collect()]
+    short = files.filter("length > 0").filter((F.col("length") <= whole_bytes) | ~F.col("path").endswith(".gz"))
+    found = short.select("content").mapInPandas(run, RECORD_SCHEMA)
+    if not long:
+        return found
+    pieces = spark.read.option("lineSep", END).option("ignoreCorruptFiles", True).text(long).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return found.unionByName(pieces.mapInPandas(streamed, RECORD_SCHEMA))
 
 
 def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -177,13 +261,13 @@ def indirect(links: DataFrame, rest: DataFrame, placed: DataFrame, scratch: Scra
     return grouped.join(met, "group", "left").select("id", F.coalesce("capture", "group").alias("capture"))
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per capture: capture_id, request (the least by record id), response (structs), metadata, requests (arrays of structs, by record id).
 
     ``records`` is read more than once: give a table. Captures are found on ids alone; the records are moved
     once to their captures' ids, and once to the captures.
     """
-    scratch = Scratch(records.sparkSession, "captures")
+    scratch = scratch or Scratch(records.sparkSession, "captures")
     body = F.struct("record_id", "type", "target_uri", "date", "refers_to", "declared_digest", "content_type", "block_bytes", "payload_bytes", "payload_digest", "fields")
     known = records.filter("record_id IS NOT NULL")
     first = F.col("type").isin("response", "revisit", "resource")
@@ -222,9 +306,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write(pages, archives)
     records = scratch.keep("records", read(spark, archives))
     scratch.drop("archives")
-    captures = assemble(records)
+    captures = assemble(records, scratch)
     flat = captures.select("capture_id", F.element_at("metadata", 1)["fields"]["pageId"].cast("long").alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("d"), F.col("response.target_uri").alias("target_uri"))
     flat = scratch.keep("flat", flat)
+    scratch.drop_all_but("flat")
     origin = flat.filter("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("n").alias("n0"), F.col("d").alias("d0"))
     return flat.join(origin, "to", "left").select(
         "page_id", F.coalesce("n0", "n").alias("payload_bytes"), F.coalesce("d0", "d").alias("payload_digest"), "record_type", "refers_to", "target_uri",
