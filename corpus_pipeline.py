@@ -8,8 +8,8 @@ substrings: passages that occur in an earlier document are cut out of the text;
 packing: the tokens of the texts are laid into bins of the permitted lengths, one row per bin.
 
 All but the last return the columns of their input, ``n_chars`` following the text. Each stage is
-written as Parquet to the shared folder and read again, so none repeats another's work after a loss, and
-what the stage before has written is deleted then.
+written as Parquet to the shared folder and read again, so none repeats another's work after a loss; what
+the stage before has written and what the stage itself has left are deleted then.
 
 Defined cases: where nothing can be learnt (no labelled rows, or of one class only) a classifier rejects
 nothing; null and empty texts are judged like others by the classifiers, are no near-duplicates of one
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholion.llm import chunkdedup, dartminhash, packing, quality, toxicity
-from scholion.llm.common import remove, shared_path, small_batches, table
+from scholion.llm.common import release, remove, runs_so_far, shared_path, small_batches, table
 from scholion.llm.queries import RANKS
 
 
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, name)
+        path, mark = shared_path(spark, name), runs_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
