@@ -123,6 +123,14 @@ def plain(t: str) -> str:
     return unescaped(f"regexp_replace({t}, '(?s)</?[a-zA-Z][^>]*>', '', 'g')")
 
 
+def html_text(t: str) -> str:
+    """Without tags, references resolved; those of & and < may lack their semicolon."""
+    t = f"regexp_replace({t}, '(?s)</?[a-zA-Z][^>]*>', '', 'g')"
+    for entity, char in (("lt;?", "<"), ("gt;?", ">"), ("quot;?", '"'), ("#39;?", "''"), ("nbsp;?", "\u00a0"), ("copy;?", "©"), ("middot;?", "·"), ("amp;?", "&")):
+        t = f"regexp_replace({t}, '&{entity}', '{char}', 'g')"
+    return t
+
+
 def sanitized(t: str) -> str:
     t = f"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')"
     for tag in ("script", "style", "iframe", "object", "embed"):

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import chunking, markup, text
+from .functions import chunking, html, markup, text
 from .operators import annotate as ann
 from .operators import elements as el
 from .operators import errors, metrics
@@ -240,17 +240,19 @@ def confidence_contract(s, d):
 
 @query(
     "toc",
-    f"WITH a AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>'), lambda h: trim({q.plain('h')}, {q.BLANK}) <> '') AS hs FROM pages), b AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS i FROM a), "
+    f"WITH a AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>'), lambda h: trim({q.html_text('h')}, {q.BLANK}) <> '') AS hs FROM pages), b AS (SELECT page_id, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS i FROM a), "
     "c AS (SELECT *, regexp_extract(h, '(?is)^<h[1-6]\\b[^>]*?\\bid\\s*=\\s*[\\x22\\x27]([^\\x22\\x27]*)[\\x22\\x27]', 1) AS own FROM b) "
-    f"SELECT page_id, CASE WHEN own = '' THEN 'heading-' || i ELSE own END AS id, trim({q.plain('h')}, {q.BLANK}) AS text, CAST(substr(h, 3, 1) AS INTEGER) AS level FROM c",
+    f"SELECT page_id, CASE WHEN own = '' THEN 'heading-' || i ELSE own END AS id, trim({q.html_text('h')}, {q.BLANK}) AS text, CAST(substr(h, 3, 1) AS INTEGER) AS level FROM c",
 )
 def toc(s, d):
-    return i.table(s, d, "pages").select("page_id", F.inline(markup.toc(F.col("html"))))
+    # an outer explode: Spark would test the size of a plain one's array first, and parse twice for it
+    found = i.table(s, d, "pages").select("page_id", html.toc(F.col("html")).alias("found"))
+    return found.select("page_id", F.explode_outer("found").alias("h")).filter("h IS NOT NULL").select("page_id", "h.id", "h.text", "h.level")
 
 
 @query("sanitize", f"SELECT page_id, md5(c) AS h, regexp_matches(c, '(?i)<script|<style|<!--') AS unsafe FROM (SELECT page_id, {q.sanitized('html')} AS c FROM pages)")
 def sanitize(s, d):
-    clean = markup.sanitize(F.col("html"))
+    clean = markup.without_active(F.col("html"))
     return i.table(s, d, "pages").select("page_id", F.md5(clean).alias("h"), clean.rlike(r"(?i)<script|<style|<!--").alias("unsafe"))
 
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from scholion.functions import html as tree
 from scholion.functions import markup
 from scholion.operators import annotate as ann
 from scholion.operators import elements as el
@@ -28,8 +29,8 @@ def test_markup(spark):
     assert one(spark, lambda c: markup.hide(c, "goal"), nested) == "<method>a b &lt;</method>"
     assert one(spark, markup.confidences_valid, '<goal confidence="0.40">x</goal>') is False
     html = '<h1 id="top">A</h1><h2> </h2><h3>B <b>c</b></h3>'
-    assert [tuple(t) for t in one(spark, markup.toc, html)] == [("top", "A", 1), ("heading-1", "B c", 3)]
-    assert one(spark, markup.sanitize, '<p onclick="x()">a</p><script>b</script><!-- c --><a href="javascript:d">e</a>') == "<p>a</p><a >e</a>"
+    assert [tuple(t) for t in one(spark, tree.toc, html)] == [("top", "A", 1), ("heading-1", "B c", 3)]
+    assert one(spark, markup.without_active, '<p onclick="x()">a</p><script>b</script><!-- c --><a href="javascript:d">e</a>') == "<p>a</p><a >e</a>"
     assert one(spark, markup.slug, "A  b: C!") == "academic-paper-a-b-c"
 
 
