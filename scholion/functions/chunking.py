@@ -130,8 +130,13 @@ def overlapped(parts: list[str], overlap: int) -> list[str]:
     return out
 
 
-def chunk_rows(df: DataFrame, text_col: str, limit: int = CHUNK_LIMIT, overlap: int = OVERLAP, strategy: str = "sentence") -> DataFrame:
-    """One row per prepared chunk of ``text_col``: the other columns, chunk_index from 1, total_chunks, chunk. Null texts have none."""
+def chunk_rows(df: DataFrame, text_col: str, limit: int = CHUNK_LIMIT, overlap: int = OVERLAP, strategy: str = "sentence", single: int | None = None) -> DataFrame:
+    """One row per prepared chunk of ``text_col``: the other columns, chunk_index from 1, total_chunks, chunk. Null texts have none.
+
+    A text of up to ``single`` characters (``limit`` if null) is one chunk. One pass: what explodes an array that a UDF
+    makes may run it twice, as Spark tests its size below the generator.
+    """
+    whole = limit if single is None else single
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     kept = [f for f in df.schema.fields if f.name != text_col]
@@ -139,7 +144,7 @@ def chunk_rows(df: DataFrame, text_col: str, limit: int = CHUNK_LIMIT, overlap:
 
     def run(batches):
         for batch in batches:
-            parts = [[] if t is None else [t] if len(t) <= limit else overlapped(chunk_text(t, limit - overlap, strategy), overlap) for t in batch[text_col]]
+            parts = [[] if t is None else [t] if len(t) <= whole else overlapped(chunk_text(t, limit - overlap, strategy), overlap) for t in batch[text_col]]
             if any(parts):
                 out = batch.drop(columns=[text_col]).loc[batch.index.repeat([len(p) for p in parts])].reset_index(drop=True)
                 yield out.assign(chunk_index=[k + 1 for p in parts for k in range(len(p))], total_chunks=[len(p) for p in parts for _ in p], chunk=pd.Series([c for p in parts for c in p], dtype=object))

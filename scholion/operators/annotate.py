@@ -179,15 +179,21 @@ def annotate_chunks(chunks: DataFrame, make: Callable[[], Annotator], policy: Re
     return chunks.mapInPandas(run, schema)
 
 
-def annotate(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Annotator] = RuleAnnotator, policy: RetryPolicy | None = None, single: int = chunking.SINGLE_LIMIT, limit: int = chunking.CHUNK_LIMIT, overlap: int = chunking.OVERLAP, pause: float = 0.0) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Annotator] = RuleAnnotator, policy: RetryPolicy | None = None, single: int = chunking.SINGLE_LIMIT, limit: int = chunking.CHUNK_LIMIT, overlap: int = chunking.OVERLAP, pause: float = 0.0, with_elements: bool = False) -> DataFrame:
     """One row per document: the id, n_chunks, failed_chunks, marked_text (marked chunks joined by a blank line).
 
+    ``with_elements``: also ``elements`` of the marked text without its summaries, so it need not go to Python again.
+    A chunk that fails stays unmarked, a document of one chunk too; ``calls`` keeps each call's attempts and faults, and
+    tells of such a document by an error.
+
     Texts of up to ``single`` characters are one call. A document's chunks are called in turn where the
     document lies, so nothing is shuffled; ``annotate_chunks`` and ``merge_chunks`` spread them instead.
     """
     policy = policy or RetryPolicy()
     key = docs.schema[id_col]
     schema = T.StructType([key, T.StructField("n_chunks", T.LongType()), T.StructField("failed_chunks", T.LongType()), T.StructField("marked_text", T.StringType())])
+    if with_elements:
+        schema = T.StructType([*schema.fields, *T.StructType.fromDDL(f"elements {markup.ELEMENTS}").fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = None
@@ -209,7 +215,7 @@ def annotate(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Ann
                 rows.append((len(parts), failed, "\n\n".join(marked)))
             out = pd.DataFrame(rows, columns=["n_chunks", "failed_chunks", "marked_text"], index=batch.index)
             out.insert(0, id_col, batch[id_col])
-            yield out
+            yield out.assign(elements=out["marked_text"].map(lambda t: markup.element_rows(markup.SUMMARY.sub("", t)))) if with_elements else out
 
     return docs.select(id_col, text_col).mapInPandas(run, schema)
 

@@ -549,9 +549,8 @@ _PARTS = f"SELECT doc_id, {_CHUNKED} AS parts FROM (SELECT doc_id, t, CASE WHEN
 def annotate(s, d):
     """The flagship: normalize, split, annotate, merge, parse, count."""
     source = docs(s, d).select("doc_id", "lang", text.normalize(F.col("text"))["cleaned"].alias("text"))
-    marked = ann.annotate(source, "doc_id", "text", lambda: ann.RuleAnnotator(cues=CUES))
-    body = markup.without_summaries(F.col("marked_text"))
-    found = marked.select("doc_id", "n_chunks", markup.elements(body).alias("e"))
+    marked = ann.annotate(source, "doc_id", "text", lambda: ann.RuleAnnotator(cues=CUES), with_elements=True)
+    found = marked.select("doc_id", "n_chunks", F.col("elements").alias("e"))
     count = lambda t: F.size(F.filter("e", lambda x: x["element_type"] == t))
     percent = F.aggregate("e", F.lit(0), lambda a, x: a + F.round(x["confidence"].cast("double") * 100).cast("int"))
     mean = F.coalesce(percent.cast("double") / 100 / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0))
