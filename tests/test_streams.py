@@ -1,0 +1,155 @@
+"""Streams out of order, the bus, and the sinks: against the batch, with restarts."""
+
+import datetime as dt
+import hashlib
+import json
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from scholion.sources import sinks
+from scholion.streaming import progress
+
+SCHEMA = "session string, event_id long, ts timestamp, event_type string"
+COLUMNS = [c.split()[0] for c in progress.SCHEMA.split(", ")]
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.set(key, before)
+
+
+def rounded(rows):
+    return sorted((r["session"], r["event_id"], r["ts"], r["event_type"], r["status"], r["sections_processed"], round(r["progress"], 9)) for r in rows)
+
+
+def put(spark, rows, path):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_stream_out_of_order_equals_the_batch(rocks, tmp_path):
+    """The events table, dealt into many micro-batches, out of order, with a restart in between."""
+    from scholion.plans import inputs
+
+    spark = rocks
+    events = [tuple(r) for r in inputs.domain_events(spark, "/root/testdata/sf0.001").select("session", "event_id", "ts", "event_type").filter("session IN (SELECT session FROM VALUES ('0') AS v(session)) OR CAST(session AS INT) < 25").collect()]
+    assert len(events) > 50
+    rng = random.Random(1)
+    late = dt.timedelta(days=20)
+    events.sort(key=lambda e: e[2] + late * rng.random())  # no event comes more than 20 days late
+    batch = progress.session_progress(spark.createDataFrame(events, SCHEMA)).select(*COLUMNS)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    end = [("end", 10**9, max(e[2] for e in events) + dt.timedelta(days=400), progress.DONE), ("end", 10**9 + 1, max(e[2] for e in events) + dt.timedelta(days=500), progress.DONE)]
+    step = -(-len(events) // 6)
+    parts = [events[k : k + step] for k in range(0, len(events), step)] + [end[:1], end[1:]]
+
+    def run(some):
+        for part in some:
+            put(spark, part, source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        query = progress.ordered_progress(stream, "21 days", "3650 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+
+    run(parts[:3])
+    run(parts[3:])  # goes on from the checkpoint
+    assert rounded(spark.read.parquet(out).filter("session <> 'end'").collect()) == rounded(batch.collect())
+
+
+def test_bus_calls_in_order_and_skips_what_was_handled(spark, tmp_path):
+    source, log, check = (str(tmp_path / x) for x in ("in", "log", "check"))
+    put(spark, [("s", 1, dt.datetime(2024, 1, 1), progress.STARTED), ("s", 2, dt.datetime(2024, 1, 2), progress.DONE)], source)
+    seen, stop = [], [True]
+
+    def note(name):
+        return lambda batch, n: seen.append((name, n, sorted(r["event_id"] for r in batch.collect())))
+
+    def fails(batch, n):
+        seen.append(("fails", n, batch.count()))
+        raise RuntimeError("broken handler")
+
+    class Killed(BaseException):
+        pass
+
+    def killed(batch, n):
+        if stop[0]:
+            raise Killed("the driver is lost")
+        seen.append(("killed", n, batch.count()))
+
+    def bus():
+        return progress.Bus().subscribe_all(note("all"), "all").subscribe(progress.DONE, fails, "fails").subscribe(progress.DONE, note("done"), "done").subscribe(progress.STARTED, note("started"), "started").subscribe_all(killed, "killed")
+
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(source)
+    batch = spark.read.schema(SCHEMA).parquet(source)
+    with pytest.raises(Killed):
+        bus().publish(batch, 7, log)
+    first = [("fails", 7, 1), ("done", 7, [2]), ("started", 7, [1]), ("all", 7, [1, 2])]
+    assert seen == first
+    stop[0] = False
+    bus().publish(batch, 7, log)  # the batch again: only the handler that had not ended is called
+    assert seen == [*first, ("killed", 7, 2)]
+    bus().publish(batch, 7, log)
+    assert len(seen) == 5
+    rows = {(r["batch_id"], r["position"], r["handler"]): r["error"] for r in spark.read.parquet(log).collect()}
+    assert rows == {(7, 0, "fails"): "RuntimeError: broken handler", (7, 1, "done"): None, (7, 2, "started"): None, (7, 3, "all"): None, (7, 4, "killed"): None}
+    seen.clear()
+    assert bus().start(stream(), check, log).awaitTermination(120)
+    put(spark, [("s", 3, dt.datetime(2024, 1, 3), progress.DONE)], source)
+    assert bus().start(stream(), check, log).awaitTermination(120)  # a restart goes on with the next batch
+    assert [x for x in seen if x[0] == "all"] == [("all", 0, [1, 2]), ("all", 1, [3])] and [x[0] for x in seen] == ["fails", "done", "started", "all", "killed"] * 2
+
+
+def test_every_session_gets_each_message_once(spark, tmp_path):
+    source, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
+    rows = [(f"s/{k % 9} é", k, dt.datetime(2024, 1, 1, 0, 0, k), progress.SECTION_DONE) for k in range(60)]
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    for part in (rows[:20], rows[20:45], rows[45:]):
+        put(spark, part, source)
+        assert sinks.to_sessions(stream(), out, check).trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r["session"], json.loads(r["message"])["event_id"]) for r in sinks.session_messages(spark, out).collect()]
+    assert sorted(got) == sorted((s, i) for s, i, _, _ in rows)
+    # a batch that was committed comes again after a restart: its messages are not told twice
+    writer = sinks.SessionWriter(out)
+    staged = writer.write(iter([{"session": "s/1 é", "at": (dt.datetime(2024, 1, 1), 1), "message": '{"event_id": 1}'}]))
+    writer.commit([staged, None], 1)
+    assert sinks.session_messages(spark, out).count() == 60 and not Path(f"{tmp_path}/out/{staged.names[0]}").exists()
+    lost = writer.write(iter([{"session": None, "at": (None, k), "message": None} for k in (2, 1)]))
+    writer.abort([lost], 9)
+    assert sinks.session_messages(spark, out).count() == 60
+    listed = [json.loads(x)["file"] for f in sorted(Path(f"{tmp_path}/out/_batches").glob("*.json")) for x in f.read_text().splitlines()]
+    ids = [json.loads(x)["event_id"] for n in listed if n.startswith(sinks.session_folder("s/3 é") + "/") for x in Path(f"{tmp_path}/out/{n}").read_text().splitlines()]
+    assert ids == [k for k in range(60) if k % 9 == 3]
+
+
+def test_a_file_for_each_document(spark, tmp_path):
+    rows = [(k, f"title {k % 4}", f"text {k} é") for k in range(20)] + [(99, "title 1~2", None)]
+    df = spark.createDataFrame(rows, "id long, title string, content string")
+    path = f"file://{tmp_path}/exports"
+    names = sinks.named(df, "id", F.regexp_replace("title", "[^a-z0-9]", "-")).repartition(3)
+    sinks.write_files(names, path)
+    files = {f.name: f.read_bytes() for f in Path(f"{tmp_path}/exports").iterdir()}
+    want = {f"title-{k % 4}{'' if k < 4 else f'~{k}'}.md": f"text {k} é".encode() for k in range(20)} | {"title-1-2.md": b""}
+    assert files == want  # nothing staged is left
+
+    broken = names.withColumn("content", F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_files(broken, f"file://{tmp_path}/other")
+    assert not any(f.is_file() for f in Path(f"{tmp_path}/other").rglob("*.md"))  # all or none
+    sinks.write_files(names.limit(0), f"file://{tmp_path}/none")
+
+
+def test_exports_are_counted_and_hashed(spark):
+    import duckdb
+
+    from scholion import queries
+
+    got = sorted(tuple(r) for r in queries.QUERIES["markdown_files"](spark, "/root/testdata/sf0.001").collect())
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    assert got == sorted(con.sql(queries.ORACLE["markdown_files"]).fetchall()) and len(got) == 200
+    assert len({hashlib.md5(n.encode()).hexdigest() for n, _ in got}) == 200
