@@ -9,7 +9,8 @@ The tokenizer file is read on the driver and broadcast (its size is that of the
 worker keeps the encodings of the words it has met, up to ``CACHE_WORDS``; then it starts anew.
 
 Defined cases: null counts as empty; an empty text has no ids, and the digest of ''; strings of
-special tokens in a text become their ids; rows repeat as in the input; other columns are not read.
+special tokens in a text become their ids; rows repeat as in the input; very long texts are
+encoded whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

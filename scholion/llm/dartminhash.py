@@ -27,14 +27,15 @@ similar only if min(O(u, C), O(v, C)) alone is enough, which makes both near to
 enough excess. A member whose excess, as far as others have it too, is not enough has no partner.
 The others are dealt into one block for each of their rarest excess shingles, as many as leave no
 partner out, and those blocks are treated in the same way as long as they get smaller, by a tenth at
-least; in one that does not, all pairs that sizes allow are compared (there was none on the tables given, the one
-with a large near group included). So a group of copies with edits of their
+least; in one that does not, all pairs that sizes allow are compared (check_h, with a
+large near group, has none: 3 large blocks, all divided at once). So a group of copies with edits of their
 own costs its size, not its square, and every pair of a bucket is compared, in one component, or
 proved to be below t. C may be any bag; it is taken of a sample because that changes the work only.
 
 Defined cases: a text of fewer than five words is one shingle; texts without a word are alike only if
 equal; null texts are in no class but their own; rows of one id are one document (its least text
-counts); rows with a null id are left out; empty tables give empty results; other columns are not read.
+counts); rows with a null id are left out; very long texts are bags like others; empty tables give empty results; other
+columns are not read.
 """
 
 from __future__ import annotations

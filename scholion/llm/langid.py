@@ -17,13 +17,15 @@ number is that of one parse of the whole text. Nothing is skipped.
 Learning reads at most ``DOCS_PER_LANG`` documents of each language (those with the least hash of
 their id, one text of each) and of these no more than come first within twice ``CHARS_PER_LANG``
 characters; it uses whole ones up to ``CHARS_PER_LANG`` characters. A longer one is read where there
-are not enough others, and its beginning fills what room is left. Any number of languages is learnt.
+are not enough others, and its beginning fills what room is left. Any number of languages is learnt; beyond
+``TOTAL_CHARS / CHARS_PER_LANG`` of them (66) each sample gets an equal share of ``TOTAL_CHARS``, so what is collected,
+built on the driver and broadcast has a bound however many languages there are.
 The tables are broadcast. A dense one takes ``states * letters * 4`` bytes; those of the fewest letters
 are dense as long as all together stay within ``DENSE_BYTES``, the others are sorted lists of the
 transitions there are (at most about ``3 * CHARS_PER_LANG`` of 12 bytes). Both give the same phrases.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without labelled rows
-all are ``und``; repeated rows, null ids and null labels are allowed; other columns are not read.
+all are ``und``; repeated rows, null ids and null labels are allowed; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from .common import grouped, remainder, small_batches
 
 DOCS_PER_LANG = 48
 CHARS_PER_LANG = 60_000
+#: Characters of all samples together: beyond that many languages, each has its share.
+TOTAL_CHARS = 4_000_000
 DENSE_BYTES = 256 << 20
 SEGMENT = 2048
 WORK_CHARS = 6_000_000
@@ -223,17 +227,19 @@ class Folder:
 def fit(docs: DataFrame) -> Model:
     """Learn from rows with a label; see the module for the bounds."""
     rank = Window.partitionBy("lang").orderBy("over", F.xxhash64("doc_id"), "doc_id")
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("over", F.length("text") > CHARS_PER_LANG)
-    ids = known.select("doc_id", "lang", "over", F.least(F.length("text"), F.lit(CHARS_PER_LANG)).alias("n")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chars = min(CHARS_PER_LANG, TOTAL_CHARS // max(1, known.select("lang").distinct().count()))
+    known = known.withColumn("over", F.length("text") > chars)
+    ids = known.select("doc_id", "lang", "over", F.least(F.length("text"), F.lit(chars)).alias("n")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= DOCS_PER_LANG)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = ids.withColumn("before", before).filter(F.col("before") < 2 * CHARS_PER_LANG).groupBy("doc_id", "lang", "over").agg(F.min("rank").alias("rank"))
+    ids = ids.withColumn("before", before).filter(F.col("before") < 2 * chars).groupBy("doc_id", "lang", "over").agg(F.min("rank").alias("rank"))
     ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), F.col("over").alias("long"), "rank")
     texts = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")) & (F.col("over") == F.col("long")))
-    rows = texts.groupBy("lang", "rank", "doc_id", "over").agg(F.substring(F.min("text"), 1, CHARS_PER_LANG).alias("text")).collect()
+    rows = texts.groupBy("lang", "rank", "doc_id", "over").agg(F.substring(F.min("text"), 1, chars).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         held = samples.setdefault(r["lang"], [])
-        room = CHARS_PER_LANG - sum(map(len, held))
+        room = chars - sum(map(len, held))
         if r["over"] or len(r["text"]) <= room:
             held.append(r["text"][:room])
     return Model({k: " ".join(v) for k, v in samples.items()})

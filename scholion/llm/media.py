@@ -7,7 +7,8 @@ paired with peaks of the next frames. A pair is coded as frequency, frequency, d
 stored with its frame number as one time-coded integer, ``frame << 26 | code``.
 
 Defined cases: a null or empty text is one padding unit of 576 bytes of 255; repeated rows give
-repeated results; ids may be null; other columns of the input are not read. Work is per row, so a
+repeated results; ids may be null; an empty table gives an empty result;
+other columns of the input are not read. Work is per row, so a
 long text costs memory in proportion to its own length only: frames are transformed in blocks.
 """
 

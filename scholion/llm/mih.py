@@ -20,7 +20,8 @@ rows share costs one row.
 
 Defined cases: a null or empty vector has no code, is not found and gets no answer; null components
 count as not positive; rows of one id are one vector (its least code counts), null ids are left out;
-fewer than k others: as many as there are; a query is not its own neighbour; other columns are not read.
+fewer than k others: as many as there are; a query is not its own neighbour; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations

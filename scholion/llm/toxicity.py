@@ -14,7 +14,8 @@ Everything is linear before the softmax, so a worker scores a word once, keeps t
 
 Defined cases: a null text or one without a word has the score of the bias alone; without labelled
 rows of both classes the score is the toxic share (0 without rows); repeated rows repeat, ids and
-labels may be null; other columns are not read.
+labels may be null; ties of the ids' hash go to the lesser id; very long texts are scored whole, and learnt from whole
+where they fit; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -192,26 +193,20 @@ def cached_scorer(model: Model):
     return _SCORERS[key]
 
 
-def train(texts: list[str], labels: list[int], share: float | None = None) -> Model:
-    """Fit embeddings and softmax; ``share``: of label 1 among all labelled rows, the score where one class is missing."""
-    y = np.array(labels)
-    if not len(y) or y.min() == y.max():
-        s = (float(y.mean()) if len(y) else 0.0) if share is None else share
-        return Model(None, float(np.log(max(s, 1e-6) / max(1 - s, 1e-6))))
-    known: dict[str, np.ndarray] = {}
-    rows = [bag_of(t, known) for t in texts]
-    known.clear()
-    bags = Bags([r[0] for r in rows], [r[1] * np.float32(SCALE) for r in rows], BUCKETS)
-    del rows
+def split(x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, weights and biases of the softmax, out of one vector."""
+    cut_e, cut_w = buckets * DIMS, buckets * DIMS + DIMS * 2
+    return x[:cut_e].reshape(buckets, DIMS), x[cut_e:cut_w].reshape(DIMS, 2), x[cut_w:]
+
+
+def objective(bags: Bags, y: np.ndarray):
+    """The balanced cross-entropy with its penalty, and its gradient, as a function of that vector."""
     target = np.eye(2, dtype=np.float32)[y]
     balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)[:, None]
-    cut_e, cut_w = BUCKETS * DIMS, BUCKETS * DIMS + DIMS * 2
-
-    def split(x):
-        return x[:cut_e].reshape(BUCKETS, DIMS), x[cut_e:cut_w].reshape(DIMS, 2), x[cut_w:]
+    cut_w = bags.width * DIMS + DIMS * 2
 
-    def loss(x):
-        e, w, b = split(x)
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        e, w, b = split(x, bags.width)
         h = bags.dot(e)
         z = h @ w + b
         z = z - z.max(1, keepdims=True)
@@ -223,12 +218,31 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
         g[:cut_w] += PENALTY * x[:cut_w]
         return value, g
 
-    rng = np.random.default_rng(SEED)
-    first = np.concatenate([rng.normal(scale=0.01, size=cut_e), rng.normal(scale=1.0, size=DIMS * 2), np.zeros(2)]).astype(np.float32)
-    e, w, b = split(minimise(loss, first, STEPS))
+    return loss
+
+
+def folded(e: np.ndarray, w: np.ndarray, b: np.ndarray) -> Model:
+    """All is linear before the softmax: what each bucket adds to the difference of the two classes."""
     return Model(((e @ w)[:, 1] - (e @ w)[:, 0]) * SCALE, float(b[1] - b[0]))
 
 
+def train(texts: list[str], labels: list[int], share: float | None = None) -> Model:
+    """Fit embeddings and softmax; ``share``: of label 1 among all labelled rows, the score where one class is missing."""
+    y = np.array(labels)
+    if not len(y) or y.min() == y.max():
+        s = (float(y.mean()) if len(y) else 0.0) if share is None else share
+        return Model(None, float(np.log(max(s, 1e-6) / max(1 - s, 1e-6))))
+    known: dict[str, np.ndarray] = {}
+    rows = [bag_of(t, known) for t in texts]
+    known.clear()
+    bags = Bags([r[0] for r in rows], [r[1] * np.float32(SCALE) for r in rows], BUCKETS)
+    del rows
+    loss = objective(bags, y)
+    rng = np.random.default_rng(SEED)
+    first = np.concatenate([rng.normal(scale=0.01, size=BUCKETS * DIMS), rng.normal(scale=1.0, size=DIMS * 2), np.zeros(2)]).astype(np.float32)
+    return folded(*split(minimise(loss, first, STEPS), BUCKETS))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out; see the module for the bounds."""
     doc_id = F.col("doc_id").cast("long")

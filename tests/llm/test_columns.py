@@ -298,3 +298,45 @@ def test_held_out_rule(spark):
 @pytest.mark.parametrize("text", ODD)
 def test_statistics_are_finite(text):
     assert np.isfinite(quality.statistics(text.encode())).all()
+
+
+def test_toxicity_equals_a_plain_model():
+    """Scores: the softmax of the mean of word vectors, each the mean of its n-grams' embeddings. The gradient: differences of the loss."""
+    rng = np.random.default_rng(3)
+    e, w, b = rng.normal(size=(toxicity.BUCKETS, toxicity.DIMS)) * 0.02, rng.normal(size=(toxicity.DIMS, 2)), rng.normal(size=2)
+    score = toxicity.folded(e, w, b).scorer()
+    for text in ("one two two three", "Ein Wört, ein WÖRT!", "x", "", None, "a_b " * 50, "long" * 40):
+        total, weights = np.zeros(toxicity.DIMS), toxicity.PADDING
+        for word in set(toxicity.words_of(text)):
+            share = 1 if (c := toxicity.words_of(text).count(word)) == 1 else 1 + 0.3 * np.log(c)
+            marked = f"<{word}>"
+            grams = {marked} | {marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)}
+            total += share * np.mean([e[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams], axis=0)
+            weights += share
+        z = toxicity.SCALE * total / weights @ w + b
+        assert score(text) == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-9)
+    texts, y = ["a b", "b c c", "", "d a"], np.array([1, 0, 0, 1])
+    width = 11
+    rows = [toxicity.bag_of(t, {}) for t in texts]
+    dense = np.zeros((4, width))
+    for k, (columns, weight) in enumerate(rows):
+        np.add.at(dense[k], columns % width, weight.astype(float) * toxicity.SCALE)
+    bags = toxicity.Bags([np.flatnonzero(r) if r.any() else np.array([0]) for r in dense], [(r[r != 0] if r.any() else np.zeros(1)).astype(np.float32) for r in dense], width)
+    m = rng.normal(size=(width, 3)).astype(np.float32)
+    assert np.allclose(bags.dot(m), dense @ m, atol=1e-4) and np.allclose(bags.t_dot(rng.normal(size=(4, 2)).astype(np.float32) * 0 + 1), dense.T @ np.ones((4, 2)), atol=1e-4)
+    loss = toxicity.objective(bags, y)
+    x = rng.normal(size=width * toxicity.DIMS + toxicity.DIMS * 2 + 2) * 0.3
+    value, g = loss(x)
+    for k in range(len(x)):
+        step = np.zeros(len(x))
+        step[k] = 1e-3
+        assert g[k] == pytest.approx((loss(x + step)[0] - loss(x - step)[0]) / 2e-3, abs=2e-3 * max(1, np.abs(g).max()))
+
+
+def test_samples_of_very_many_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TOTAL_CHARS", 400)
+    word = lambda k: "abcdefghij"[k] * 3 + "wort"
+    rows = [(20 * k + n, f"{word(k)} " * 30, f"l{k}") for k in range(10) for n in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 10 and all(2**b <= 2 + 42 for b in model.bits)
+    assert [langid.predict(model, [f"{word(k)} {word(k)}"])[0][0] for k in (3, 7)] == ["l3", "l7"]
