@@ -514,9 +514,16 @@ def call_error(s, d):
     return i.failures(s, d).select("event_id", ann.call_error(F.col("message")).alias("kind"))
 
 
-@query("error_taxonomy", f"WITH RECURSIVE {q.KINDS} SELECT tax.code, tax.parent, string_agg(up, ' < ' ORDER BY depth) AS line FROM tax JOIN anc USING (code) GROUP BY tax.code, tax.parent")
+@query(
+    "error_taxonomy",
+    f"WITH RECURSIVE {q.KINDS}, n AS (SELECT kind, count(*) AS n FROM {i.FAILURES} GROUP BY kind) "
+    "SELECT tax.code, tax.parent, string_agg(up, ' < ' ORDER BY depth) AS line, CAST(coalesce(max(n.n), 0) AS BIGINT) AS failures FROM tax JOIN anc USING (code) LEFT JOIN n ON tax.code = n.kind GROUP BY tax.code, tax.parent",
+)
 def error_taxonomy(s, d):
-    return errors.taxonomy(s).withColumn("line", F.array_join("line", " < "))
+    """The kinds of errors with their lines, and how many of the failures are of each."""
+    met = i.failures(s, d).groupBy(F.col("kind").alias("code")).agg(F.count("*").alias("failures"))
+    known = errors.taxonomy(s).withColumn("line", F.array_join("line", " < "))
+    return known.join(met, "code", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
 
 
 # Annotation.
@@ -702,9 +709,11 @@ def _split_columns(columns: str) -> list[str]:
     return out
 
 
-@query("health", "SELECT 'healthy' AS status, '1' AS version")
+@query("health", "SELECT 'healthy' AS status, '1' AS version, count(*) AS documents, CAST(count_if(text IS NULL) AS BIGINT) AS without_text FROM documents")
 def health(s, d):
-    return src.health(s)
+    """The state of the service over its documents."""
+    counts = i.table(s, d, "documents").agg(F.count("*").alias("documents"), F.count_if(F.col("text").isNull()).alias("without_text"))
+    return src.health(s, about=counts)
 
 
 from . import document_queries  # noqa: E402,F401  registers more

@@ -197,8 +197,10 @@ def write_markdown(df: DataFrame, markdown_col: str, path: str) -> None:
     df.select(F.col(markdown_col).alias("value")).write.option("lineSep", "\f").text(path)
 
 
-def health(spark: SparkSession, version: str = "1") -> DataFrame:
-    return spark.range(1).select(F.lit("healthy").alias("status"), F.lit(version).alias("version"))
+def health(spark: SparkSession, version: str = "1", about: DataFrame | None = None) -> DataFrame:
+    """One row: status and version, and the columns of ``about`` (one row)."""
+    rows = spark.range(1).select() if about is None else about
+    return rows.select(F.lit("healthy").alias("status"), F.lit(version).alias("version"), *rows.columns)
 
 
 def session_id(*parts: Column) -> Column:
