@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +46,9 @@ class Rule:
     confidence: float
     metadata: tuple[tuple[str, str], ...]
 
-    def column(self) -> Column:
-        meta = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in self.metadata]), F.array(*[F.lit(v) for _, v in self.metadata])) if self.metadata else F.create_map().cast("map<string,string>")
-        return F.struct(
-            F.lit(self.category).alias("category"), F.lit(self.severity).alias("severity"), F.lit(self.retriable).alias("is_retriable"), F.lit(self.strategy).cast("string").alias("retry_strategy"),
-            F.lit(self.message).alias("user_message"), F.array(*[F.lit(s) for s in self.steps]).cast("array<string>").alias("remediation_steps"), F.lit(self.confidence).alias("confidence"), meta.alias("metadata"),
-        )
+    def fields(self) -> dict:
+        values = (self.category, self.severity, self.retriable, self.strategy, self.message, self.steps, self.confidence, dict(self.metadata))
+        return dict(zip((part.split(" ")[0] for part in re.split(r", (?=[a-z_]+ )", RESULT)), values, strict=True))
 
 
 _EXP, _LIN, _NOW = "exponential_backoff", "linear_backoff", "immediate"
@@ -134,12 +134,16 @@ def chain(pairs: list[tuple[Column, Column]], last: Column) -> Column:
 
 
 def rule_table(rules: list[Rule]) -> Column:
-    """The rules as one literal array, folded once for a query."""
-    return F.array(*[r.column().cast(_struct()) for r in rules])
+    """The rules as one array. As text of JSON it is folded to a literal when a query is planned; an array of structs would be made for each row."""
+    return F.from_json(F.lit(json.dumps([r.fields() for r in rules], ensure_ascii=False)), f"array<{_struct()}>")
 
 
-def by_kind(kind: Column) -> Column:
-    """Rule of the exact kind, else of the first rule among its ancestors, else the default."""
+#: The rules of kinds with the default, and of messages.
+KIND_RULES = (*TYPE_RULES.values(), DEFAULT_RULE)
+
+
+def kind_number(kind: Column) -> Column:
+    """The number of the exact kind's rule, else of the first rule among its ancestors, else of the default."""
     names = list(TYPE_RULES)
     codes: dict[int, list[str]] = {}
     for code, _ in TAXONOMY:
@@ -147,23 +151,51 @@ def by_kind(kind: Column) -> Column:
         hit = code if code in TYPE_RULES else next((k for k in names if k in line), None)
         if hit:
             codes.setdefault(names.index(hit), []).append(code)
-    number = chain([(kind.isin(*c), F.lit(n)) for n, c in codes.items()], F.lit(len(names)))
-    return F.get(rule_table([*TYPE_RULES.values(), DEFAULT_RULE]), number)
+    return chain([(kind.isin(*c), F.lit(n)) for n, c in codes.items()], F.lit(len(names)))
+
+
+def by_kind(kind: Column) -> Column:
+    """Rule of the exact kind, else of the first rule among its ancestors, else the default."""
+    return F.get(rule_table(list(KIND_RULES)), kind_number(kind))
+
+
+def heads(pattern: str) -> tuple[str, ...]:
+    """Words of which a match of ``pattern`` begins with one: what stands first in each alternative."""
+    out, depth, part = [], 0, ""
+    for c in pattern + "|":
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            group = re.match(r"\(\?:([a-z |]+)\)(?![?*{])", part)
+            plain = re.match(r"[a-z0-9 ]+(?![a-z0-9 ?*{])", part)
+            if not (group or plain):
+                raise ValueError(f"{pattern!r} does not begin with a word")
+            out += group[1].split("|") if group else [plain[0]]
+            part = ""
+        else:
+            part += c
+    return tuple(out)
+
+
+def message_number(message: Column) -> Column:
+    """The number of the first pattern that a message matches; null if there is none.
+
+    A pattern is tried only on messages that contain one of the words it may begin with, which is much cheaper to see.
+    """
+
+    def first(low: Column) -> Column:
+        may = lambda p: reduce(Column.__or__, [low.contains(w) for w in heads(p)])
+        return chain([(may(p) & low.rlike(p), F.lit(n)) for n, (p, _) in enumerate(MESSAGE_RULES)], F.lit(None).cast("int"))
+
+    return let(F.lower(message), first)
 
 
 def by_message(message: Column) -> Column:
     """Rule of the first pattern that a message matches; null if there is none."""
-    low = F.lower(message)
-    number = chain([(low.rlike(p), F.lit(n)) for n, (p, _) in enumerate(MESSAGE_RULES)], F.lit(None).cast("int"))
-    return F.get(rule_table([r for _, r in MESSAGE_RULES]), number)
+    return F.get(rule_table([r for _, r in MESSAGE_RULES]), message_number(message))
 
 
 def _struct() -> str:
-    return "struct<" + ", ".join(":".join(part.split(" ", 1)) for part in RESULT.split(", ")) + ">"
-
-
-def severity_rank(c: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), c)
+    return "struct<" + ", ".join(":".join(part.split(" ", 1)) for part in re.split(r", (?=[a-z_]+ )", RESULT)) + ">"
 
 
 def classify(kind: Column, message: Column) -> Column:
@@ -172,23 +204,20 @@ def classify(kind: Column, message: Column) -> Column:
     The more confident message rule wins alone; else both are merged: the severer severity (by rank),
     retriable if both are, sorted union of steps, the message's metadata over the kind's.
     """
-    both = F.struct(by_kind(kind).alias("a"), by_message(message).alias("b"))
-    return let(both, lambda p: combine(p["a"], p["b"]))
-
-
-def combine(a: Column, b: Column) -> Column:
-    """One classification of a kind's and a message's; the latter may be null."""
-    merged = F.struct(
-        F.when(b["confidence"] > 0.7, b["category"]).otherwise(a["category"]).alias("category"),
-        F.when(severity_rank(b["severity"]) > severity_rank(a["severity"]), b["severity"]).otherwise(a["severity"]).alias("severity"),
-        (a["is_retriable"] & b["is_retriable"]).alias("is_retriable"),
-        F.coalesce(b["retry_strategy"], a["retry_strategy"]).alias("retry_strategy"),
-        F.coalesce(F.nullif(b["user_message"], F.lit("")), a["user_message"]).alias("user_message"),
-        F.array_sort(F.array_union(a["remediation_steps"], b["remediation_steps"])).alias("remediation_steps"),
-        F.greatest(a["confidence"], b["confidence"]).alias("confidence"),
-        F.map_concat(F.map_filter(a["metadata"], lambda k, _: ~F.map_contains_key(b["metadata"], k)), b["metadata"]).alias("metadata"),
-    ).cast(_struct())
-    return F.when(b.isNull(), a).when(b["confidence"] > a["confidence"], b).otherwise(merged)
+    # every pair is put together once, as a literal; a row only looks its pair up
+    several = len(MESSAGE_RULES) + 1
+    table = rule_table([combined(a, b) for a in KIND_RULES for b in (*(r for _, r in MESSAGE_RULES), None)])
+    return F.get(table, kind_number(kind) * several + F.coalesce(message_number(message), F.lit(several - 1)))
+
+
+def combined(a: Rule, b: Rule | None) -> Rule:
+    """One classification of a kind's and a message's."""
+    if b is None or b.confidence > a.confidence:
+        return b or a
+    return Rule(
+        b.category if b.confidence > 0.7 else a.category, max(a.severity, b.severity, key=SEVERITIES.index), a.retriable and b.retriable, a.strategy if b.strategy is None else b.strategy,
+        b.message or a.message, tuple(sorted({*a.steps, *b.steps})), max(a.confidence, b.confidence), (*((k, v) for k, v in a.metadata if k not in dict(b.metadata)), *b.metadata),
+    )
 
 
 def user_message(message: Column, kind: Column | None = None) -> Column:
