@@ -4,13 +4,13 @@ A rule is for a host and all its subdomains, for paths that begin with its own;
 the longest (host and path together) decides, of equally long ones a block. Where none fits, the host does.
 
 The graph has a node for each host and an edge for each pair of hosts of which one's pages link to the
-other's (``href`` of ``a`` and ``area``, outside of comments, scripts and styles); the edge's weight is the
-number of those pages, links within a host are none. Trust starts at hosts of which rules allow pages,
-with the allowed share of the pages that rules judge, and flows along the links; distrust starts with the
-blocked share and flows against them, from a host to those that link to it. Both are personalised
-PageRanks: at each step a host passes on ``DAMPING`` of what it got, by weight, and what a host without
-links would pass on is lost, which leaves the ranking as it is. Steps go on until what is still to come
-is less than ``TOLERANCE`` of what was started, so no host's score is off by more. A host is blocked if
+other (``href`` of ``a`` and ``area``), or name it in full, if the table has pages of that one; what stands in comments,
+scripts and styles is left out. An edge's weight is the number of those pages; a host has none to itself. Trust
+starts at hosts of which rules allow pages, with the allowed share of the pages that rules judge, and flows along the
+edges; distrust starts with the blocked share and flows against them, from a host to those that link to it. Both are
+personalised PageRanks: at each step a host passes on ``DAMPING`` of what it got, by weight, and what a host without
+edges would pass on is lost, which leaves the ranking as it is. There are as many steps as it takes until what is still to
+come is less than ``TOLERANCE`` of what was started, so no host's score is off by more. A host is blocked if
 distrust is more than ``THRESHOLD`` of its trust and distrust together; hosts that neither reaches get ``UNKNOWN``.
 
 Everything is DataFrame expressions. The html is read once; links are counted with partial sums before
@@ -25,14 +25,16 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, let
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING = 0.85
+DAMPING = 0.7
 TOLERANCE = 0.01
 THRESHOLD = 0.5
 UNKNOWN = "allow"
@@ -40,6 +42,7 @@ UNKNOWN = "allow"
 # Unclosed ones reach to the end, so nothing is looked at twice.
 _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _LINK = r"""(?is)<(?:a|area)\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'<>]*)"""
+_NAMED = r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,12 +73,16 @@ def judged_by_rules(pages: DataFrame, rules: tuple = RULES, url_col: str = "url"
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): the number of pages of a host that link to another one."""
+    """(src, dst, n): the number of pages of a host that link to another one, or name it. ``pages``: url, html."""
     shown = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), _HIDDEN, " ")
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(shown, F.lit(_LINK), F.lit(1)), lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u))))
-    # a condition on the links would be tested by a second reading of the html; so hosts are compared once they are rows
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst"))
-    return links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    linked = F.transform(F.regexp_extract_all("shown", F.lit(_LINK), F.lit(1)), lambda u: host_of(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)))
+    named = F.transform(F.regexp_extract_all("shown", F.lit(_NAMED), F.lit(0)), lambda x: F.translate(x, _UPPER, _LOWER))
+    both = let(linked, lambda links: F.transform(F.array_union(links, named), lambda x: F.struct(x.alias("dst"), F.array_contains(links, x).alias("linked"))))
+    # an outer explode, and hosts compared once they are rows: else Spark would read the html twice, for a test below the generator
+    rows = pages.select(host_of(F.col("url")).alias("src"), shown.alias("shown")).select("src", F.explode_outer(both).alias("x")).select("src", "x.dst", "x.linked")
+    pairs = rows.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if("linked").alias("links"))
+    known = pages.select(host_of(F.col("url")).alias("dst")).distinct().withColumn("known", F.lit(True))
+    return pairs.join(known, "dst", "left").select("src", "dst", F.when(F.col("known"), F.col("n")).otherwise(F.col("links")).alias("n")).filter("n > 0")
 
 
 def walks(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,19 +92,23 @@ def walks(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep("walks", ways.join(totals, ["kind", "at"]).select("kind", "at", "to", (F.col("n") / F.col("total")).alias("share")))
 
 
+def steps_for(damping: float, tolerance: float) -> int:
+    """Steps after which less than ``tolerance`` of what was started is still to come: it shrinks by ``damping`` at each."""
+    return max(1, math.ceil(math.log(tolerance * (1 - damping) / damping) / math.log(damping)))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) of the hosts that either reaches. ``edges``: src, dst, n. ``seeds``: host, trust, distrust, where both start."""
     scratch = Scratch(edges.sparkSession, "links")
     ways = walks(edges, scratch)
     start = seeds.select("host", F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(k), F.col(k).cast("double")) for k in ("trust", "distrust")]))).alias("kind", "mass"))
     flow = scratch.keep("flow0", start.filter("mass > 0").select("kind", "host", "mass"))
-    steps, begun = [flow], flow.agg(F.sum("mass")).first()[0] or 0.0
-    while begun:
+    steps = [flow]
+    for _ in range(steps_for(damping, tolerance)):
         passed = flow.select("kind", F.col("host").alias("at"), "mass").join(ways, ["kind", "at"])
         flow = scratch.keep(f"flow{len(steps)}", passed.groupBy("kind", F.col("to").alias("host")).agg((F.lit(damping) * F.sum(F.col("mass") * F.col("share"))).alias("mass")))
-        left = flow.agg(F.sum("mass")).first()[0] or 0.0
         steps.append(flow)
-        if left * damping / (1 - damping) <= tolerance * begun:
+        if not flow.limit(1).count():
             break
     every = steps[0]
     for flow in steps[1:]:
@@ -141,12 +152,16 @@ WITH RECURSIVE parts AS (
   FROM hosts JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)
 ), said AS (SELECT p.page_id, p.host, p.path, p.html, f.rule, f.says FROM parts p LEFT JOIN fitting f ON f.at = 1 AND p.host = f.host AND p.path = f.path
 ), shown AS (
-  SELECT host, list_distinct([translate(regexp_extract(CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR u IN regexp_extract_all(
-           regexp_replace(coalesce(html, ''), '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'gis'),
-           '(?is)<(?:a|area)\s(?:[^<>]*?\s)?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''<>]*)', 1)]) AS targets
-  FROM parts
+  SELECT host, regexp_replace(coalesce(html, ''), '<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)', ' ', 'gis') AS t FROM parts
+), found AS (
+  SELECT host AS src, [translate(regexp_extract(CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR u IN
+           regexp_extract_all(t, '(?is)<(?:a|area)\s(?:[^<>]*?\s)?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''<>]*)', 1)] AS links,
+         [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FOR x IN regexp_extract_all(t, '(?:^|[^A-Za-z0-9.-])([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1)] AS named
+  FROM shown
 ), edges AS (
-  SELECT src, dst, count(*) AS n FROM (SELECT host AS src, unnest(targets) AS dst FROM shown) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+  SELECT src, dst, count_if(dst IN (SELECT host FROM hosts) OR linked) AS n
+  FROM (SELECT src, dst, list_contains(links, dst) AS linked FROM (SELECT src, links, unnest(list_distinct(links || named)) AS dst FROM found)) WHERE src <> '' AND dst <> '' AND src <> dst
+  GROUP BY src, dst HAVING count_if(dst IN (SELECT host FROM hosts) OR linked) > 0
 ), ways AS (
   SELECT 'trust' AS kind, src AS at, dst AS goes, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
   UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
@@ -154,7 +169,7 @@ WITH RECURSIVE parts AS (
 ), flow(step, kind, host, mass) AS (
   SELECT * FROM (SELECT 0 AS step, 'trust' AS kind, host, CAST(trust AS DOUBLE) AS mass FROM seeds UNION ALL SELECT 0, 'distrust', host, CAST(1 - trust AS DOUBLE) FROM seeds) WHERE mass > 0
   UNION ALL
-  SELECT step + 1, w.kind, w.goes, 0.85 * sum(mass * share) FROM flow f JOIN ways w ON f.kind = w.kind AND f.host = w.at WHERE step < 60 GROUP BY step, w.kind, w.goes
+  SELECT step + 1, w.kind, w.goes, 0.7 * sum(mass * share) FROM flow f JOIN ways w ON f.kind = w.kind AND f.host = w.at WHERE step < 16 GROUP BY step, w.kind, w.goes
 ), scores AS (
   SELECT host, sum(mass) AS total, coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM flow GROUP BY host
 )

@@ -25,7 +25,7 @@ def lower(host):
 
 def plain_judge(rows, steps=80):
     """The rules, and both rankings by matrices."""
-    parts, links, seen = [], set(), defaultdict(list)
+    parts, links, named, seen = [], set(), [], defaultdict(list)
     for n, (i, url, html) in enumerate(rows):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (lower(m[1]), m[2]) if m else ("", "")
@@ -37,6 +37,8 @@ def plain_judge(rows, steps=80):
         shown = re.sub(r"(?is)<!--.*?(-->|\Z)|<script.*?(</script>|\Z)", " ", html or "")
         for u in re.findall(r"""(?is)<a\s[^<>]*?href=["']?((?:https?:)?//[^\s"'<>]*)""", shown):
             links.add((n, host, lower(re.match(r"[^/]*//([^/?#]*)", u)[1])))
+        named += [(n, host, lower(x)) for x in re.findall(r"[A-Za-z0-9.-]+", shown) if re.fullmatch(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x.rstrip("."))]
+    links |= {x for x in named if x[2] in {p[1] for p in parts}}
     edges = Counter((a, b) for _, a, b in links if a and b and a != b)
     hosts = sorted({x for e in edges for x in e} | set(seen))
     at = {h: k for k, h in enumerate(hosts)}
@@ -49,7 +51,7 @@ def plain_judge(rows, steps=80):
         share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
         mass = total = start[:, k]
         for _ in range(steps):
-            mass = 0.85 * mass @ share
+            mass = 0.7 * mass @ share
             total = total + mass
         scores.append(total)
     for p in parts:
@@ -66,7 +68,7 @@ def web(seed, n=300):
         host = "hub.net" if i % 3 == 0 else rng.choice(hosts)  # a third of all pages is of one host, and most link to it
         to = [rng.choice(hosts) for _ in range(rng.randint(0, 4))] + ["hub.net"] * (rng.random() < 0.6)
         links = "".join(f'<a class=x href="{rng.choice(["http://", "https://", "//"])}{t}/q">t</a>' for t in to)
-        rows.append((i, f"http://{host}/{rng.choice(['fr', 'de', 'en', 'es'])}/{i}", f"<!-- <a href='http://evil.net/'> --><script>x='<a href=\"http://bad.net\">'</script>{links}<a href=/own>"))
+        rows.append((i, f"http://{host}/{rng.choice(['fr', 'de', 'en', 'es'])}/{i}", f"<!-- <a href='http://evil.net/'> --><script>x='<a href=\"http://bad.net\">'</script>{links}<p>&copy; {rng.choice([*hosts, "Nobody.net"])} &middot; a..b<a href=/own>"))
     return rows
 
 
@@ -96,7 +98,7 @@ def test_links_carry_verdicts(spark):
 def test_judge_of_nothing_and_its_plan(spark):
     assert linkfilter.judge(pages_of(spark, [])).count() == 0
     plan = linkfilter.host_links(pages_of(spark, web(3, 10)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("regexp_extract_all") == 1
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("regexp_extract_all") == 2
 
 
 # Whitening
