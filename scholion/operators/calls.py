@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from .annotate import Annotator, RetryPolicy
+from .annotate import Annotator, RetryPolicy, analyze_section
 
 ATTEMPTS = "array<struct<attempt:int,error_type:string,error_message:string,delay:double,seconds:double>>"
 #: The number of the attempt that is being made, from 1; annotators may read it.
@@ -184,3 +184,10 @@ def section_events(sections: DataFrame, keys: list[str], size: Column, elements:
     started = F.struct(F.lit("SectionProcessingStarted").alias("event_type"), size.cast("long").alias("section_size_chars"), none.cast("long").alias("elements_extracted"), none.cast("long").alias("tokens_used"), none.cast("double").alias("duration_seconds"))
     done = F.struct(F.lit("SectionProcessingCompleted").alias("event_type"), none.cast("long").alias("section_size_chars"), elements.cast("long").alias("elements_extracted"), tokens.cast("long").alias("tokens_used"), seconds.cast("double").alias("duration_seconds"))
     return sections.select(*keys, F.explode(F.array(started, done)).alias("e")).select(*keys, "e.*")
+
+
+def call_section_events(called: DataFrame, keys: list[str], text_col: str = "section_text") -> DataFrame:
+    """``section_events`` of sections that have been called: elements of the answer, tokens of both, seconds of the attempts."""
+    found = called.select(*keys, F.coalesce(F.length(text_col), F.lit(0)).alias("size"), "attempts", analyze_section(F.coalesce(text_col, F.lit("")), F.coalesce("answer", F.lit(""))).alias("a"))
+    seconds = F.aggregate("attempts", F.lit(0.0), lambda s, x: s + x["seconds"] + F.coalesce(x["delay"], F.lit(0.0)))
+    return section_events(found, keys, F.col("size"), F.size("a.elements"), F.col("a.input_tokens") + F.col("a.output_tokens"), seconds)
