@@ -55,7 +55,8 @@ BANDS = 32
 K = ROWS * BANDS
 SPARE = 3.0
 RANK_EDGES = np.concatenate([[0.0, 1 / 16, 1 / 4], 2.0 ** np.arange(0, 40)])
-WORK_CHARS = 3_000_000
+#: What is sketched at once: characters, where a row counts for its ``K (ln K + 3)`` darts as well, which take far more memory than a short text.
+WORK_CHARS, DARTS_CHARS = 1_500_000, 6_000
 #: A block of up to so many documents, of so many shingles in all, is compared in one task.
 FEW, FEW_SHINGLES = 256, 2_000_000
 #: Members that C is taken of, and the share of them that must have a shingle. A block is divided on if it is this part of the one before at most.
@@ -193,21 +194,22 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, size, keys): digest of the text (null for null texts), number of shingles, bucket keys (none without a word). No shuffle."""
+def sketches(batches):
+    """The rows of ``sketch`` for pandas batches of (doc_id, text, digest)."""
+    poisson = Poisson()
+    for rows in grouped(batches, lambda r: DARTS_CHARS + (len(r[1]) if isinstance(r[1], str) else 0), WORK_CHARS):
+        bags = [bag(raw) for raw in encode(r[1] for r in rows)]
+        keys = bands(signatures(bags, poisson))
+        yield pd.DataFrame({
+            "doc_id": [r[0] for r in rows], "digest": [r[2] for r in rows], "size": [int(b[1].sum()) for b in bags],
+            "keys": [k if len(b[0]) else np.zeros(0, np.int64) for k, b in zip(keys, bags, strict=True)],
+        })
 
-    def run(batches):
-        poisson = Poisson()
-        for rows in grouped(batches, lambda r: 60 + (len(r[1]) if isinstance(r[1], str) else 0), WORK_CHARS):
-            bags = [bag(raw) for raw in encode(r[1] for r in rows)]
-            keys = bands(signatures(bags, poisson))
-            yield pd.DataFrame({
-                "doc_id": [r[0] for r in rows], "digest": [r[2] for r in rows], "size": [int(b[1].sum()) for b in bags],
-                "keys": [k if len(b[0]) else np.zeros(0, np.int64) for k, b in zip(keys, bags, strict=True)],
-            })
 
+def sketch(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, size, keys): digest of the text (null for null texts), number of shingles, bucket keys (none without a word). No shuffle."""
     withed = docs.select("doc_id", "text", F.sha2(F.col("text"), 256).alias("digest"))
-    return withed.mapInPandas(run, "doc_id long, digest string, size long, keys array<long>")
+    return withed.mapInPandas(sketches, "doc_id long, digest string, size long, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

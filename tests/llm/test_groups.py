@@ -3,10 +3,12 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 from base64 import b32encode
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,6 +536,18 @@ def test_darts_estimate_weighted_similarity():
     assert abs(np.mean(same) - 28 / 60) < 0.02
 
 
+def test_short_texts_are_sketched_in_small_lots():
+    """The darts of a short text take far more memory than the text."""
+    rows = pd.DataFrame({"doc_id": range(4000), "text": [f"{WORDS[k % 100]} {WORDS[k // 100]} a b c {k}" for k in range(4000)], "digest": "d"})
+    one = next(dartminhash.sketches([rows[:1]]))
+    tracemalloc.start()
+    got = pd.concat(dartminhash.sketches([rows[k : k + 1000] for k in range(0, 4000, 1000)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["doc_id"].tolist() == list(range(4000)) and got["keys"].iloc[0].tolist() == one["keys"].iloc[0].tolist()
+    assert peak < 80e6
+
+
 def test_words_and_shingles():
     raw = "the cat  sat\non the cat sat on the".encode()
     w = dartminhash.word_hashes(raw)
