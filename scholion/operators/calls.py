@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.batches import small_batches
 from .annotate import Annotator, RetryPolicy, analyze_section
 
 ATTEMPTS = "array<struct<attempt:int,error_type:string,error_message:string,delay:double,seconds:double>>"
@@ -127,6 +128,7 @@ def call(chunks: DataFrame, make: Callable[[], Annotator], policy: RetryPolicy |
             told = [[dict(zip(names, x, strict=True)) for x in r[1]] for r in rows]
             yield batch.assign(answer=pd.Series([r[0] for r in rows], dtype=object, index=batch.index), attempts=pd.Series(told, dtype=object, index=batch.index), error=pd.Series([r[2] for r in rows], dtype=object, index=batch.index))
 
+    small_batches(chunks.sparkSession)
     return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, *added.fields]))
 
 
