@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
 from .text import ABBREVIATIONS
 
 # Sizes in characters.
@@ -149,6 +150,7 @@ def chunk_rows(df: DataFrame, text_col: str, limit: int = CHUNK_LIMIT, overlap:
                 out = batch.drop(columns=[text_col]).loc[batch.index.repeat([len(p) for p in parts])].reset_index(drop=True)
                 yield out.assign(chunk_index=[k + 1 for p in parts for k in range(len(p))], total_chunks=[len(p) for p in parts for _ in p], chunk=pd.Series([c for p in parts for c in p], dtype=object))
 
+    small_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 
