@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import charmap
+from ..functions.batches import small_batches
 from ..functions.text import let
 from . import pdf
 
@@ -62,6 +63,7 @@ def scan_pages(files: DataFrame, parse: Callable[[bytes], list[tuple[str, float,
                 about = (time.perf_counter() - began, len(content), getattr(parse, "version", None))
                 yield pd.DataFrame([(*r, *about) for r in rows], columns=columns)
 
+    small_batches(files.sparkSession)
     return files.filter("status = 'ok'").select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
@@ -71,6 +73,15 @@ PDF_SCHEMA = (
 )
 
 
+_SPAN = pa.struct([("text", pa.string()), *((x, pa.float64()) for x in ("x0", "y0", "x1", "y1"))])
+_PAGE = pa.schema([
+    ("path", pa.string()), ("page_number", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("lines", pa.list_(pa.list_(_SPAN))),
+    ("error", pa.string()), ("message", pa.string()), ("seconds", pa.float64()), ("file_bytes", pa.int64()),
+])
+#: Lines of the pages that a task holds before it hands them on.
+HELD_LINES = 10_000
+
+
 def scan_pdf(files: DataFrame) -> DataFrame:
     """One row per page of each file (path, status, content) that is 'ok', by ``pdf.parse``: lines of spans with their boxes.
 
@@ -96,18 +107,29 @@ def scan_pdf(files: DataFrame) -> DataFrame:
         texts = ("".join("".join(s[0] for s in line) + "\n" for line in lines if any(s[0] for s in line)) for _, _, lines in pages)
         if len("\n".join(texts).strip()) < MIN_TOTAL_CHARS:
             return failed(path, "NoTextLayerError", "too little text")
-        names = ("text", "x0", "y0", "x1", "y1")
-        return [(path, k + 1, w, h, [[dict(zip(names, s, strict=True)) for s in line] for line in lines], None, None) for k, (w, h, lines) in enumerate(pages)]
+        return [(path, k + 1, w, h, lines, None, None) for k, (w, h, lines) in enumerate(pages)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.split()[0] for part in re.split(r", (?=[a-z_]+ )", PDF_SCHEMA)]
+    def arrow(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*held, strict=True), _PAGE, strict=True)], schema=_PAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for batch in batches:
-            for path, content in batch[["path", "content"]].itertuples(index=False, name=None):
-                began = time.perf_counter()
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path, content, began = path.as_py(), content.as_py(), time.perf_counter()
                 found = rows(path, content)
-                yield pd.DataFrame([(*r, time.perf_counter() - began, len(content)) for r in found], columns=columns)
-
-    return files.filter("status = 'ok' AND content IS NOT NULL").select("path", "content").mapInPandas(run, PDF_SCHEMA)
+                took = time.perf_counter() - began
+                for r in found:
+                    held.append((*r, took, len(content)))
+                    many += 1 + len(r[4] or ())
+                    if many >= HELD_LINES:
+                        yield arrow(held)
+                        held, many = [], 0
+        if held:
+            yield arrow(held)
+
+    small_batches(files.sparkSession)
+    return files.filter("status = 'ok' AND content IS NOT NULL").select("path", "content").mapInArrow(run, PDF_SCHEMA)
 
 
 def assembled(pages: DataFrame) -> DataFrame:
