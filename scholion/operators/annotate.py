@@ -233,10 +233,13 @@ def respond(annotated: DataFrame, id_col: str, seconds: Column | None = None) ->
     )
 
 
-def analyze_section(section_text: Column, marked: Column) -> Column:
-    """struct(elements, input_tokens, output_tokens) of a section; a blank one has no elements."""
+def analyze_section(section_text: Column, marked: Column, blank: Column | None = None) -> Column:
+    """struct(elements, input_tokens, output_tokens) of a section; a blank one has no elements.
+
+    ``blank`` tells which sections are; without it, those of white space alone.
+    """
     none = F.array().cast("array<struct<element_type:string,confidence:string,text:string>>")
-    found = F.when(strip(section_text) == "", none).otherwise(markup.elements(marked))
+    found = F.when(strip(section_text) == "" if blank is None else blank, none).otherwise(markup.elements(marked))
     out = F.aggregate(found, F.lit(0).cast("long"), lambda a, e: a + F.length(F.to_json(e)))
     return F.struct(found.alias("elements"), token_estimate(section_text).alias("input_tokens"), F.floor(out / 4).alias("output_tokens"))
 

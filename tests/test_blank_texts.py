@@ -7,6 +7,7 @@ from test_queries import rows
 
 from scholion import queries as own
 from scholion.functions import markup
+from scholion.operators import annotate as ann
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["markdown_export", "paper_summary", "respond"])
+@pytest.mark.parametrize("name", ["markdown_export", "paper_summary", "respond", "section_analysis"])
 def test_blank_texts(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
@@ -33,3 +34,9 @@ def test_heading_of_a_blank_summary(spark):
     said = "## Plain Language Summary"
     assert said in made("x") and said not in made("") and said not in made(None)
     assert said in made("", blank_summary=True) and said not in made(None, blank_summary=True)
+
+
+def test_blank_sections(spark):
+    found = lambda t, *a: len(spark.range(1).select(ann.analyze_section(F.lit(t), F.lit("<goal>g</goal>"), *a).alias("a")).first()["a"]["elements"])
+    assert found("x") == 1 and found("") == 0 and found(" \n") == 0
+    assert found("", F.lit(False)) == 1 and found("x", F.lit(True)) == 0
