@@ -19,7 +19,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["markdown_export", "paper_summary", "respond", "section_analysis", "section_events"])
+@pytest.mark.parametrize("name", ["markdown_export", "paper_summary", "respond", "section_analysis", "section_events", "markdown_files"])
 def test_blank_texts(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
